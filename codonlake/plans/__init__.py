@@ -1 +1 @@
-"""See the module docstrings in this folder."""
+"""Whole jobs put together from the operators."""

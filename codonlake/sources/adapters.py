@@ -1,8 +1,8 @@
 """Turn a table of texts into contigs, so that every operator can run on the given tables.
 
 A text keeps its letters only; each letter is mapped to a base by a fixed table (X -> N, so that
-unknown bases occur). The whole text is used. A genome is one (lang, source) pair, its contigs are
-the documents, its taxonomic group is the language.
+unknown bases occur). The whole text is used. A genome is one source, its contigs are the documents of
+that source, its taxonomic group is the start of the source name.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ def documents_as_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seq = F.translate(strip_to_letters(F.col("text")), LETTERS, BASES)
     return docs.select(
-        F.concat_ws("_", "lang", "source").alias("genome_id"),
+        F.col("source").alias("genome_id"),
         F.col("doc_id").cast("string").alias("contig_id"),
-        F.col("lang").alias("tax_group"),
+        F.substring("source", 1, 4).alias("tax_group"),
         seq.alias("seq"),
     ).select("*", F.length("seq").cast("long").alias("length"))
