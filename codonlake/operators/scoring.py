@@ -15,6 +15,7 @@ from codonlake.operators.distribute import join_per_genome
 from codonlake.operators.models import word_code
 from codonlake.operators.orf import CONTIG, GROUP, ORF, slice_forward
 from codonlake.functions.sequence import reverse_complement
+from codonlake.session import cut_lineage
 
 
 def words_up_to(size: Column) -> Column:
@@ -105,21 +106,25 @@ def add_scores(orfs: DataFrame, contigs: DataFrame, models: DataFrame) -> DataFr
     )
 
 
-def add_z_scores(scored: DataFrame) -> DataFrame:
-    """z-score of each component over the ORFs of the genome, population deviation, 0 if constant.
-
-    Mean and deviation are aggregated (map-side combine) and joined back; a window over the genome would
-    gather all its ORFs in one task.
-    """
+def component_stats(scored: DataFrame) -> DataFrame:
+    """Mean and population deviation of each component per genome; deviation 0 if it is constant."""
     aggs = []
     for c in C.COMPONENTS:
         s = f"{c}_score"
-        aggs += [F.avg(s).alias(f"_m_{c}"),
-                 F.when(F.max(s) > F.min(s), F.stddev_pop(s)).otherwise(0.0).alias(f"_d_{c}")]
-    stats = scored.groupBy("genome_id").agg(*aggs)
-    joined = join_per_genome(scored, stats)
+        spread = F.when(F.max(s) > F.min(s), F.stddev_pop(s)).otherwise(0.0)
+        aggs += [F.avg(s).alias(f"{c}_mean"), spread.alias(f"{c}_std")]
+    return scored.groupBy("genome_id").agg(*aggs)
+
+
+def add_z_scores(scored: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """z-score of each component over the ORFs of the genome, 0 where the deviation is 0.
+
+    The statistics are aggregated (map-side combine) and joined back; a window over the genome would
+    gather all its ORFs in one task.
+    """
+    joined = join_per_genome(scored, stats if stats is not None else component_stats(scored))
     z = [
-        F.when(F.col(f"_d_{c}") > 0, (F.col(f"{c}_score") - F.col(f"_m_{c}")) / F.col(f"_d_{c}"))
+        F.when(F.col(f"{c}_std") > 0, (F.col(f"{c}_score") - F.col(f"{c}_mean")) / F.col(f"{c}_std"))
         .otherwise(F.lit(0.0)).alias(f"{c}_score_norm")
         for c in C.COMPONENTS
     ]
@@ -136,10 +141,12 @@ def weighted_sum(weights: dict[str, float]) -> Column:
 
 def score_orfs(orfs: DataFrame, contigs: DataFrame, models: DataFrame,
                weights: dict[str, float] | None = None, normalize: bool = True,
-               combined: bool = True) -> DataFrame:
+               combined: bool = True, store=cut_lineage) -> DataFrame:
+    """All scores. The raw ones are stored because statistics and result both read them."""
     out = add_scores(orfs, contigs, models)
     if normalize:
-        out = add_z_scores(out)
+        out = store(out)
+        out = add_z_scores(out, store(component_stats(out)))
         if combined:
             out = out.withColumn("combined_score", weighted_sum(weights or C.SCORE_WEIGHTS))
     return out

@@ -34,12 +34,13 @@ def self_training_sequences(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def annotate(contigs: DataFrame, min_length: int = C.MIN_ORF_LENGTH, fixed_order: int | None = None,
              weights: dict[str, float] | None = None, store=cut_lineage) -> Annotation:
-    """Scan, self-train, score. ORFs, models and scored ORFs are read by several later steps, so they are
-    stored once; the default is a reliable checkpoint."""
+    """Scan, self-train, score. Tables that several later steps read are stored once, by default as a
+    reliable checkpoint; parsed contigs are one of them, so that the source is parsed once."""
+    contigs = store(contigs)
     orfs = store(detect(contigs, min_length))
     seqs = store(self_training_sequences(orfs, contigs))
     bundle = store(models.model_bundle(seqs, fixed_order))
-    scored = store(scoring.score_orfs(orfs, contigs, bundle, weights))
+    scored = scoring.score_orfs(orfs, contigs, bundle, weights, store=store)
     return Annotation(contigs, orfs, seqs, bundle, scored)
 
 
