@@ -56,7 +56,7 @@ FLIP_PROB = 0.80
 SINGLETON_GAP = 999.0
 
 # --- fixed values: upstream motifs and alignments -------------------------------------------------
-SD_MOTIFS = ("AGGAGG", "GGAGG", "AGGAG", "GAGG", "AGGA", "GGAG", "AGG")
+SD_MOTIFS = ("AAGGAGG", "AAGGAG", "AGGAG", "GGAGG", "GAGG", "AAGG", "AGGA")
 ANTI_SD = "GAUCACCUCCUUA"
 TATA_BOX = "TATAAT"
 PAIR_WINDOW = 25

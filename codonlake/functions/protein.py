@@ -69,11 +69,11 @@ def amino_acid_entropy(protein: Column, min_length: int = 10, short_value: float
 
 
 def n_terminal_shares(seq: Column, n_codons: int = 5) -> dict[str, Column]:
-    """Composition of the first codons of an ORF (the start codon included)."""
-    head = translate_all(F.substring(seq, 1, 3 * n_codons))
+    """Composition of the first codons of an ORF (start codon included, stops not counted)."""
+    head = F.replace(translate_all(F.substring(seq, 1, 3 * n_codons)), F.lit("*"), F.lit(""))
     return {
-        "nterm_basic": share_of(head, "KRH"),
-        "nterm_acidic": share_of(head, "DE"),
+        "nterm_charged_pos": share_of(head, "KRH"),
+        "nterm_charged_neg": share_of(head, "DE"),
         "nterm_polar": share_of(head, "STNQ"),
-        "nterm_nonpolar": share_of(head, "ACGILMFPWVY"),
+        "nterm_hydrophobic": share_of(head, "ACGILMFPWVY"),
     }

@@ -143,14 +143,38 @@ def add_rbs_score(orfs: DataFrame) -> DataFrame:
 
 
 def best_sites(orfs: DataFrame, keep: list[str]) -> DataFrame:
-    """Motif, spacing, letters and place of the best site; the first place wins among equals."""
-    order = F.struct("site_score", -F.col("site_start"), -F.col("site_length"))
-    what = F.struct(
-        F.col("site_score").alias("rbs_score"),
-        F.col("motif").alias("rbs_motif"),
-        F.col("spacing").alias("rbs_spacing"),
-        F.col("word").alias("rbs_sequence"),
-        F.col("site_start").alias("rbs_position"),
+    """Motif, spacing, letters and place of the best site; the first place wins among equals.
+
+    The place is found by its number in the list of places, so the aggregation holds plain numbers (a
+    hash aggregate); one look-up of the word afterwards brings its motif. Scores differ by more than
+    0.001 or not at all, which leaves room for the place number in the ordering value.
+    """
+    padded = F.lpad("upstream", C.RBS_WINDOW, "-")
+    spread = orfs.select(*keep, padded.alias("_up"), F.posexplode(_places()).alias("_no", "_p"))
+    spread = spread.select(*keep, "_up", "_no", "_p.*")
+    words = F.broadcast(stored_site_words(orfs.sparkSession))
+    scored = spread.withColumn(
+        "word", F.expr("substring(_up, site_start + 1, site_length)")
+    ).join(words.drop("motif"), "word")
+    score = (
+        F.col("spacing_score") * 2.0
+        + F.col("motif_score") * 1.5
+        + (F.col("purine") - C.RBS_MIN_PURINE) * 2.0
+    )
+    best = scored.withColumn("_s", score).groupBy(*keep, "_up").agg(
+        F.max("_s").alias("rbs_score"), F.max_by("_no", F.col("_s") - F.col("_no") * 1e-9).alias("_no")
+    )
+    place = F.get(_places(), F.col("_no"))
+    best = best.select(*keep, "_up", "rbs_score", place["site_start"].alias("rbs_position"),
+                       place["site_length"].alias("_len"), place["spacing"].alias("rbs_spacing"))
+    best = best.withColumn("word", F.expr("substring(_up, rbs_position + 1, _len)"))
+    return best.join(words.select("word", "motif"), "word").select(
+        *keep, "rbs_score", F.col("motif").alias("rbs_motif"), "rbs_spacing",
+        F.col("word").alias("rbs_sequence"), "rbs_position",
     )
-    best = site_candidates(orfs, keep).groupBy(*keep).agg(F.max_by(what, order).alias("b"))
-    return best.select(*keep, "b.*")
+
+
+def sites_in_use(orfs: DataFrame) -> DataFrame:
+    """How often each word is met at an allowed place, with what it is worth."""
+    hits = site_candidates(orfs, ["genome_id"])
+    return hits.groupBy("word", "purine", "motif_score", "motif").agg(F.count("*").alias("n"))

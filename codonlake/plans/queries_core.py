@@ -59,12 +59,11 @@ def rbs_site_q(spark, sf_dir):
     return rounded(rbs.best_sites(orfs, ["genome_id", "contig_id", "strand", "start"]))
 
 
-@register("rbs_site_words", query(
-    f"SELECT word, {rsql('purine', 'motif_score')}, motif FROM word_scores, (SELECT 1 FROM documents LIMIT 1)",
-    "word_scores"))
+@register("rbs_words_in_use", query(
+    f"SELECT word, {rsql('purine', 'motif_score')}, motif, n FROM word_scores JOIN (SELECT word, count(*) AS n FROM site_hits GROUP BY word) USING (word)",
+    "word_scores site_hits"))
 def site_words_q(spark, sf_dir):
-    """Words that occur as sites in the contigs are found by rbs_best_site; this is the value table."""
-    return rounded(rbs.site_words(spark))
+    return rounded(rbs.sites_in_use(context(spark, sf_dir).orfs))
 
 
 # ---- intervals -------------------------------------------------------------------------------------
