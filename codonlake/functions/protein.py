@@ -7,20 +7,23 @@ from itertools import product
 from pyspark.sql import Column, functions as F
 
 from codonlake import constants as C
-from codonlake.functions.sequence import _entropy_bits, codons, ratio, letter_count
+from codonlake.functions.sequence import _entropy_bits, codons, letter_count, ratio
 
 
-def _table11() -> Column:
-    """codon -> amino acid as one constant map column (64 entries, built from the letter order)."""
-    names = ["".join(p) for p in product(C.CODON_LETTERS, repeat=3)]
-    return F.create_map(*[F.lit(x) for pair in zip(names, C.AMINO_ACIDS_T11) for x in pair])
+def _letters_by_code() -> str:
+    """Amino acids in base-4 order of the codon (A, C, G, T), from the table in its usual order."""
+    usual = dict(zip(("".join(p) for p in product(C.CODON_LETTERS, repeat=3)), C.AMINO_ACIDS_T11))
+    return "".join(usual["".join(p)] for p in product("ACGT", repeat=3))
 
 
 def translate_all(seq: Column) -> Column:
     """Amino acids of every complete codon, stops as ``*``, codons with other letters as X."""
-    table = _table11()
-    letters = F.transform(codons(seq), lambda c: F.coalesce(F.element_at(table, c), F.lit("X")))
-    return F.array_join(letters, "")
+    table = F.lit(_letters_by_code())
+    code = lambda c: F.conv(F.translate(c, "ACGT", "0123"), 4, 10).cast("int")
+    letter = lambda c: F.when(
+        F.translate(c, "ACGT", "") == "", F.substring(table, code(c) + 1, F.lit(1))
+    ).otherwise("X")
+    return F.array_join(F.transform(codons(seq), letter), "")
 
 
 def translate_to_stop(seq: Column) -> Column:
