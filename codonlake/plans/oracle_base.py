@@ -24,6 +24,8 @@ def query(final: str, needs: str) -> str:
 
     for n in needs.split():
         visit(n)
+    if not order:
+        return final.strip()
     parts = [f"{n} AS MATERIALIZED (\n{CTE[n][1].strip()}\n)" for n in order]
     return "WITH " + ",\n".join(parts) + "\n" + final.strip()
 
