@@ -35,21 +35,20 @@ def share_of(protein: Column, letters: str) -> Column:
     return ratio(letter_count(protein, letters).cast("double"), F.length(protein))
 
 
-def hydropathy_mean(protein: Column) -> Column:
-    total = sum(letter_count(protein, aa) * F.lit(v) for aa, v in sorted(C.HYDROPATHY.items()))
+def _hydropathy_moment(protein: Column, power: int) -> Column:
+    total = sum(letter_count(protein, aa) * F.lit(v**power) for aa, v in sorted(C.HYDROPATHY.items()))
     return ratio(total, F.length(protein))
 
 
+def hydropathy_mean(protein: Column) -> Column:
+    return _hydropathy_moment(protein, 1)
+
+
 def hydropathy_std(protein: Column) -> Column:
-    """Population deviation, from letter counts: one value per amino acid, so no per-letter array."""
-    n = F.length(protein)
-    mean = hydropathy_mean(protein)
-    known = sum(letter_count(protein, aa) for aa in sorted(C.HYDROPATHY))
-    square = sum(
-        letter_count(protein, aa) * (F.lit(v) - mean) * (F.lit(v) - mean)
-        for aa, v in sorted(C.HYDROPATHY.items())
-    ) + (n - known) * mean * mean
-    return F.when(n > 1, F.sqrt(square / n)).otherwise(F.lit(0.0))
+    """Population deviation from letter counts. Letters without a value count as 0."""
+    mean = _hydropathy_moment(protein, 1)
+    spread = F.sqrt(F.greatest(_hydropathy_moment(protein, 2) - F.pow(mean, F.lit(2.0)), F.lit(0.0)))
+    return F.when(F.length(protein) > 1, spread).otherwise(F.lit(0.0))
 
 
 def protein_features(protein: Column) -> dict[str, Column]:

@@ -79,32 +79,28 @@ def codon_diversity(seq: Column) -> Column:
     return ratio(F.size(F.array_distinct(valid)).cast("double"), F.size(valid))
 
 
+def bind(value: Column, use) -> Column:
+    """use(value) with ``value`` evaluated once per row, even where ``use`` needs it many times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _entropy_bits(items: Column, inside_log: float) -> Column:
     """Shannon entropy in bits of an array of symbols; ``inside_log`` is added inside the logarithm.
 
-    Sorting turns equal symbols into runs, so every distinct symbol is counted from two positions
-    of the sorted array instead of one pass per symbol.
+    Sorting turns equal symbols into runs, so one pass over the sorted array counts every symbol.
     """
-    ordered = F.array_sort(items)
-    total = F.size(items).cast("double")
-    fold = F.aggregate(
-        F.concat(ordered, F.array(F.lit("~"))),
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("h")),
-        lambda acc, x: F.when(
+    def fold(ordered: Column, total: Column) -> Column:
+        part = lambda run: run / total * F.log2(run / total + F.lit(inside_log))
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("h"))
+        step = lambda acc, x: F.when(
             (acc["last"] == x) | (acc["run"] == 0),
             F.struct(x.alias("last"), (acc["run"] + 1).alias("run"), acc["h"].alias("h")),
         ).otherwise(
-            F.struct(
-                x.alias("last"),
-                F.lit(1).alias("run"),
-                (
-                    acc["h"]
-                    - acc["run"] / total * F.log2(acc["run"] / total + F.lit(inside_log))
-                ).alias("h"),
-            )
-        ),
-    )
-    return fold["h"]
+            F.struct(x.alias("last"), F.lit(1).alias("run"), (acc["h"] - part(acc["run"])).alias("h"))
+        )
+        return F.aggregate(F.concat(ordered, F.array(F.lit("~"))), start, step)["h"]
+
+    return bind(F.array_sort(items), lambda o: bind(F.size(o).cast("double"), lambda n: fold(o, n)))
 
 
 def codon_bias_index(seq: Column) -> Column:
