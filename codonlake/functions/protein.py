@@ -36,7 +36,11 @@ def share_of(protein: Column, letters: str) -> Column:
 
 
 def _hydropathy_moment(protein: Column, power: int) -> Column:
-    total = sum(letter_count(protein, aa) * F.lit(v**power) for aa, v in sorted(C.HYDROPATHY.items()))
+    """Mean of value^power over the residues; letters without a value count as 0."""
+    values = F.array(*[F.lit(C.HYDROPATHY.get(chr(65 + i), 0.0) ** power if chr(65 + i) in C.HYDROPATHY else 0.0)
+                       for i in range(26)])
+    total = F.aggregate(F.split(protein, ""), F.lit(0.0),
+                        lambda acc, aa: acc + F.coalesce(F.get(values, F.ascii(aa) - 65), F.lit(0.0)))
     return ratio(total, F.length(protein))
 
 

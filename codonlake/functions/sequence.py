@@ -66,19 +66,26 @@ def valid_codons(seq: Column) -> Column:
     return F.filter(codons(seq), lambda c: ~c.contains("N"))
 
 
-def gc3_content(seq: Column) -> Column:
-    """G/C share at the third codon position over codons without N."""
-    valid = valid_codons(seq)
-    strong = F.filter(valid, lambda c: F.substring(c, 3, 1).isin("G", "C"))
+def gc3_of(valid: Column) -> Column:
+    """G/C share at the third position of an array of codons."""
+    strong = F.filter(valid, lambda c: F.right(c, F.lit(1)).isin("G", "C"))
     return ratio(F.size(strong).cast("double"), F.size(valid))
 
 
-def codon_diversity(seq: Column) -> Column:
+def diversity_of(valid: Column) -> Column:
     """Distinct codons over all codons."""
-    valid = valid_codons(seq)
     return ratio(F.size(F.array_distinct(valid)).cast("double"), F.size(valid))
 
 
+def gc3_content(seq: Column) -> Column:
+    """G/C share at the third codon position over codons without N."""
+    return bind(valid_codons(seq), gc3_of)
+
+
+def codon_diversity(seq: Column) -> Column:
+    return bind(valid_codons(seq), diversity_of)
+
+
 def bind(value: Column, use) -> Column:
     """use(value) with ``value`` evaluated once per row, even where ``use`` needs it many times."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -103,13 +110,16 @@ def _entropy_bits(items: Column, inside_log: float) -> Column:
     return bind(F.array_sort(items), lambda o: bind(F.size(o).cast("double"), lambda n: fold(o, n)))
 
 
-def codon_bias_index(seq: Column) -> Column:
-    """1 - H(codons)/log2(61); 0 without codons."""
-    valid = valid_codons(seq)
+def bias_of(valid: Column) -> Column:
+    """1 - H(codons)/log2(61) of an array of codons; 0 without codons."""
     h = _entropy_bits(valid, 1e-10)
     return F.when(F.size(valid) > 0, 1.0 - h / F.log2(F.lit(61.0))).otherwise(F.lit(0.0))
 
 
+def codon_bias_index(seq: Column) -> Column:
+    return bind(valid_codons(seq), bias_of)
+
+
 def hairpin_near_stop(seq: Column, window: int = 30) -> Column:
     """1 when more than 60 % of the last ``window`` bases equal their own reverse complement in place."""
     tail = F.split(F.right(seq, F.lit(window)), "")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codonlake import constants as C
 from codonlake.functions import protein as P, sequence as S, upstream as U
 from codonlake.operators.distribute import join_per_genome
-from codonlake.operators.orf import GROUP, slice_forward, with_sequence, with_upstream
+from codonlake.operators.orf import GROUP, ORF, slice_forward, with_sequence, with_upstream
 from codonlake.operators.scoring import markov_lookup
 from codonlake.operators.starts import rank_starts
 
@@ -32,6 +32,9 @@ def candidate_features(candidates: DataFrame, contigs: DataFrame, genome_gc: Dat
         box = F.when(F.col("genome_start") >= 51, S.minus10_score(F.col("_box"))).otherwise(F.lit(0.0))
     else:
         box = F.lit(0.0)
+    # work per row grows with its sequence, and long ORFs nest in few contigs: spread them by ORF
+    rows = rows.repartition(*ORF).withColumn("_codons", S.valid_codons(F.col("sequence")))
+    codons = F.col("_codons")
     seq, n = F.col("sequence"), F.col("length")
     rows = rows.select(
         "*",
@@ -42,12 +45,12 @@ def candidate_features(candidates: DataFrame, contigs: DataFrame, genome_gc: Dat
         S.stop_codon_type(seq).alias("stop_codon_type"),
         (F.coalesce("rbs_score", F.lit(0.0)) > 3.0).cast("double").alias("has_kozak_like"),
         S.gc_content(seq).alias("gc_content"),
-        S.gc3_content(seq).alias("gc3_content"),
+        S.gc3_of(codons).alias("gc3_content"),
         S.gc_skew(seq).alias("gc_skew"),
         S.at_skew(seq).alias("at_skew"),
         S.purine_fraction(seq).alias("purine_content"),
-        S.codon_diversity(seq).alias("effective_num_codons"),
-        S.codon_bias_index(seq).alias("codon_bias_index"),
+        S.diversity_of(codons).alias("effective_num_codons"),
+        S.bias_of(codons).alias("codon_bias_index"),
         S.hairpin_near_stop(seq).alias("has_hairpin_near_stop"),
         box.alias("minus10_box_score"),
         P.translate_to_stop(seq).alias("protein"),
@@ -63,7 +66,7 @@ def candidate_features(candidates: DataFrame, contigs: DataFrame, genome_gc: Dat
         rows = join_per_genome(rows, genome_gc)
     return rows.withColumn(
         "gc_deviation", F.col("gc_content") - F.coalesce("genome_gc", F.lit(0.0))
-    ).drop("genome_gc", "_box")
+    ).drop("genome_gc", "_box", "_codons")
 
 
 # ---- stop groups -----------------------------------------------------------------------------------

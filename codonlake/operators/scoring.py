@@ -33,7 +33,8 @@ def markov_lookup(table: Column, order: Column, pos: Column, word: Column) -> Co
 def own_parts(orfs: DataFrame, contigs: DataFrame, models: DataFrame) -> DataFrame:
     """Per ORF: sums over the bases it owns (see module text)."""
     by_start = Window.partitionBy(*GROUP).orderBy("start")
-    keyed = orfs.select(*ORF, "contig_length", F.lead("start").over(by_start).alias("_next"))
+    keyed = orfs.select(*ORF, "contig_length").repartition(*CONTIG)  # serves window, join, aggregation
+    keyed = keyed.select(*ORF, "contig_length", F.lead("start").over(by_start).alias("_next"))
     own = F.coalesce(F.col("_next"), F.col("end") + 1) - F.col("start")
     last = F.least(F.col("end"), F.col("start") + own - 1 + C.MAX_MARKOV_ORDER)
     keyed = keyed.select(*ORF, own.cast("int").alias("_own"), F.col("contig_length"), last.alias("_last"))
