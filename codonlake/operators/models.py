@@ -220,7 +220,7 @@ def _ratio_tables(rows: pd.DataFrame, order: int) -> list[np.ndarray]:
 
 
 def _best_order(rows: pd.DataFrame, bound: int) -> tuple[int, float]:
-    """Order with the highest mean score of the held-out coding rows; the lowest among equals."""
+    """Order with the highest summed score of the held-out coding rows; the lowest among equals."""
     tables = _ratio_tables(rows[~rows["held_out"]], bound)
     held = rows[(rows["cls"] == CODING) & rows["held_out"]]
     size, code = held["size"].to_numpy(), held["code"].to_numpy()
@@ -250,7 +250,8 @@ def _markov_of_genome(fixed_order: int | None):
         elif bound < 2 or int(rows["few"].iloc[0]) == 1:
             order = bound
         else:
-            order, score = _best_order(rows, bound)
+            order, total = _best_order(rows, bound)
+            score = total / int(rows["n_held"].iloc[0])
         flat = np.concatenate(_ratio_tables(rows, order), axis=1).ravel()
         return pd.DataFrame(
             {"genome_id": [rows["genome_id"].iloc[0]], "bound": [bound], "markov_order": [order],
@@ -273,7 +274,8 @@ def markov_models(seqs: DataFrame, fixed_order: int | None = None) -> DataFrame:
         marked = seqs.withColumn("held_out", F.lit(False))
     else:
         marked = mark_held_out(seqs)
-    counts = word_counts(marked, sizes).join(sizes.select("genome_id", few), "genome_id")
+    n_held = F.greatest(F.lit(1), F.floor(F.col("n_coding") * F.lit(C.VALIDATION_SHARE))).alias("n_held")
+    counts = word_counts(marked, sizes).join(sizes.select("genome_id", few, n_held), "genome_id")
     return counts.groupBy("genome_id").applyInPandas(_markov_of_genome(fixed_order), MODEL_SCHEMA)
 
 
