@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, functions as F
 
 from codonlake import constants as C
-from codonlake.functions.sequence import _entropy_bits, codons, letter_count, ratio
+from codonlake.functions.sequence import _entropy_bits, bind, codons, letter_count, ratio
 
 
 def _letters_by_code() -> str:
@@ -35,23 +35,24 @@ def share_of(protein: Column, letters: str) -> Column:
     return ratio(letter_count(protein, letters).cast("double"), F.length(protein))
 
 
-def _hydropathy_moment(protein: Column, power: int) -> Column:
-    """Mean of value^power over the residues; letters without a value count as 0."""
-    values = F.array(*[F.lit(C.HYDROPATHY.get(chr(65 + i), 0.0) ** power if chr(65 + i) in C.HYDROPATHY else 0.0)
-                       for i in range(26)])
-    total = F.aggregate(F.split(protein, ""), F.lit(0.0),
-                        lambda acc, aa: acc + F.coalesce(F.get(values, F.ascii(aa) - 65), F.lit(0.0)))
+def _mean_over_residues(protein: Column, use) -> Column:
+    """Mean of use(hydropathy) over the residues; letters without a value count as 0."""
+    values = F.array(*[F.lit(C.HYDROPATHY.get(chr(65 + i), 0.0)) for i in range(26)])
+    value = lambda aa: F.coalesce(F.get(values, F.ascii(aa) - 65), F.lit(0.0))
+    total = F.aggregate(F.split(protein, ""), F.lit(0.0), lambda acc, aa: acc + use(value(aa)))
     return ratio(total, F.length(protein))
 
 
 def hydropathy_mean(protein: Column) -> Column:
-    return _hydropathy_moment(protein, 1)
+    return _mean_over_residues(protein, lambda v: v)
 
 
 def hydropathy_std(protein: Column) -> Column:
-    """Population deviation from letter counts. Letters without a value count as 0."""
-    mean = _hydropathy_moment(protein, 1)
-    spread = F.sqrt(F.greatest(_hydropathy_moment(protein, 2) - F.pow(mean, F.lit(2.0)), F.lit(0.0)))
+    """Population deviation of the hydropathy, 0 for a single residue."""
+    spread = bind(
+        hydropathy_mean(protein),
+        lambda m: F.sqrt(_mean_over_residues(protein, lambda v: (v - m) * (v - m))),
+    )
     return F.when(F.length(protein) > 1, spread).otherwise(F.lit(0.0))
 
 

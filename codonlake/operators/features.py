@@ -96,7 +96,7 @@ def group_features(rows: DataFrame, weights: dict[str, float] | None = None) ->
         F.max("length").over(group).alias("_longest"),
     )
     n = F.count("*")
-    share = F.greatest(score["combined"], F.lit(0.0)) / F.col("_positive")
+    share = S.ratio(F.greatest(score["combined"], F.lit(0.0)), F.col("_positive"))
     entropy = F.coalesce(-F.sum(F.when(share > 0, share * F.log(share) / F.log(F.lit(2.0)))), F.lit(0.0))
     ordered = F.sort_array(F.collect_list(score["combined"]), asc=False)
     first_top = F.min(F.when(score["combined"] == F.col("_top_combined"), F.col("start")))

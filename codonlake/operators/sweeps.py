@@ -176,7 +176,7 @@ def bootstrap_delta(groups: DataFrame, old: dict[str, float], new: dict[str, flo
         times = F.when(F.col("_u") < lim, F.lit(k)).otherwise(times)
     rows = diff.select(*GROUP, "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     per = rows.withColumn("_u", u).select("replicate", "d", times.alias("k")).groupBy("replicate").agg(
-        (F.sum(F.col("d") * F.col("k")) / F.sum("k")).alias("delta"))
+        ratio(F.sum(F.col("d") * F.col("k")).cast("double"), F.sum("k")).alias("delta"))
     ci = per.agg(F.avg("delta").alias("mean_delta"), F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     low, high = F.get("ci", F.lit(0)), F.get("ci", F.lit(1))
     return ci.select("mean_delta", low.alias("low"), high.alias("high"),
