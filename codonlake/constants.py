@@ -25,6 +25,7 @@ TRAIN_MIN_LENGTH = 300
 TRAIN_MAX_LENGTH = 20000
 TRAIN_CAP = 2000
 TRAIN_MAX_OVERLAP = 0.3
+TRAIN_MAX_ENTROPY = 4.2
 INTERGENIC_MIN_LENGTH = 150
 INTERGENIC_BUFFER = 50
 INTERGENIC_GENE_LENGTH = 200

@@ -24,18 +24,17 @@ def _count(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit(name).alias("what"), "n")
 
 
-def _metrics(predicted: DataFrame, reference: DataFrame, hits: DataFrame, by: list[str],
-             matched: DataFrame | None = None) -> DataFrame:
-    parts = _count(predicted, by, "p").unionByName(_count(reference, by, "r")).unionByName(
-        _count(hits, by, "t"))
-    if matched is not None:
-        parts = parts.unionByName(_count(matched, by, "m"))
+def _metrics(parts: list[DataFrame], by: list[str], matched: bool = False) -> DataFrame:
+    """Metrics from counts of predictions (p), references (r), hits (t) and matched references (m)."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
     total = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
     cols = [total("t").alias("tp"), (total("p") - total("t")).alias("fp"),
             (total("r") - total("t")).alias("fn")]
-    if matched is not None:
+    if matched:
         cols.append(total("m").alias("matched_refs"))
-    out = parts.groupBy(*by).agg(*cols)
+    out = rows.groupBy(*by).agg(*cols)
     return out.select("*", *quality(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -44,12 +43,15 @@ def exact_metrics(predicted: DataFrame, reference: DataFrame, by: list[str] = ["
     """Coordinates equal, strand not compared. Duplicate predictions count as rows.
 
     ``extra`` columns of the predictions (a stage or configuration name) are added to the result keys;
-    the reference is then counted for each of their values.
+    the counts of the reference then stand beside each of their values (genomes times names: the rows of
+    the result).
     """
     hits = predicted.select(*COORDS, *extra).join(reference.select(*COORDS), COORDS)
+    refs = _count(reference, by, "r")
     if extra:
-        reference = reference.join(F.broadcast(predicted.select(*extra).distinct()), how="cross")
-    return _metrics(predicted, reference, hits, [*by, *extra])
+        refs = refs.join(F.broadcast(predicted.select(*extra).distinct()), how="cross")
+    keys = [*by, *extra]
+    return _metrics([_count(predicted, keys, "p"), refs, _count(hits, keys, "t")], keys)
 
 
 def set_metrics(predicted: DataFrame, reference: DataFrame, by: list[str] = ["genome_id"]) -> DataFrame:
@@ -83,7 +85,9 @@ def tolerance_metrics(predicted: DataFrame, reference: DataFrame, start_tol: int
     """A prediction counts when some reference lies within both tolerances. Several predictions may hit
     one reference, so fn = references - tp can be negative; matched_refs tells how many were hit."""
     hits = near_hits(predicted, reference, start_tol, end_tol)
-    return _metrics(predicted, reference, hits, by, near_hits(reference, predicted, start_tol, end_tol))
+    matched = near_hits(reference, predicted, start_tol, end_tol)
+    return _metrics([_count(predicted, by, "p"), _count(reference, by, "r"), _count(hits, by, "t"),
+                     _count(matched, by, "m")], by, True)
 
 
 def missing_and_extra(predicted: DataFrame, reference: DataFrame) -> DataFrame:
@@ -119,6 +123,29 @@ def batch_report(metrics: DataFrame, groups: DataFrame) -> DataFrame:
         *cols, low.alias("flag_low_f1"), small.alias("flag_small"))
 
 
+def benchmark_summary(metrics: DataFrame, groups: DataFrame, runtimes: DataFrame | None = None,
+                      tax_group: str | None = None, limit: int | None = None) -> DataFrame:
+    """Batch report of a benchmark run: optional taxonomic group, optional number of genomes per group (a
+    sampling option of the benchmark), mean runtime beside the metrics where runtimes are given."""
+    if tax_group is not None:
+        groups = groups.where(F.col("tax_group") == tax_group)
+    if limit is not None:
+        rank = Window.partitionBy("tax_group").orderBy("genome_id")
+        groups = groups.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= limit).drop("_r")
+    report = batch_report(metrics, groups)
+    if runtimes is None:
+        return report
+    timed = groups.join(runtimes, "genome_id")
+    mean = timed.groupBy("tax_group").agg(F.avg("seconds").alias("seconds"))
+    per = (
+        timed.select(F.lit("genome").alias("level"), F.col("genome_id").alias("key"), "seconds")
+        .unionByName(mean.select(F.lit("group").alias("level"), F.col("tax_group").alias("key"), "seconds"))
+        .unionByName(timed.agg(F.avg("seconds").alias("seconds")).select(
+            F.lit("overall").alias("level"), F.lit("all").alias("key"), "seconds"))
+    )
+    return report.join(per, ["level", "key"], "left")
+
+
 def genome_report(metrics: DataFrame) -> DataFrame:
     """One text line per genome."""
     line = F.format_string(

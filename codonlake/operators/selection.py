@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codonlake import constants as C
+from codonlake.functions.protein import amino_acid_entropy, translate_to_stop
 from codonlake.operators.intervals import number_islands
-from codonlake.operators.orf import CONTIG
+from codonlake.operators.orf import CONTIG, with_sequence
 
 COORDS = [*CONTIG, "genome_start", "genome_end"]
 
@@ -90,6 +91,12 @@ def training_set(orfs: DataFrame, limit: int = C.TRAIN_CAP) -> DataFrame:
     return pool.join(both, COORDS, "left_semi").select(*orfs.columns)
 
 
-def low_entropy(orfs_with_entropy: DataFrame, max_entropy: float = 4.2) -> DataFrame:
-    """Candidates whose protein has an amino-acid entropy of at most ``max_entropy`` bits."""
-    return orfs_with_entropy.where(F.col("aa_entropy") <= max_entropy)
+def add_entropy(orfs: DataFrame, contigs: DataFrame) -> DataFrame:
+    """aa_entropy of the protein up to its first stop, for ORFs long enough to be training candidates."""
+    long = with_sequence(orfs.where(F.col("length") >= C.TRAIN_MIN_LENGTH), contigs)
+    return long.withColumn("aa_entropy", amino_acid_entropy(translate_to_stop(F.col("sequence")))).drop("sequence")
+
+
+def low_entropy(orfs: DataFrame, contigs: DataFrame, max_entropy: float = C.TRAIN_MAX_ENTROPY) -> DataFrame:
+    """Training candidates whose protein has at most ``max_entropy`` bits; input for either choice."""
+    return add_entropy(orfs, contigs).where(F.col("aa_entropy") <= max_entropy)

@@ -135,8 +135,8 @@ FROM (SELECT genome_id, contig_id, min(start) AS start, max("end") AS "end" FROM
   GROUP BY genome_id, contig_id, island) m JOIN contigs c USING (genome_id, contig_id)
 """)
 # ---- greedy choice: one fold per contig ----
-def _fold(name: str, where: str, keys: str, order: str, conflict: str, cap_order: str) -> None:
-    block(name, "orfs", f"""
+def _fold(name: str, where: str, keys: str, order: str, conflict: str, cap_order: str, source: str = "orfs") -> None:
+    block(name, source, f"""
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY {cap_order}) AS rn FROM (
     SELECT unnest(list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: {conflict})) > 0
@@ -144,7 +144,7 @@ SELECT * EXCLUDE (rn) FROM (
     FROM (SELECT list([{{'genome_id': genome_id, 'contig_id': contig_id, 'strand': strand, 'end': "end",
                 'start': start, 'genome_start': genome_start, 'genome_end': genome_end, 'length': length,
                 'frame': frame, 'start_codon': start_codon}}] ORDER BY {order}) AS items
-          FROM orfs WHERE {where} GROUP BY {keys})))
+          FROM {source} WHERE {where} GROUP BY {keys})))
 WHERE rn <= 2000
 """)
 
@@ -158,6 +158,27 @@ _fold("atg_first", "length BETWEEN 300 AND 20000", "genome_id, contig_id, strand
       "greatest(least(y.genome_end, x[1].genome_end) - greatest(y.genome_start, x[1].genome_start) + 1, 0)"
       " / CAST(x[1].length AS DOUBLE) > 0.3",
       f"CASE WHEN start_codon = 'ATG' THEN 0 ELSE 1 END, length DESC, contig_id, {_tie}")
+block("aa", "", """
+SELECT substr('TCAG', CAST(i // 16 + 1 AS BIGINT), 1) || substr('TCAG', CAST((i // 4) % 4 + 1 AS BIGINT), 1)
+       || substr('TCAG', CAST(i % 4 + 1 AS BIGINT), 1) AS codon,
+       substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', CAST(i + 1 AS BIGINT), 1) AS letter
+FROM range(64) t(i)
+""")
+block("calm_orfs", "orfs contigs aa", """
+SELECT o.* FROM orfs o JOIN (
+ SELECT genome_id, contig_id, strand, start, -sum(n / CAST(t AS DOUBLE) * log2(n / CAST(t AS DOUBLE))) AS h, any_value(t) AS t FROM (
+  SELECT *, sum(n) OVER (PARTITION BY genome_id, contig_id, strand, start) AS t FROM (
+   SELECT genome_id, contig_id, strand, start, coalesce(aa.letter, 'X') AS letter, count(*) AS n FROM (
+    SELECT *, substr(s, CAST(i AS BIGINT) + 1, 3) AS codon FROM (SELECT *, unnest(range(0, length - 3, 3)) AS i FROM (
+      SELECT o.*, CASE WHEN strand = 'forward' THEN substr(c.seq, genome_start, o.length)
+        ELSE reverse(translate(substr(c.seq, genome_start, o.length), 'ACGT', 'TGCA')) END AS s
+      FROM orfs o JOIN contigs c USING (genome_id, contig_id) WHERE o.length >= 300)))
+   LEFT JOIN aa USING (codon) GROUP BY ALL)) GROUP BY ALL) e USING (genome_id, contig_id, strand, start)
+WHERE e.t >= 10 AND e.h <= 2.9
+""")
+_fold("longest_first_calm", "length >= 300", "genome_id, contig_id", f"length DESC, {_tie}",
+      "y.genome_start <= x[1].genome_end AND y.genome_end >= x[1].genome_start",
+      f"length DESC, contig_id, {_tie}", "calm_orfs")
 block("training0", "orfs longest_first atg_first", """
 SELECT o.* FROM orfs o JOIN (
   SELECT genome_id, contig_id, genome_start, genome_end FROM longest_first INTERSECT

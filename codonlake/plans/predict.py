@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from codonlake import constants as C
 from codonlake.operators import intervals, models, orf, rbs, scoring, selection, starts
@@ -63,3 +63,24 @@ def predict_from_scored(scored: DataFrame, group_filter=None, start_choice=None,
 def predict_genes(contigs: DataFrame, **options) -> DataFrame:
     keep = {k: options.pop(k) for k in ("min_length", "fixed_order", "store") if k in options}
     return predict_from_scored(annotate(contigs, **keep).scored, **options)
+
+
+def training_matrix(contigs: DataFrame, genomes: DataFrame, reference: DataFrame, stage: str = "groups",
+                    n_val: int = 2, n_test: int = 2, seed: int = 42, **options) -> DataFrame:
+    """Features, label and split of all genomes in one job.
+
+    ``stage`` is "groups" (before start choice, for the group classifier) or "candidates" (after it and
+    the second filter, for the candidate classifier). Genomes without a reference are left out.
+    """
+    from codonlake.operators import features, labels
+
+    known = genomes.join(reference.select("genome_id").distinct(), "genome_id", "left_semi")
+    splits = labels.stratified_genome_split(known, n_val, n_test, seed)
+    used = contigs.join(known.select("genome_id"), "genome_id", "left_semi")
+    run = annotate(used, **options)
+    if stage == "groups":
+        rows = starts.filter_candidates(run.scored, C.FIRST_FILTER)
+        table = features.group_features(rows).join(labels.label_groups(rows, reference), orf.GROUP)
+    else:
+        table = labels.label_orfs(features.candidate_features(predict_from_scored(run.scored), run.contigs), reference)
+    return table.join(splits.select("genome_id", "tax_group", "split"), "genome_id")

@@ -105,6 +105,13 @@ def training_q(spark, sf_dir):
     return selection.training_set(context(spark, sf_dir).orfs).select(*ORF_COLS)
 
 
+@register("training_low_entropy", query(f"SELECT {_O} FROM longest_first_calm", "longest_first_calm"))
+def low_entropy_q(spark, sf_dir):
+    """Longest-first choice among candidates of at most 2.9 bits (few letters of these texts give more)."""
+    ctx = context(spark, sf_dir)
+    return selection.longest_first(selection.low_entropy(ctx.orfs, ctx.contigs, 2.9)).select(*ORF_COLS)
+
+
 # ---- models ----------------------------------------------------------------------------------------
 @register("codon_model", query(
     f"SELECT genome_id, cls, codon, n, {rsql('freq', digits=9)} FROM codon_freq", "codon_freq"))

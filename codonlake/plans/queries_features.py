@@ -13,12 +13,6 @@ from codonlake.plans.suite import register, rounded, rsql
 _ID = 'genome_id, contig_id, strand, start, "end"'
 _IDS = ("genome_id", "contig_id", "strand", "start", "end")
 
-_AA = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-block("aa", "", f"""
-SELECT substr('TCAG', CAST(i // 16 + 1 AS BIGINT), 1) || substr('TCAG', CAST((i // 4) % 4 + 1 AS BIGINT), 1)
-       || substr('TCAG', CAST(i % 4 + 1 AS BIGINT), 1) AS codon, substr('{_AA}', CAST(i + 1 AS BIGINT), 1) AS letter
-FROM range(64) t(i)
-""")
 block("kd", "", """
 SELECT * FROM (VALUES ('A',1.8),('R',-4.5),('N',-3.5),('D',-3.5),('C',2.5),('Q',-3.5),('E',-3.5),('G',-0.4),('H',-3.2),
  ('I',4.5),('L',3.8),('K',-3.9),('M',1.9),('F',2.8),('P',-1.6),('S',-0.8),('T',-0.7),('W',-0.9),('Y',-1.3),('V',4.2)) v(letter, kd)

@@ -157,6 +157,32 @@ def choice_q(spark, sf_dir):
     return rounded(G.compare_runs(old, G.exact_metrics(ctx.predictions, ctx.reference), ["genome_id"]))
 
 
+block("stage_configs", "best_starts predictions chosen_equal", " UNION ALL ".join(
+    f"SELECT {_CO}, genome_id AS g, '{n}' AS config FROM {t}" for n, t in (
+        ("first_filter_only", "best_starts"), ("both_filters", "predictions"), ("equal_weights", "chosen_equal"))))
+
+
+@register("configuration_metrics", query(f"""
+SELECT genome_id, config, tp, fp, fn, {rsql(*_m)} FROM (SELECT *, {_Q} FROM (
+ SELECT r.genome_id, c.config, coalesce(t.tp, 0) AS tp, coalesce(t.p, 0) - coalesce(t.tp, 0) AS fp, r.n - coalesce(t.tp, 0) AS fn
+ FROM (SELECT genome_id, count(*) AS n FROM reference GROUP BY 1) r, (SELECT DISTINCT config FROM stage_configs) c
+ LEFT JOIN (SELECT s.genome_id, config, count(*) AS p, count(x.genome_id) AS tp FROM stage_configs s LEFT JOIN reference x USING ({_CO}) GROUP BY ALL) t
+ ON t.genome_id = r.genome_id AND t.config = c.config))""", "stage_configs reference"))
+def config_q(spark, sf_dir):
+    """Several configurations graded in one job."""
+    from codonlake.plans.predict import predict_from_scored
+
+    ctx = context(spark, sf_dir)
+    cols = ["genome_id", "contig_id", "genome_start", "genome_end"]
+    runs = {"first_filter_only": starts.best_starts(ctx.candidates), "both_filters": ctx.predictions,
+            "equal_weights": predict_from_scored(ctx.scored, weights=C.SCORE_WEIGHTS)}
+    rows = None
+    for name, df in runs.items():
+        part = df.select(*cols, F.lit(name).alias("config"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rounded(G.exact_metrics(rows, ctx.reference, extra=["config"]))
+
+
 # ---- labels and distributions ----------------------------------------------------------------------
 block("labelled", "scored ref_set", f"""
 SELECT s.*, CASE WHEN r.genome_id IS NULL THEN 0 ELSE 1 END AS label FROM scored s LEFT JOIN ref_set r USING ({_CO})

@@ -25,10 +25,9 @@ def fasta_q(spark, sf_dir):
     path = scratch(spark)
     fasta.write_fasta(c.withColumn("description", F.col("tax_group")), path)
     back = fasta.read_fasta(spark, f"{path}/*/*")
-    return back.where("length > 0").select(
-        F.regexp_extract(F.lit("-"), "(-)", 1).alias("_x"), "contig_id", "description", "length",
-        F.md5(F.col("seq").cast("binary")).alias("seq_md5"),
-    ).drop("_x").join(c.select("contig_id", "genome_id"), "contig_id").select(
+    rows = back.where("length > 0").select(
+        "contig_id", "description", "length", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+    return rows.join(c.select("contig_id", "genome_id"), "contig_id").select(
         "genome_id", "contig_id", "description", "length", "seq_md5")
 
 
@@ -183,7 +182,7 @@ def report_q(spark, sf_dir):
 
 @register("training_table", query("""
 SELECT genome_id, contig_id, strand, start, label, cand_features.gc3_content IS NOT NULL AS has_features
-FROM cand_features JOIN labelled USING (genome_id, contig_id, strand, start)""".replace("cand_features.gc3_content", "cand_features.gc3_content"), "cand_features labelled"))
+FROM cand_features JOIN labelled USING (genome_id, contig_id, strand, start)""", "cand_features labelled"))
 def training_table_q(spark, sf_dir):
     """Candidates of all genomes with features and label, stored and read back."""
     from codonlake.operators import features, labels
