@@ -9,10 +9,15 @@ from codonlake.operators.orf import CONTIG, slice_forward
 
 
 def number_islands(rows: DataFrame, keys: list[str], start: str, end: str, out: str) -> DataFrame:
-    """Rows whose intervals overlap directly or through others get the same number within ``keys``."""
-    ordered = Window.partitionBy(*keys).orderBy(start, end)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Rows whose intervals overlap directly or through others get the same number within ``keys``.
+
+    Of several equal intervals one opens the island; it is put first when the islands are counted.
+    """
+    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    upto = (
+        Window.partitionBy(*keys).orderBy(F.col(start), F.col(end), F.col("_opens").desc())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     reach = F.max(end).over(before)
     opens = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
     return rows.withColumn("_opens", opens).withColumn(out, F.sum("_opens").over(upto)).drop("_opens")

@@ -110,7 +110,7 @@ UNION ALL SELECT genome_id, contig_id, 'all_orfs', genome_start, genome_end FROM
 """)
 block("merged", "occupied", """
 SELECT genome_id, contig_id, strategy, min(start) AS start, max("end") AS "end" FROM (
-  SELECT *, sum(opens) OVER (PARTITION BY genome_id, contig_id, strategy ORDER BY start, "end"
+  SELECT *, sum(opens) OVER (PARTITION BY genome_id, contig_id, strategy ORDER BY start, "end", opens DESC
                              ROWS UNBOUNDED PRECEDING) AS island FROM (
     SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY genome_id, contig_id, strategy
         ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens
@@ -128,7 +128,7 @@ WHERE start - lo >= 150
 block("intergenic", "gaps contigs", """
 SELECT m.*, m."end" - m.start + 1 AS length, substr(c.seq, m.start, m."end" - m.start + 1) AS sequence
 FROM (SELECT genome_id, contig_id, min(start) AS start, max("end") AS "end" FROM (
-  SELECT *, sum(opens) OVER (PARTITION BY genome_id, contig_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island
+  SELECT *, sum(opens) OVER (PARTITION BY genome_id, contig_id ORDER BY start, "end", opens DESC ROWS UNBOUNDED PRECEDING) AS island
   FROM (SELECT genome_id, contig_id, start, "end", CASE WHEN start <= max("end") OVER (
           PARTITION BY genome_id, contig_id ORDER BY start, "end"
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM gaps))

@@ -506,7 +506,7 @@ def purity_q(spark, sf_dir):
 
 block("ref_merged", "reference", """
 SELECT genome_id, contig_id, min(s) AS s, max(e) AS e FROM (
- SELECT *, sum(o) OVER (PARTITION BY genome_id, contig_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM (
+ SELECT *, sum(o) OVER (PARTITION BY genome_id, contig_id ORDER BY s, e, o DESC ROWS UNBOUNDED PRECEDING) AS isl FROM (
   SELECT genome_id, contig_id, genome_start AS s, genome_end AS e, CASE WHEN genome_start <= max(genome_end) OVER (PARTITION BY genome_id, contig_id
     ORDER BY genome_start, genome_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM reference))
 GROUP BY genome_id, contig_id, isl
