@@ -5,6 +5,7 @@ from __future__ import annotations
 from codonlake.sources.adapters import BASES, LETTERS
 
 CTE: dict[str, tuple[str, str]] = {}
+PARTS: dict[str, tuple[list[str], str]] = {}  # whole query -> its blocks in order, its final SELECT
 
 
 def block(name: str, needs: str, sql: str) -> None:
@@ -24,10 +25,23 @@ def query(final: str, needs: str) -> str:
 
     for n in needs.split():
         visit(n)
-    if not order:
-        return final.strip()
     parts = [f"{n} AS MATERIALIZED (\n{CTE[n][1].strip()}\n)" for n in order]
-    return "WITH " + ",\n".join(parts) + "\n" + final.strip()
+    text = ("WITH " + ",\n".join(parts) + "\n" if order else "") + final.strip()
+    PARTS[text] = (order, final.strip())
+    return text
+
+
+def run_shared(con, text: str):
+    """Run a query with its blocks kept as tables of the connection, so that queries share them."""
+    order, final = PARTS[text]
+    for name in order:
+        con.execute(f"CREATE TABLE IF NOT EXISTS blk_{name} AS " + _over_tables(CTE[name][1], order))
+    return con.execute(_over_tables(final, order))
+
+
+def _over_tables(sql: str, names: list[str]) -> str:
+    aliases = ", ".join(f"{n} AS (SELECT * FROM blk_{n})" for n in names if f"{n}" in sql)
+    return (f"WITH {aliases} " if aliases else "") + sql.strip()
 
 
 block("contigs", "", f"""

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, connect
+from codonlake.plans.oracle_base import run_shared
 
 SF = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
@@ -18,7 +19,7 @@ def con():
 def test_query(spark, con, name):
     got = entry.queries()[name](spark, SF).toPandas()
     if name in SQL:
-        assert compare(got, con.execute(SQL[name]).fetchdf()) == "ok"
+        assert compare(got, run_shared(con, SQL[name]).fetchdf()) == "ok"
 
 
 def test_every_oracle_has_a_query():
