@@ -1,4 +1,4 @@
 """Imports every operator module, so that its query is registered."""
 
-from codonlake.llm import jaccard_join, quality_ledger, source_mix  # noqa: F401
+from codonlake.llm import jaccard_join, quality_ledger, source_mix, warc  # noqa: F401
 from codonlake.llm.common import ORACLE, QUERIES  # noqa: F401
