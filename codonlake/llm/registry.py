@@ -1,4 +1,4 @@
 """Imports every operator module, so that its query is registered."""
 
-from codonlake.llm import jaccard_join, license_scan, quality_ledger, source_mix, warc, winnowing  # noqa: F401
+from codonlake.llm import jaccard_join, license_scan, pii_crf, quality_ledger, source_mix, warc, winnowing  # noqa: F401
 from codonlake.llm.common import ORACLE, QUERIES  # noqa: F401
