@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codonlake.llm import arrays
 from codonlake.llm.common import components, register, stored, table
+from codonlake.session import ship_package
 
 #: A shingle with at least so many documents among the first of their sets goes to the end of the order.
 FREQUENT = 16
@@ -79,6 +80,7 @@ def _frequent(docs: DataFrame, k: int, percent: int) -> np.ndarray:
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per document: id, size, digest of the set, the longest prefix in the global order."""
+    ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, percent))
 
     def make(batches):

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codonlake.llm import arrays
 from codonlake.llm.common import register, table
+from codonlake.session import ship_package
 
 # --- fixed values: phrases of the contract with their labels
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -167,6 +168,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``phrases``: (label, start) of every place of a fixed phrase, ``spans``: (label, first, last, covered) of templates.
     """
+    ship_package(docs.sparkSession)
+
     def run(batches):
         automaton, known, grams, lengths = _templates()
         phrases = list(zip((label for _, label in PHRASES), words_of([p for p, _ in PHRASES])))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codonlake.llm.common import register, table
+from codonlake.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")  # labels 1 to 4; 0 is O
 SAMPLE = 4_000
@@ -158,6 +159,7 @@ class Graph:
 
 def _fit(spark: SparkSession, docs: DataFrame) -> dict[str, np.ndarray]:
     """Potentials from counts over the sample; the counts, not the documents, come to the driver."""
+    ship_package(spark)
     rows = docs.count()
     chosen = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")) if rows <= SAMPLE else docs.select("doc_id", "text").where(
         (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * SAMPLE / rows)) & F.col("text").rlike("[0-9@]"))
@@ -243,7 +245,7 @@ def _plausible(kind: int, piece: str) -> bool:
     if kind == 1:
         return "@" in piece[1:-1]
     if kind == 2:
-        return piece.count(".") == 3 and digits >= 4
+        return bool(m := _IP.fullmatch(piece)) and all(int(p) <= 255 for p in m[0].split(".") if len(p) < 5) and max(map(len, m[0].split("."))) < 5
     if kind == 3:
         return 13 <= digits <= 19
     return 7 <= digits <= 15

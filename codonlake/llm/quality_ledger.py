@@ -67,15 +67,20 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.transform(F.col("_places"), lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_places"), k + 1) - p, F.lit(3)))),
         F.lit(0).cast("long"), lambda a, x: a + x)
-    return (df.withColumn("n_words", F.size("_w").cast("long"))
-            .withColumn("word_chars", F.length("_squeezed").cast("long"))
-            .withColumn("n_symbols", (F.length("_squeezed") - F.length(F.translate("_squeezed", SYMBOLS, ""))).cast("long"))
-            .withColumn("n_lines", F.size("_lines").cast("long"))
-            .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-            .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long")))
-            .withColumn("n_letters", F.length("_letters").cast("long"))
-            .withColumn("n_capitals", F.length(F.regexp_replace("_letters", r"\P{Lu}+", "")).cast("long"))
-            .drop("_w", "_squeezed", "_lines", "_letters", "_sorted", "_places"))
+    measured = {
+        "n_words": F.size("_w"),
+        "word_chars": F.length("_squeezed"),
+        "n_symbols": F.length("_squeezed") - F.length(F.translate("_squeezed", SYMBOLS, "")),
+        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": F.coalesce(covered, F.lit(0)),
+        "n_letters": F.length("_letters"),
+        "n_capitals": F.length(F.regexp_replace("_letters", r"\P{Lu}+", "")),
+    }
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in measured]
+    # a generated row is where the optimiser stops to move filters, which would evaluate all this once per use
+    row = F.explode(F.array(F.struct(*[m.cast("long").alias(name) for name, m in measured.items()])))
+    return df.select(*kept, row.alias("_m")).select(*kept, "_m.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

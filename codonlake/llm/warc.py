@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from codonlake.llm.common import join_hot, register, stored, table
-from codonlake.session import ensure_checkpoint_dir
+from codonlake.session import ensure_checkpoint_dir, ship_package
 
 SCHEMA = ("record_id long, record_type string, target_uri string, payload_digest string, refers_to long, "
           "payload_bytes long, payload binary")
@@ -231,6 +231,7 @@ class WarcSource(DataSource):
 
 def use_warc(spark: SparkSession) -> None:
     """Make the format known to a session, with filters pushed down."""
+    ship_package(spark)
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
