@@ -54,9 +54,9 @@ def _sorted_windows(words: Column) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measurements of all rules."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col("_t"), F.lit(""))
     letters = F.regexp_replace(t, r"\P{L}+", "")
-    df = docs.withColumn("_w", word_array(F.col(text))).withColumn("_squeezed", F.regexp_replace(t, GAP, ""))
+    df = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_t")).withColumn("_w", word_array(F.col("_t"))).withColumn("_squeezed", F.regexp_replace(t, GAP, ""))
     df = df.withColumn("_lines", F.filter(F.split(t, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("_letters", letters)
     df = df.withColumn("_sorted", _sorted_windows(F.col("_w")))
@@ -77,10 +77,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_letters": F.length("_letters"),
         "n_capitals": F.length(F.regexp_replace("_letters", r"\P{Lu}+", "")),
     }
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in measured]
     # a generated row is where the optimiser stops to move filters, which would evaluate all this once per use
     row = F.explode(F.array(F.struct(*[m.cast("long").alias(name) for name, m in measured.items()])))
-    return df.select(*kept, row.alias("_m")).select(*kept, "_m.*")
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in measured]
+    return df.select("_row", row.alias("_m")).select(*kept, "_m.*")
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -88,7 +88,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     bits = F.lit(0).cast("long")
     for name, failed in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(docs, text).withColumn("fail_bits", bits)
+    return measure(docs.drop("fail_bits"), text).withColumn("fail_bits", bits)
 
 
 def apply_policy(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
