@@ -160,9 +160,11 @@ class WarcReader(DataSourceReader):
         with store.open_input_stream(f"{root}/{MANIFEST}") as f:
             return [ArchiveFile(name) for name in json.loads(f.read())["files"]]
 
-    def read(self, partition: ArchiveFile):
+    def read(self, partition: ArchiveFile | None):
         import pyarrow as pa
 
+        if partition is None:  # no files at all
+            return
         store, root = _store(self.path)
         names = ["record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_bytes", "payload"]
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
