@@ -2,8 +2,8 @@
 
 A greedy pass looks at candidates in priority order and takes those that do not conflict with one taken
 before. Conflicts need an overlap, so the pass splits exactly into islands of overlapping candidates,
-and each island is folded by itself. The cap per genome is applied afterwards: the first N taken are
-the N best-ranked of an uncapped pass. Spark limits each map task to N rows per genome before the
+and each island is folded by itself. A cap per genome is an option and off by default (constants give the
+usual one); it is applied afterwards, as the first N taken are the N best-ranked of an uncapped pass. Spark limits each map task to N rows per genome before the
 shuffle (window group limit), so a genome with a third of all rows does not end in one task.
 """
 
@@ -50,7 +50,9 @@ def _greedy(candidates: DataFrame, keys: list[str], atg_first: bool, conflict) -
     )
 
 
-def _cap(taken: DataFrame, limit: int, atg_first: bool) -> DataFrame:
+def _cap(taken: DataFrame, limit: int | None, atg_first: bool) -> DataFrame:
+    if limit is None:
+        return taken
     tier = [F.when(F.col("start_codon") == "ATG", 0).otherwise(1)] if atg_first else []
     order = Window.partitionBy("genome_id").orderBy(
         *tier, F.col("length").desc(), "contig_id",
@@ -60,7 +62,7 @@ def _cap(taken: DataFrame, limit: int, atg_first: bool) -> DataFrame:
 
 
 def longest_first(orfs: DataFrame, min_length: int = C.TRAIN_MIN_LENGTH,
-                  limit: int = C.TRAIN_CAP) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Longest ORFs that do not overlap, both strands together."""
     overlap = lambda y, x: (y["genome_start"] <= x["genome_end"]) & (
         y["genome_end"] >= x["genome_start"]
@@ -70,19 +72,21 @@ def longest_first(orfs: DataFrame, min_length: int = C.TRAIN_MIN_LENGTH,
 
 
 def atg_first(orfs: DataFrame, min_length: int = C.TRAIN_MIN_LENGTH,
-              max_length: int = C.TRAIN_MAX_LENGTH, max_overlap: float = C.TRAIN_MAX_OVERLAP,
-              limit: int = C.TRAIN_CAP) -> DataFrame:
+              max_length: int | None = None, max_overlap: float = C.TRAIN_MAX_OVERLAP,
+              limit: int | None = None) -> DataFrame:
     """ATG starts before others, longest first; up to 30 % of an ORF may overlap one taken on its strand."""
     def too_close(y, x):
         shared = F.least(y["genome_end"], x["genome_end"]) - F.greatest(
             y["genome_start"], x["genome_start"]) + 1
         return F.greatest(shared, F.lit(0)) / x["length"] > max_overlap
 
-    pool = orfs.where(F.col("length").between(min_length, max_length))
+    pool = orfs.where(F.col("length") >= min_length)
+    if max_length is not None:
+        pool = pool.where(F.col("length") <= max_length)
     return _cap(_greedy(pool, [*CONTIG, "strand"], True, too_close), limit, True)
 
 
-def training_set(orfs: DataFrame, limit: int = C.TRAIN_CAP) -> DataFrame:
+def training_set(orfs: DataFrame, limit: int | None = None) -> DataFrame:
     """ORFs whose coordinates are in both choices; the strand is not compared."""
     pool = orfs.where(F.col("length") >= C.MIN_ORF_LENGTH)
     first = longest_first(pool, limit=limit).select(*COORDS)

@@ -52,8 +52,7 @@ class Context:
 
     @property
     def models(self) -> DataFrame:
-        """Order 2 for every genome, which keeps the check in SQL short."""
-        return self._keep("models", lambda: models.model_bundle(self.sequences, 2))
+        return self._keep("models", lambda: models.model_bundle(self.sequences))
 
     @property
     def scored(self) -> DataFrame:

@@ -149,29 +149,24 @@ FROM (SELECT genome_id, contig_id, min(start) AS start, max("end") AS "end" FROM
   GROUP BY genome_id, contig_id, island) m JOIN contigs c USING (genome_id, contig_id)
 """)
 # ---- greedy choice: one fold per contig ----
-def _fold(name: str, where: str, keys: str, order: str, conflict: str, cap_order: str, source: str = "orfs") -> None:
+def _fold(name: str, where: str, keys: str, order: str, conflict: str, source: str = "orfs") -> None:
     block(name, source, f"""
-SELECT * EXCLUDE (rn) FROM (
-  SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY {cap_order}) AS rn FROM (
-    SELECT unnest(list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: {conflict})) > 0
+SELECT unnest(list_reduce(items, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: {conflict})) > 0
                                      THEN acc ELSE acc || x END), recursive := true)
     FROM (SELECT list([{{'genome_id': genome_id, 'contig_id': contig_id, 'strand': strand, 'end': "end",
                 'start': start, 'genome_start': genome_start, 'genome_end': genome_end, 'length': length,
                 'frame': frame, 'start_codon': start_codon}}] ORDER BY {order}) AS items
-          FROM {source} WHERE {where} GROUP BY {keys})))
-WHERE rn <= 2000
+          FROM {source} WHERE {where} GROUP BY {keys})
 """)
 
 
 _tie = "CASE WHEN strand = 'forward' THEN 0 ELSE 1 END, frame, \"end\", start"
 _fold("longest_first", "length >= 300", "genome_id, contig_id", f"length DESC, {_tie}",
-      "y.genome_start <= x[1].genome_end AND y.genome_end >= x[1].genome_start",
-      f"length DESC, contig_id, {_tie}")
-_fold("atg_first", "length BETWEEN 300 AND 20000", "genome_id, contig_id, strand",
+      "y.genome_start <= x[1].genome_end AND y.genome_end >= x[1].genome_start")
+_fold("atg_first", "length >= 300", "genome_id, contig_id, strand",
       f"CASE WHEN start_codon = 'ATG' THEN 0 ELSE 1 END, length DESC, {_tie}",
       "greatest(least(y.genome_end, x[1].genome_end) - greatest(y.genome_start, x[1].genome_start) + 1, 0)"
-      " / CAST(x[1].length AS DOUBLE) > 0.3",
-      f"CASE WHEN start_codon = 'ATG' THEN 0 ELSE 1 END, length DESC, contig_id, {_tie}")
+      " / CAST(x[1].length AS DOUBLE) > 0.3")
 block("aa", "", """
 SELECT substr('TCAG', CAST(i // 16 + 1 AS BIGINT), 1) || substr('TCAG', CAST((i // 4) % 4 + 1 AS BIGINT), 1)
        || substr('TCAG', CAST(i % 4 + 1 AS BIGINT), 1) AS codon,
@@ -191,8 +186,7 @@ SELECT o.* FROM orfs o JOIN (
 WHERE e.t >= 10 AND e.h <= 2.9
 """)
 _fold("longest_first_calm", "length >= 300", "genome_id, contig_id", f"length DESC, {_tie}",
-      "y.genome_start <= x[1].genome_end AND y.genome_end >= x[1].genome_start",
-      f"length DESC, contig_id, {_tie}", "calm_orfs")
+      "y.genome_start <= x[1].genome_end AND y.genome_end >= x[1].genome_start", "calm_orfs")
 block("training0", "orfs longest_first atg_first", """
 SELECT o.* FROM orfs o JOIN (
   SELECT genome_id, contig_id, genome_start, genome_end FROM longest_first INTERSECT

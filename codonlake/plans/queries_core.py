@@ -154,21 +154,22 @@ def context_q(spark, sf_dir):
 @register("markov_table", query(
     f"SELECT genome_id, CAST(pos AS INTEGER) AS pos, kmer, {rsql('log_ratio')} FROM backoff", "backoff"))
 def markov_table_q(spark, sf_dir):
-    """The flattened table of order 2 with its words spelled out."""
-    flat = context(spark, sf_dir).models.select("genome_id", F.posexplode("markov_table").alias("at", "log_ratio"))
-    at = F.col("at") % 84
-    size = F.when(at < 4, 1).when(at < 20, 2).otherwise(3)
-    code = at - F.when(at < 4, 0).when(at < 20, 4).otherwise(20)
+    """The flattened table of the chosen order with its words spelled out."""
+    flat = context(spark, sf_dir).models.select("genome_id", scoring.words_up_to(F.col("markov_order") + 1).alias("words"),
+                                                F.posexplode("markov_table").alias("at", "log_ratio"))
+    at = F.col("at") % F.col("words")
+    size = F.coalesce(*[F.when(at < (4 ** (s + 1) - 4) // 3, s) for s in range(1, 12)])
+    code = at - scoring.words_up_to(size - 1)
     kmer = F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), size, "0"), "0123", "ACGT")
-    return rounded(flat.select("genome_id", F.floor(F.col("at") / 84).cast("int").alias("pos"),
+    return rounded(flat.select("genome_id", F.floor(F.col("at") / F.col("words")).cast("int").alias("pos"),
                                kmer.alias("kmer"), "log_ratio"))
 
 
-@register("markov_order")
+@register("markov_order", query(
+    f"SELECT genome_id, bound, markov_order, {rsql('held_out_score')} FROM chosen", "chosen"))
 def markov_order_q(spark, sf_dir):
-    """Order chosen per genome on held-out sequences; checked against a plain model in the tests."""
-    seqs = context(spark, sf_dir).sequences
-    return rounded(models.markov_models(seqs).drop("markov_table"))
+    """Order chosen per genome on held-out sequences."""
+    return rounded(context(spark, sf_dir).models.select("genome_id", "bound", "markov_order", "held_out_score"))
 
 
 @register("model_health", query(f"""
