@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codonlake.session import cut_lineage
@@ -73,6 +71,3 @@ def running_total(rows: DataFrame, keys: list[str], order: list[Column | str], v
         .drop("_part", "_base", *names)
     )
 
-
-def log4_floor(x: float) -> int:
-    return math.floor(math.log(x) / math.log(4))

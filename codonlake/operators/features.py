@@ -61,7 +61,7 @@ def candidate_features(candidates: DataFrame, contigs: DataFrame, genome_gc: Dat
         means = rows.select("genome_id", "gc_content").groupBy("genome_id").agg(
             F.avg("gc_content").alias("genome_gc")
         )
-        rows = rows.join(means, "genome_id", "left")
+        rows = join_per_genome(rows, means, 64)
     else:
         rows = join_per_genome(rows, genome_gc)
     return rows.withColumn(

@@ -5,7 +5,7 @@ A reference is a table genome_id, contig_id, genome_start, genome_end, strand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codonlake.operators.orf import CONTIG, GROUP, scan_orfs
 
@@ -41,9 +41,14 @@ def label_groups(orfs: DataFrame, reference: DataFrame, same_strand: bool = Fals
     return rows.groupBy(*GROUP).agg(F.max(hit).alias("label"))
 
 
+def _order(keys: list[str], seed: int) -> Column:
+    """A shuffled order that other engines can compute as well: hexadecimal MD5 of the seed and the keys."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
 def stratified_genome_split(genomes: DataFrame, n_val: int, n_test: int, seed: int) -> DataFrame:
     """train / val / test per taxonomic group: min(n_val + n_test, n // 3) genomes are held out."""
-    order = Window.partitionBy("tax_group").orderBy(F.xxhash64("genome_id", F.lit(seed)), "genome_id")
+    order = Window.partitionBy("tax_group").orderBy(_order(["genome_id"], seed), "genome_id")
     size = F.count("*").over(Window.partitionBy("tax_group"))
     held = F.least(F.lit(n_val + n_test), F.floor(F.col("_n") / 3))
     return (
@@ -60,20 +65,20 @@ def stratified_genome_split(genomes: DataFrame, n_val: int, n_test: int, seed: i
 
 def limit_per_group(genomes: DataFrame, limit: int, seed: int) -> DataFrame:
     """At most ``limit`` genomes of each taxonomic group, chosen by a seeded hash (a sampling operator)."""
-    order = Window.partitionBy("tax_group").orderBy(F.xxhash64("genome_id", F.lit(seed)), "genome_id")
+    order = Window.partitionBy("tax_group").orderBy(_order(["genome_id"], seed), "genome_id")
     return genomes.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
 
 
 def group_split(rows: DataFrame, test_share: float, seed: int, keys: list[str] = GROUP) -> DataFrame:
     """Random train / test split in which all rows of a group fall on the same side."""
-    bucket = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    bucket = F.conv(F.substring(_order(keys, seed), 1, 8), 16, 10).cast("long") / 2.0 ** 32
     return rows.withColumn("split", F.when(bucket < test_share, "test").otherwise("train"))
 
 
 def label_split(rows: DataFrame, test_share: float, seed: int, keys: list[str] = GROUP,
                 label: str = "label") -> DataFrame:
     """Split with the same share of every label: the hash order is cut per label at its own quantile."""
-    h = F.xxhash64(*keys, F.lit(seed)).cast("double")
+    h = F.conv(F.substring(_order(keys, seed), 1, 8), 16, 10).cast("double")
     rows = rows.withColumn("_h", h)
     cuts = rows.groupBy(label).agg(F.percentile_approx("_h", test_share, 10000).alias("_cut"))
     split = F.when(F.col("_h") <= F.col("_cut"), "test").otherwise("train")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codonlake import constants as C
 from codonlake.functions.sequence import codons
-from codonlake.operators.distribute import running_total
+from codonlake.operators.distribute import join_per_genome, running_total
 
 CODING, NONCODING = "coding", "noncoding"
 TILE = 16384
@@ -114,12 +114,14 @@ def mark_held_out(seqs: DataFrame, share: float = C.VALIDATION_SHARE) -> DataFra
         seqs.withColumn("_one", F.lit(1)), ["genome_id", "cls"],
         ["contig_id", "o1", "o2", "o3", "o4"], "_one", "seq_no",
     )
-    per_class = ranked.groupBy("genome_id", "cls").agg(F.max("seq_no").alias("_n"))
-    limit = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))
+    most = lambda cls: F.max(F.when(F.col("cls") == cls, F.col("seq_no")))
+    sizes = ranked.groupBy("genome_id").agg(most(CODING).alias("_coding"), most(NONCODING).alias("_noncoding"))
+    n = F.when(F.col("cls") == CODING, F.col("_coding")).otherwise(F.col("_noncoding"))
+    limit = F.greatest(F.lit(1), F.floor(n * F.lit(share)))
     return (
-        ranked.join(per_class, ["genome_id", "cls"])
+        join_per_genome(ranked, sizes, 64)
         .withColumn("held_out", F.col("seq_no") <= limit)
-        .drop("_one", "_n")
+        .drop("_one", "_coding", "_noncoding")
     )
 
 
@@ -149,7 +151,7 @@ def base_contexts(seqs: DataFrame, order: Column, keep: list[str]) -> DataFrame:
 
 def word_counts(marked: DataFrame, bounds: DataFrame) -> DataFrame:
     """Longest contexts with counts, and for held-out coding rows the sum of 1/length as weight."""
-    rows = marked.join(bounds.select("genome_id", "bound"), "genome_id")
+    rows = join_per_genome(marked, bounds.select("genome_id", "bound"), 64, "inner")
     each = base_contexts(rows, F.col("bound"), ["genome_id", "cls", "held_out", "bound"])
     weight = F.when((F.col("cls") == CODING) & F.col("held_out") & (F.col("n_bases") >= 3),
                     1.0 / F.col("n_bases")).otherwise(0.0)
@@ -267,6 +269,8 @@ def markov_models(seqs: DataFrame, fixed_order: int | None = None) -> DataFrame:
     Word of L bases with number c at codon position p sits at p * T + (4^L - 1) / 3 - 1 + c, where T is
     the number of words of 1..order+1 bases.
     """
+    if fixed_order is not None and not 0 <= fixed_order <= C.MAX_MARKOV_ORDER:
+        raise ValueError(f"an order of 0 to {C.MAX_MARKOV_ORDER} is asked for, not {fixed_order}")
     sizes = order_bound(class_sizes(seqs))
     few = ((F.col("n_coding") < 5) | (F.col("n_noncoding") < 5)).cast("int").alias("few")
     if fixed_order is not None:
@@ -275,7 +279,7 @@ def markov_models(seqs: DataFrame, fixed_order: int | None = None) -> DataFrame:
     else:
         marked = mark_held_out(seqs)
     n_held = F.greatest(F.lit(1), F.floor(F.col("n_coding") * F.lit(C.VALIDATION_SHARE))).alias("n_held")
-    counts = word_counts(marked, sizes).join(sizes.select("genome_id", few, n_held), "genome_id")
+    counts = join_per_genome(word_counts(marked, sizes), sizes.select("genome_id", few, n_held), 64, "inner")
     return counts.groupBy("genome_id").applyInPandas(_markov_of_genome(fixed_order), MODEL_SCHEMA)
 
 

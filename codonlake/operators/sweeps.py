@@ -167,11 +167,11 @@ def bootstrap_delta(groups: DataFrame, old: dict[str, float], new: dict[str, flo
                                           .otherwise(-F.col("hit"))).alias("d"))
     u = (F.pmod(F.xxhash64(*GROUP, "replicate", F.lit(seed)), F.lit(2**31)) + 0.5) / float(2**31)
     limits, total, term = [], 0.0, math.exp(-1.0)
-    for k in range(12):
+    for k in range(14):  # beyond 14 draws there is less than one bucket of the 2^31
         total += term
         limits.append((k, total))
         term /= k + 1
-    times = F.lit(12)
+    times = F.lit(14)
     for k, lim in reversed(limits):
         times = F.when(F.col("_u") < lim, F.lit(k)).otherwise(times)
     rows = diff.select(*GROUP, "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))

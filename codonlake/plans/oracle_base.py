@@ -45,7 +45,7 @@ def _over_tables(sql: str, names: list[str]) -> str:
 
 
 block("contigs", "", f"""
-SELECT source AS genome_id, CAST(doc_id AS VARCHAR) AS contig_id, substr(source, 1, 4) AS tax_group,
+SELECT source AS genome_id, CAST(doc_id AS VARCHAR) AS contig_id, 'group' || (('0x' || substr(md5(source), 1, 8))::BIGINT % 4) AS tax_group,
        seq, length(seq) AS length
 FROM (SELECT source, doc_id,
              translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq

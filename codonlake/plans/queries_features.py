@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codonlake.functions import upstream as U
+from codonlake import constants as C
 from codonlake.operators import features, orf
 from codonlake.plans.context import context
 from codonlake.plans.oracle_base import block, query
@@ -183,7 +184,7 @@ _gcp = {p: f"list_avg([CASE WHEN substr(up, 3 * k + {p}, 1) IN ('G', 'C') THEN 1
 _anti = "".join(f" + CASE substr(up, CAST(i AS BIGINT) + {p}, 1) WHEN '{pair}' THEN 1.0 " +
                 (f"WHEN '{wob}' THEN 0.5 " if wob else "") + "ELSE 0 END"
                 for p, (pair, wob) in enumerate(
-                    {"A": ("T", None), "U": ("A", "G"), "G": ("C", "T"), "C": ("G", None)}[b] for b in "AUUCCUCCACUAG"))
+                    {"A": ("T", None), "U": ("A", "G"), "G": ("C", "T"), "C": ("G", None)}[b] for b in C.ANTI_SD[::-1]))
 
 
 @register("upstream_features", query(f"""

@@ -237,10 +237,10 @@ def percentiles_q(spark, sf_dir):
 SELECT component, label, CAST(b AS INTEGER) AS bin, {rsql('bin_start=lo + b * (hi - lo) / 50')}, count(*) AS n FROM (
  SELECT *, CASE WHEN hi > lo THEN least(floor((value - lo) / ((hi - lo) / 50)), 49) ELSE 0 END AS b FROM (
   SELECT *, min(value) OVER (PARTITION BY component) AS lo, max(value) OVER (PARTITION BY component) AS hi
-  FROM long_scores WHERE component IN ('codon_score', 'imm_score', 'rbs_score', 'length_score')))
+  FROM long_scores))
 GROUP BY component, label, b, lo, hi""", "long_scores"))
 def histogram_q(spark, sf_dir):
-    return rounded(D.histogram(_labelled(context(spark, sf_dir)), ["codon_score", "imm_score", "rbs_score", "length_score"]))
+    return rounded(D.histogram(_labelled(context(spark, sf_dir)), D.SCORES))
 
 
 @register("suggested_cut", query(f"SELECT component, {rsql('cut=(tp_median + fp_median) / 2')} FROM dist", "dist"))

@@ -19,16 +19,13 @@ def scratch(spark: SparkSession) -> str:
 
 
 @register("fasta_round_trip", query(
-    "SELECT genome_id, contig_id, tax_group AS description, length, md5(seq) AS seq_md5 FROM contigs WHERE length > 0", "contigs"))
+    "SELECT genome_id, contig_id, tax_group AS description, length, md5(seq) AS seq_md5 FROM contigs", "contigs"))
 def fasta_q(spark, sf_dir):
     c = context(spark, sf_dir).contigs
     path = scratch(spark)
     fasta.write_fasta(c.withColumn("description", F.col("tax_group")), path)
     back = fasta.read_fasta(spark, f"{path}/*/*")
-    rows = back.where("length > 0").select(
-        "contig_id", "description", "length", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
-    return rows.join(c.select("contig_id", "genome_id"), "contig_id").select(
-        "genome_id", "contig_id", "description", "length", "seq_md5")
+    return back.select("genome_id", "contig_id", "description", "length", F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 
 
 @register("alphabet_report", query("""
@@ -61,10 +58,13 @@ def gff_lines_q(spark, sf_dir):
 
 @register("csv_rows", query(f"""
 SELECT genome_id, 'gene_' || gene_no AS "Gene ID", genome_start AS "Start", genome_end AS "End", length AS "Length", strand AS "Strand",
- {rsql('score=combined_score')} FROM numbered""", "numbered"))
+ {rsql('score=combined_score', 'rbs=CASE WHEN rbs_score <> 0 THEN rbs_score END')}, CASE WHEN coalesce(rbs_score, 0) = 0 THEN 'N/A' ELSE 'number' END AS rbs_kind
+FROM numbered""", "numbered"))
 def csv_q(spark, sf_dir):
     t = gff.csv_table(gff.gene_numbers(context(spark, sf_dir).predictions))
-    return rounded(t.drop("RBS Score").withColumnRenamed("Combined Score", "score"))
+    rbs = F.col("RBS Score").try_cast("double")
+    return rounded(t.select("genome_id", "Gene ID", "Start", "End", "Length", "Strand", F.col("Combined Score").alias("score"), rbs.alias("rbs"),
+                            F.when(rbs.isNull(), F.col("RBS Score")).otherwise("number").alias("rbs_kind")))
 
 
 @register("gff_round_trip", query(
@@ -74,13 +74,11 @@ def gff_q(spark, sf_dir):
     p = context(spark, sf_dir).predictions
     path = scratch(spark)
     gff.write_gff(p, path)
-    back = gff.read_predictions(spark, f"{path}/*/*").drop("genome_id")
-    owner = p.select("genome_id", "contig_id").distinct()
-    return back.join(owner, "contig_id").select("genome_id", "contig_id", "genome_start", "genome_end").distinct()
+    return gff.read_predictions(spark, f"{path}/*/*").select("genome_id", "contig_id", "genome_start", "genome_end")
 
 
 @register("gff_reference", query(
-    "SELECT DISTINCT contig_id, genome_start, genome_end FROM reference", "reference"))
+    "SELECT DISTINCT genome_id, contig_id, genome_start, genome_end FROM reference", "reference"))
 def gff_reference_q(spark, sf_dir):
     """The annotation written as GFF3 (all rows of type gene) and read with the CDS, gene, all rule."""
     r = context(spark, sf_dir).reference
@@ -89,8 +87,8 @@ def gff_reference_q(spark, sf_dir):
                        F.col("genome_end").cast("string"), F.lit("."),
                        F.when(F.col("strand") == "forward", "+").otherwise("-"), F.lit("0"),
                        F.format_string("ID=%s;gene_biotype=%s", "contig_id", "strand"))
-    r.select(line.alias("value")).write.text(path)
-    return gff.reference_intervals(gff.read_gff(spark, path)).drop("genome_id")
+    r.select("genome_id", line.alias("value")).write.partitionBy("genome_id").text(path)
+    return gff.reference_intervals(gff.read_gff(spark, f"{path}/*/*"))
 
 
 @register("gff_biotypes", query("SELECT strand AS biotype, count(*) AS n FROM reference GROUP BY strand", "reference"))
@@ -141,7 +139,7 @@ def stats_q(spark, sf_dir):
 def incremental_q(spark, sf_dir):
     """Two rounds: first the genomes of one taxonomic group, then whatever is not stored yet."""
     ctx, path = context(spark, sf_dir), scratch(spark)
-    first = ctx.genomes.where("tax_group = 'src1'").select("genome_id")
+    first = ctx.genomes.where("tax_group = 'group1'").select("genome_id")
     store.append_by_genome(ctx.orfs.join(first, "genome_id", "left_semi"), path)
     todo = store.new_contigs(ctx.contigs, path).select("genome_id").distinct()
     store.append_by_genome(ctx.orfs.join(todo, "genome_id", "left_semi"), path)

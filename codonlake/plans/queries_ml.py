@@ -1,4 +1,4 @@
-"""Queries: classifiers. Splits and fits depend on the engine, so these have no SQL; the tests check them."""
+"""Queries: classifiers. Fits depend on the engine, so those have no SQL; the tests check them."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from codonlake.plans.oracle_base import block, query
 from codonlake.plans.suite import register, rounded, rsql
 from codonlake.session import cut_lineage
 
-SMALL = {"maxIter": 10, "maxDepth": 4}
-
 
 def _groups(ctx) -> DataFrame:
     def make():
@@ -28,13 +26,27 @@ def _group_scores(ctx) -> DataFrame:
     def make():
         t = _groups(ctx)
         model = ml.train_classifier(t.where("split != 'test'").withColumn("held", F.col("split") == "val"),
-                                    features.GROUP_FEATURES, validation="held", **SMALL)
+                                    features.GROUP_FEATURES, validation="held")
         return ml.score_table(model, t)
 
     return ctx._keep("group_scores", make)
 
 
-@register("split_summary")
+block("group_labels", "candidates ref_set", """
+SELECT c.genome_id, c.contig_id, c.strand, c."end", max(CASE WHEN r.genome_id IS NULL THEN 0 ELSE 1 END) AS label
+FROM candidates c LEFT JOIN ref_set r USING (genome_id, contig_id, genome_start, genome_end) GROUP BY ALL
+""")
+block("genome_splits", "contigs", """
+SELECT genome_id, tax_group, CASE WHEN r <= floor(held / 2) THEN 'val' WHEN r <= held THEN 'test' ELSE 'train' END AS split FROM (
+  SELECT *, least(4, floor(count(*) OVER (PARTITION BY tax_group) / 3)) AS held,
+         row_number() OVER (PARTITION BY tax_group ORDER BY md5('42:' || genome_id), genome_id) AS r
+  FROM (SELECT DISTINCT genome_id, tax_group FROM contigs))
+""")
+
+
+@register("split_summary", query("""
+SELECT split, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives FROM group_labels JOIN genome_splits USING (genome_id) GROUP BY split""",
+                                 "group_labels genome_splits"))
 def split_summary_q(spark, sf_dir):
     return labels.split_summary(_groups(context(spark, sf_dir)))
 
@@ -74,37 +86,47 @@ def _candidates(ctx) -> DataFrame:
 def candidate_classifier_q(spark, sf_dir):
     """Tabular features and k-mers of the whole sequence; kept candidates with their probability."""
     t = _candidates(context(spark, sf_dir))
-    model = ml.train_sequence_classifier(t.where("split = 'train'"), features.CANDIDATE_FEATURES, **SMALL)
+    model = ml.train_sequence_classifier(t.where("split = 'train'"), features.CANDIDATE_FEATURES)
     kept = ml.keep_candidates(ml.score_table(model, ml.with_kmers(t)))
     return rounded(kept.select(*GROUP, "start", "label", "hybrid_prob"))
 
 
-def _pairs(ctx) -> DataFrame:
+def _all_pairs(ctx) -> DataFrame:
+    """Every contested group with its features, whether its true start is known or not."""
     def make():
-        sc = features.start_context(ctx.candidates, ctx.contigs)
+        sc = cut_lineage(features.start_context(ctx.candidates, ctx.contigs))
         p = features.pair_features(ctx.candidates, ctx.contigs, ctx.models, sc, contest_gap=None)
+        return p.join(F.broadcast(labels.stratified_genome_split(ctx.genomes, 2, 2, 42)), "genome_id")
+
+    return ctx._keep("all_pairs", make)
+
+
+def _pairs(ctx) -> DataFrame:
+    """Those whose true start is one of the two, with the label."""
+    def make():
         true = labels.start_choice_groups(ctx.candidates, ctx.reference).select(*GROUP, "true_start").distinct()
-        return ml.pair_labels(p, true).join(ctx.genomes, "genome_id")
+        return ml.pair_labels(_all_pairs(ctx), true)
 
     return ctx._keep("pair_table", make)
 
 
 @register("start_classifier")
 def start_classifier_q(spark, sf_dir):
-    """Best start per group after the keep/flip classifier."""
+    """Best start per group of the held-out genomes. The classifier is fitted on labelled pairs of the training genomes
+    and may flip any contested group, as the true starts of the held-out genomes are not looked at."""
     ctx = context(spark, sf_dir)
     cols = features.pair_columns(("nterm", "gc3", "groupnorm"))
-    t = _pairs(ctx)
-    model = ml.train_classifier(t, cols, scale=True, **SMALL)
-    scores = ml.score_table(model, t, "prob_keep")
-    return ml.choose_starts(ctx.candidates, scores).select(*GROUP, "start")
+    model = ml.train_classifier(_pairs(ctx).where("split = 'train'"), cols, scale=True)
+    held = _all_pairs(ctx).where("split <> 'train'")
+    scores = ml.score_table(model, held, "prob_keep")
+    rows = ctx.candidates.join(F.broadcast(held.select("genome_id").distinct()), "genome_id", "left_semi")
+    return ml.choose_starts(rows, scores).select(*GROUP, "start")
 
 
 @register("leave_one_group_out")
 def leave_out_q(spark, sf_dir):
-    t = _pairs(context(spark, sf_dir))
-    big = F.when(F.col("tax_group").isin("src1"), "src1").otherwise("rest")
-    return rounded(ml.leave_one_group_out(t.withColumn("tax_group", big), features.PAIR_FEATURES, maxIter=5, maxDepth=3))
+    """One fold per taxonomic group."""
+    return rounded(ml.leave_one_group_out(_pairs(context(spark, sf_dir)), features.PAIR_FEATURES))
 
 
 @register("isotonic_calibration")
@@ -149,10 +171,12 @@ def top_choice_q(spark, sf_dir):
     return rounded(ml.top_choice_report(rows.withColumn("prob", 1 / (1 + F.exp(-F.col("combined_score"))))))
 
 
-@register("feature_completeness", query("""
+_EXPECTED = [*features.CANDIDATE_FEATURES, "absent_feature"]
+
+
+@register("feature_completeness", query(f"""
 SELECT (SELECT count(*) FROM candidates) AS rows, c AS "column", c <> 'absent_feature' AS present,
- CASE WHEN c <> 'absent_feature' THEN 0 END AS nulls FROM (VALUES ('gc_content'), ('gc3_content'), ('absent_feature')) v(c)""", "candidates"))
+ CASE WHEN c <> 'absent_feature' THEN 0 END AS nulls FROM (VALUES {', '.join(f"('{c}')" for c in _EXPECTED)}) v(c)""", "candidates"))
 def completeness_q(spark, sf_dir):
     ctx = context(spark, sf_dir)
-    f = features.candidate_features(ctx.candidates, ctx.contigs)
-    return diagnostics.completeness(f, ["gc_content", "gc3_content", "absent_feature"])
+    return diagnostics.completeness(features.candidate_features(ctx.candidates, ctx.contigs), _EXPECTED)

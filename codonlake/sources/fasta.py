@@ -11,8 +11,10 @@ STEM = r"([^/]+?)(?:_predictions)?(?:\.(?:fasta|fa|fna|gff3?|txt))?(?:\.gz)?$"
 
 
 def genome_of_file(path: Column) -> Column:
-    """File name without folder, extension and a ``_predictions`` ending."""
-    return F.regexp_extract(path, STEM, 1)
+    """The folder ``genome_id=...`` of our own sinks, else the file name without extension and a ``_predictions`` ending."""
+    own = F.regexp_extract(path, r"/genome_id=([^/]+)/", 1)
+    named = F.url_decode(F.replace(own, F.lit("+"), F.lit("%2B")))
+    return F.when(own != "", named).otherwise(F.regexp_extract(path, STEM, 1))
 
 
 def gradable(genome_id: Column) -> Column:
