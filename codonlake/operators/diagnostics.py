@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codonlake import constants as C
 from codonlake.functions.sequence import ratio, reverse_complement
 from codonlake.operators.intervals import merge_intervals, overlap_bp, overlap_join
+from codonlake.operators.distribute import exact_percentiles
 from codonlake.operators.labels import COORDS, label_orfs, start_choice_groups
 from codonlake.operators.orf import CONTIG, GROUP, slice_forward
 from codonlake.operators.scoring import weighted_sum
@@ -22,9 +23,12 @@ def long_scores(labelled: DataFrame, columns: list[str]) -> DataFrame:
 
 def score_distributions(labelled: DataFrame, columns: list[str] = SCORES) -> DataFrame:
     """Per component: mean, median, deviation, range of hits and others, separation and its class."""
-    stats = long_scores(labelled, columns).groupBy("component", "label").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"),
+    rows = long_scores(labelled, columns)
+    stats = rows.groupBy("component", "label").agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    medians = exact_percentiles(rows, ["component", "label"], "value", (0.5,)).select("component", "label", F.get("p", F.lit(0)).alias("median"))
+    stats = stats.join(medians, ["component", "label"], "left")
     side = lambda lab, p: [F.max(F.when(F.col("label") == lab, F.col(c))).alias(f"{p}_{c}")
                            for c in ("n", "mean", "median", "std", "min", "max")]
     wide = stats.groupBy("component").agg(*side(1, "tp"), *side(0, "fp"))
@@ -46,8 +50,7 @@ def effect_sizes(labelled: DataFrame, columns: list[str] = SCORES) -> DataFrame:
 def score_percentiles(labelled: DataFrame, column: str = "combined_score",
                       points: tuple[float, ...] = (0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
     """Exact percentiles with linear interpolation per label."""
-    p = F.percentile(column, F.array(*map(F.lit, points)))
-    rows = labelled.groupBy("label").agg(p.alias("p"))
+    rows = exact_percentiles(labelled.select("label", column), ["label"], column, points)
     return rows.select("label", *[F.get("p", F.lit(i)).alias(f"p{round(q * 100)}") for i, q in enumerate(points)])
 
 
@@ -65,8 +68,9 @@ def histogram(labelled: DataFrame, columns: list[str], bins: int = 50) -> DataFr
 
 def suggested_cut(labelled: DataFrame, columns: list[str]) -> DataFrame:
     """Mean of the two medians per component."""
-    med = lambda lab: F.median(F.when(F.col("label") == lab, F.col("value")))
-    return long_scores(labelled, columns).groupBy("component").agg(((med(1) + med(0)) / 2).alias("cut"))
+    medians = exact_percentiles(long_scores(labelled, columns), ["component", "label"], "value", (0.5,))
+    med = lambda lab: F.max(F.when(F.col("label") == lab, F.get("p", F.lit(0))))
+    return medians.groupBy("component").agg(((med(1) + med(0)) / 2).alias("cut"))
 
 
 def site_distribution(labelled_sites: DataFrame) -> DataFrame:
@@ -164,13 +168,13 @@ def component_wins(pairs: DataFrame) -> DataFrame:
     wrong = F.col("true_start") != F.col("chosen_start")
     rows = pairs.select(wrong.alias("wrong"), (F.col("chosen_total") - F.col("true_total")).alias("lead"), F.inline(items))
     d = F.when(F.col("wrong"), F.col("diff"))
+    leads = exact_percentiles(rows.where("wrong"), ["component"], "lead", (0.5,)).select("component", F.get("p", F.lit(0)).alias("median_lead"))
     return rows.groupBy("component").agg(
         F.count("*").alias("groups"), F.count_if("wrong").alias("wrong"),
         (1 - F.count_if("wrong") / F.count("*")).alias("correct_share"),
         F.count_if(d > 0).alias("true_wins"), F.count_if(d < 0).alias("chosen_wins"), F.count_if(d == 0).alias("ties"),
         F.avg(d).alias("mean_diff"), F.avg(d * F.col("weight")).alias("mean_weighted_diff"),
-        F.avg(F.when(F.col("wrong"), F.col("lead"))).alias("mean_lead"),
-        F.median(F.when(F.col("wrong"), F.col("lead"))).alias("median_lead"))
+        F.avg(F.when(F.col("wrong"), F.col("lead"))).alias("mean_lead")).join(leads, "component", "left")
 
 
 # ---- purity of self-training sets ------------------------------------------------------------------

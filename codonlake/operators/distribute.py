@@ -71,3 +71,22 @@ def running_total(rows: DataFrame, keys: list[str], order: list[Column | str], v
         .drop("_part", "_base", *names)
     )
 
+
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, points: tuple[float, ...]) -> DataFrame:
+    """Exact percentiles with linear interpolation, as array ``p``, for a few keys with any number of rows each.
+
+    Equal values are counted first, the counts are summed along the values over range partitions, and the values at
+    the ranks below and above each point are picked, so no task holds all values of a key.
+    """
+    known = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = running_total(known, keys, [value], "_n", "_upto")
+    totals = upto.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    ranked = join_per_genome(upto, totals, 64, "inner", keys[0]) if len(keys) == 1 else upto.join(totals, keys)
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col(value)))
+    picks = []
+    for q in points:
+        place = F.lit(float(q)) * (F.col("_total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        part = F.first(place - F.floor(place))
+        picks.append(low + (high - low) * part)
+    return ranked.groupBy(*keys).agg(F.array(*picks).alias("p"))

@@ -76,24 +76,21 @@ def weight_vectors(base: dict[str, float], factors: tuple[float, ...] = (0.25, 0
     return out
 
 
-def _with_vectors(groups: DataFrame, vectors: list[dict]) -> DataFrame:
-    items = F.array(*[
-        F.struct(F.lit(v["vector"]).alias("vector"), *[F.lit(float(v[c])).alias(f"_w_{c}") for c in C.COMPONENTS])
-        for v in vectors])
-    spread = groups.select(*GROUP, "start", "is_true", *NORMS, F.inline(items))
-    total = None
-    for c in C.COMPONENTS:
-        term = F.col(f"{c}_score_norm") * F.col(f"_w_{c}")
-        total = term if total is None else total + term
-    return spread.select(*GROUP, "start", "is_true", "vector", total.alias("_score"))
-
-
 def group_hits(groups: DataFrame, vectors: list[dict]) -> DataFrame:
-    """Per group and vector: 1 when the start with the highest sum (first among equals) is the true one."""
-    rows = _with_vectors(groups, vectors)
-    best = Window.partitionBy(*GROUP, "vector").orderBy(F.col("_score").desc(), "start")
-    return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(
-        *GROUP, "vector", F.col("is_true").alias("hit"))
+    """Per group and vector: 1 when the start with the highest sum (first among equals) is the true one.
+
+    One aggregation over the groups holds the best row under every vector; rows are not copied per vector.
+    """
+    best = []
+    for v in vectors:
+        total = None
+        for c in C.COMPONENTS:
+            term = F.col(f"{c}_score_norm") * F.lit(float(v[c]))
+            total = term if total is None else total + term
+        best.append(F.max(F.struct(total.alias("score"), (-F.col("start")).alias("back"), "is_true"))["is_true"])
+    per = groups.groupBy(*GROUP).agg(*[b.alias(f"_h{i}") for i, b in enumerate(best)])
+    items = F.array(*[F.struct(F.lit(v["vector"]).alias("vector"), F.col(f"_h{i}").alias("hit")) for i, v in enumerate(vectors)])
+    return per.select(*GROUP, F.inline(items))
 
 
 def weight_accuracy(groups: DataFrame, vectors: list[dict], by: list[str] = []) -> DataFrame:
