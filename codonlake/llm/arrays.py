@@ -12,9 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2_000_000
-_MASK = (1 << 64) - 1
 
 # White space of the contracts: blank and 0x09 to 0x0D. All are single bytes in UTF-8.
 _BLANK = np.zeros(256, dtype=bool)
@@ -46,14 +46,14 @@ def _multipliers(place: np.ndarray) -> np.ndarray:
 
 
 class Slice:
-    """Consecutive texts of a batch: their bytes, words and word hashes.
+    """Consecutive texts of a batch: their bytes (A-Z in lower case with ``fold``), words and word hashes.
 
     ``rows``: first and last row (exclusive) within the batch. ``start``/``end``: bytes of each word within
     ``data``. ``first``: for each text the index of its first word, with one more entry for the end.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: tuple[int, int], blank: np.ndarray = _BLANK):
-        self.rows, self.data, self.offsets = rows, _LOWER[data], offsets
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rows: tuple[int, int], blank: np.ndarray = _BLANK, fold: bool = True):
+        self.rows, self.data, self.offsets = rows, _LOWER[data] if fold else data, offsets
         inside = np.zeros(data.size + 2, dtype=np.int8)
         inside[1:-1] = ~blank[data]
         step = np.diff(inside)
@@ -77,7 +77,17 @@ class Slice:
         return mix(np.add.reduceat(terms, begin))
 
 
-def slices(texts: pa.Array, blank: np.ndarray = _BLANK) -> Iterator[Slice]:
+def parts_of(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most so many bytes of text, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, i = np.cumsum(sizes), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most_bytes, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def slices(texts: pa.Array, blank: np.ndarray = _BLANK, fold: bool = True) -> Iterator[Slice]:
     """The texts of a string array (null counts as empty), a few megabytes at a time."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -87,7 +97,7 @@ def slices(texts: pa.Array, blank: np.ndarray = _BLANK) -> Iterator[Slice]:
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, side="right")) - 1)
         j = min(j, n)
-        yield Slice(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], (i, j), blank)
+        yield Slice(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], (i, j), blank, fold)
         i = j
 
 
@@ -120,3 +130,28 @@ def distinct_by_row(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.
     keep[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
     values, row = values[keep], row[keep]
     return values, np.searchsorted(row, np.arange(at.size))
+
+
+class Finder:
+    """Looks hashes up in an ascending array of distinct ones: their top bits lead to a few candidates."""
+
+    def __init__(self, hashes: np.ndarray, bits: int):
+        self.hashes, self.shift = hashes, np.uint64(64 - bits)
+        self.first = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.most = int(np.diff(self.first, append=hashes.size).max(initial=0))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are there (indices into ``h``), and their places in the array."""
+        if not self.hashes.size or not h.size:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        np.minimum(at, self.hashes.size - 1, out=at)
+        hit = self.hashes[at] == h
+        for _ in range(self.most - 1):  # neighbours in the bucket
+            rest = np.flatnonzero(~hit & (self.hashes[at] < h) & (at < self.hashes.size - 1))
+            if not rest.size:
+                break
+            at[rest] += 1
+            hit[rest] = self.hashes[at[rest]] == h[rest]
+        found = np.flatnonzero(hit)
+        return found, at[found]

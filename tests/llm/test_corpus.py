@@ -248,8 +248,9 @@ def test_kneser_ney_is_the_definition(spark):
     asked = ["a b c", "c b a", "zz a b", "q r s", "e e e e", None, "", "a"]
     model = kneser_ney.Model(table(spark, trusted))
     logp, c1 = plain_model(trusted)
-    got = {r["doc_id"]: r for r in model.score(table(spark, asked), "doc_id").collect()}
-    assert set(got) == {0, 1, 2, 3, 4, 7}
+    got = {r["doc_id"]: r for r in model.score(table(spark, asked)).collect()}
+    assert {i for i in got if got[i]["log_perplexity"] is None} == {5, 6}
+    got = {i: r for i, r in got.items() if i not in (5, 6)}
     for i in got:
         w = ["<s>", "<s>", *asked[i].split(), "</s>"]
         want = -sum(logp(*g) for g in zip(w, w[1:], w[2:])) / (len(w) - 2)
