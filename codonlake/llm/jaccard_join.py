@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codonlake.llm import arrays
-from codonlake.llm.common import components, register, stored, table
+from codonlake.llm.common import components, join_hot, register, stored, table
 from codonlake.session import ship_package
 
 #: A shingle with at least so many documents among the first of their sets goes to the end of the order.
@@ -216,7 +216,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, forest: bool)
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     sets = stored(prefixes(docs, k, percent))
-    classes = sets.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    classes = sets.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     reps = sets.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return sets, classes, reps
 
@@ -230,8 +230,8 @@ def linked_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
     parts_of = components(_links(docs, reps, k, percent, True))
     # one row per different set, then back to all copies of it
     of_class = classes.join(parts_of.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(
-        "digest", F.coalesce("component", "class_id").alias("component"))
-    return sets.select("doc_id", "size", "digest").join(of_class, "digest", "left").select(
+        "digest", "n", F.coalesce("component", "class_id").alias("component"))
+    return join_hot(sets.select("doc_id", "size", "digest"), stored(of_class), "digest", "n", sets.count(), "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -239,7 +239,7 @@ def similar_pairs(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataF
     """All links (a, b) between class representatives, and the membership (doc_id, class_id) of all documents with a set."""
     sets, classes, reps = _grouped(docs, k, percent)
     links = _links(docs, reps, k, percent, False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links, sets.join(classes, "digest").select("doc_id", "class_id")
+    return links, join_hot(sets.select("doc_id", "digest"), classes, "digest", "n", sets.count()).select("doc_id", "class_id")
 
 
 _ORACLE = r"""
