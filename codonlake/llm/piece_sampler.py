@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codonlake.llm import arrays
 from codonlake.llm.arrays import mix
 from codonlake.llm.common import register, table
 from codonlake.session import ship_package
@@ -34,8 +35,8 @@ ALPHA = 1.0
 
 _MARK = "▁"
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
-#: Text that is worked through at once, in characters.
-SLICE_CHARS = 4_000_000
+#: Text that is worked through at once, in bytes of UTF-8; a longer text goes by itself.
+SLICE_BYTES = 1_200_000
 #: Random numbers per segment and step come from one hash; a segment has fewer steps than this.
 _STEPS = 1 << 20
 
@@ -69,20 +70,31 @@ class Vocabulary:
                 matches[piece] = (i, -alpha * float(np.log(rank + 2)))
         return cls(matches, written, byte_ids, -alpha * float(np.log(2 * len(written))))
 
-    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per length: sorted hashes of all prefixes of that length, and of the pieces with their ids and weights."""
-        longest = max(map(len, self.matches))
+    def tables(self) -> list[Level]:
+        """For each length: all prefixes of that length, with the piece that a prefix is itself, if any."""
         out = []
-        for n in range(1, longest + 1):
-            prefixes = {p[:n] for p in self.matches if len(p) >= n}
-            pieces = [p for p in self.matches if len(p) == n]
-            hashes = _hash_strings(pieces)
+        for n in range(1, max(map(len, self.matches)) + 1):
+            prefixes = sorted({p[:n] for p in self.matches if len(p) >= n})
+            longer = {p[:n] for p in self.matches if len(p) > n}
+            hashes = _hash_strings(prefixes)
             order = np.argsort(hashes)
-            out.append((np.sort(_hash_strings(sorted(prefixes))), hashes[order],
-                        np.array([self.matches[p][0] for p in pieces], dtype=np.int64)[order], np.array([self.matches[p][1] for p in pieces])[order]))
+            own = [self.matches.get(p, (_NO_PIECE, 0.0)) for p in prefixes]
+            out.append(Level(hashes[order], np.array([x[0] for x in own], dtype=np.int32)[order],
+                             np.array([x[1] for x in own])[order], np.array([p in longer for p in prefixes])[order]))
         return out
 
 
+_NO_PIECE = np.iinfo(np.int32).max
+
+
+class Level(arrays.Finder):
+    """Prefixes of one length by hash, with the piece that each is itself and whether a longer piece begins with it."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, weights: np.ndarray, longer: np.ndarray):
+        super().__init__(hashes, 16)
+        self.ids, self.weights, self.longer = ids, weights, longer
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -102,13 +114,6 @@ def _hash_strings(strings: list[str]) -> np.ndarray:
     return h
 
 
-def _find(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not sorted_values.size:
-        return np.zeros(values.size, dtype=np.int64), np.zeros(values.size, dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_values, values), sorted_values.size - 1)
-    return at, sorted_values[at] == values
-
-
 class Lattice:
     """Lattices of different segments, side by side. Node base[s] + i is place i of segment s."""
 
@@ -121,35 +126,39 @@ class Lattice:
         shown[raw == 0x2581] = 0xFFFFFFFF  # a mark in the text is no piece mark
         shown[raw == 0x20] = 0x2581
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(raw.size)  # characters to the segment's end
-        node = np.arange(raw.size) + np.repeat(np.arange(len(segments)), lengths)
+        node = (np.arange(raw.size) + np.repeat(np.arange(len(segments)), lengths)).astype(np.int32)
         sources, ends, pieces, weights = [], [], [], []
         alive, h = np.arange(raw.size), np.zeros(raw.size, dtype=np.uint64)
         plain = np.zeros(raw.size, dtype=bool)
-        for n, (prefixes, hashes, ids, weight) in enumerate(tables, 1):
-            inside = left[alive] >= n
-            alive, h = alive[inside], h[inside]
+        for n, level in enumerate(tables, 1):
+            if n > 1:
+                inside = left[alive] >= n
+                alive, h = alive[inside], h[inside]
             h = _roll(h, shown[alive + n - 1])
-            at, hit = _find(hashes, h)
-            found = alive[hit]
-            sources.append(node[found])
-            ends.append(node[found] + n)
-            pieces.append(ids[at[hit]])
-            weights.append(weight[at[hit]])
+            found, at = level.find(h)
+            alive, h = alive[found], h[found]
+            own = level.ids[at] != _NO_PIECE
+            where = alive[own]
+            sources.append(node[where])
+            ends.append(node[where] + np.int32(n))
+            pieces.append(level.ids[at[own]])
+            weights.append(level.weights[at[own]])
             if n == 1:
-                plain[found] = True
-            _, more = _find(prefixes, h)
+                plain[where] = True
+            more = level.longer[at]
             alive, h = alive[more], h[more]
             if not alive.size:
                 break
         bare = np.flatnonzero(~plain)
         size = 1 + (raw[bare] > 0x7F).astype(np.int64) + (raw[bare] > 0x7FF) + (raw[bare] > 0xFFFF)
         sources.append(node[bare])
-        ends.append(node[bare] + 1)
-        pieces.append(-1 - raw[bare].astype(np.int64))  # written as bytes
+        ends.append(node[bare] + np.int32(1))
+        pieces.append((-1 - raw[bare].astype(np.int64)).astype(np.int32))  # written as bytes
         weights.append(vocabulary.byte_weight * size)
-        source, end, piece, weight = map(np.concatenate, (sources, ends, pieces, weights))
+        end = np.concatenate(ends)
         order = np.argsort(end, kind="stable")
-        self.source, end, self.piece, weight = source[order], end[order], piece[order], weight[order]
+        self.source, end, self.piece, weight = np.concatenate(sources)[order], end[order], np.concatenate(pieces)[order], np.concatenate(weights)[order]
+        del sources, ends, pieces, weights, order
         nodes = int(self.last[-1] + 1) if len(segments) else 0
         into = np.searchsorted(end, np.arange(nodes + 1))
         score = self._forward(lengths, into, weight, nodes, best)
@@ -219,7 +228,7 @@ def _draw(texts: list[str], seeds: np.ndarray, vocabulary: Vocabulary, tables, b
         go = node > root
         alive, node, root = alive[go], node[go], root[go]
     begin = np.concatenate(([0], np.cumsum(steps)[:-1]))
-    out = np.empty(int(steps.sum()), dtype=np.int64)
+    out = np.empty(int(steps.sum()), dtype=np.int32)
     for k, (who, piece) in enumerate(drawn):
         out[begin[who] + steps[who] - 1 - k] = piece
     total = np.add.reduceat(steps, np.minimum(first, segment.size - 1)) * (counts > 0)
@@ -245,15 +254,9 @@ def decode_ids(ids, vocabulary: Vocabulary) -> str:
 
 
 def encode_texts(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, tables, seed: int = SEED, best: bool = False) -> list[np.ndarray]:
-    """Ids of texts; slices of SLICE_CHARS bound the memory by the slice or one text."""
+    """Ids of texts, all worked through together."""
     seeds = mix(keys.astype(np.int64).view(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
-    out, lo, held = [], 0, 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held > SLICE_CHARS or i + 1 == len(texts):
-            out += _draw(texts[lo:i + 1], seeds[lo:i + 1], vocabulary, tables, best)
-            lo, held = i + 1, 0
-    return out
+    return _draw(texts, seeds, vocabulary, tables, best)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, seed: int = SEED, alpha: float = ALPHA, best: bool = False,
@@ -270,7 +273,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, seed: int = SEED, alpha: flo
 
     def run(batches):
         vocab, tables = shared.value
-        for batch in batches:
+        for batch in (p for b in batches for p in arrays.parts_of(b, text, SLICE_BYTES)):
             texts = batch.column(text)
             ids = encode_texts(["" if t is None else t for t in texts.to_pylist()], batch.column(key).fill_null(0).to_numpy(zero_copy_only=False), vocab, tables, seed, best)
             missing = texts.is_null().to_pylist()
