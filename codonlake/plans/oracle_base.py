@@ -32,7 +32,9 @@ def query(final: str, needs: str) -> str:
 
 
 def run_shared(con, text: str):
-    """Run a query with its blocks kept as tables of the connection, so that queries share them."""
+    """Run a query with its blocks kept as tables of the connection, so that queries share them; other SQL runs as it is."""
+    if text not in PARTS:
+        return con.execute(text)
     order, final = PARTS[text]
     for name in order:
         con.execute(f"CREATE TABLE IF NOT EXISTS blk_{name} AS " + _over_tables(CTE[name][1], order))
