@@ -118,6 +118,45 @@ def test_shared_passages_are_found_and_strangers_left_alone(spark):
     assert empty.count() == 0 and none.count() == 0
 
 
+def test_passages_of_two_are_found_among_documents_that_share_less(spark):
+    """Halves of a passage, and a variant of it, that also stand in many other documents."""
+    one, two, popular = prose(81, 30), prose(82, 30), prose(83, 60)
+    variant = edited(popular, *range(2, 14), *range(40, 52))
+    texts = [*[f"{prose(4000 + i, 40)} {one} {prose(5000 + i, 40)}" for i in range(12)], *[f"{prose(6000 + i, 40)} {two} {prose(7000 + i, 40)}" for i in range(12)],
+             *[f"{prose(8000 + i, 40)} {popular} {prose(9000 + i, 40)}" for i in range(12)],
+             *[f"{prose(i, 50)} {one} {two} {prose(i + 20, 50)}" for i in range(200, 206)], *[f"{prose(i, 50)} {variant} {prose(i + 20, 50)}" for i in range(300, 306)]]
+    spans, _ = collinear.passages(table(spark, texts))
+    rows = spans.collect()
+    tied = dict(common.components(spans.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).collect())
+    assert {tied.get(i) for i in range(36, 42)} == {36} and {tied.get(i) for i in range(42, 48)} == {42} and {tied.get(i) for i in range(24, 36)} == {24}
+    assert not set(range(24)) & set(tied)
+    for i in range(36, 48):
+        assert any(r["first_a"] == 50 and r["end_a"] == 110 and r["same"] == 60 for r in rows if i in (r["doc_a"], r["doc_b"])), i
+
+
+@pytest.mark.parametrize("block, most", [(16, 600), (512, 200)])
+def test_pairs_of_blocks_are_tied_by_what_they_share(block, most):
+    rng = np.random.default_rng(3)
+    width, n = 2 * collinear.AROUND + collinear.K, 60
+    families = rng.integers(1, 256, (3, width), dtype=np.uint8)
+    rows = families[np.arange(n) % 3].copy()
+    rows[:, collinear.AROUND:collinear.AROUND + collinear.K] = families[0, collinear.AROUND:collinear.AROUND + collinear.K]
+    for r in rows:
+        r[rng.choice(collinear.AROUND - 5, 3, replace=False)] = rng.integers(1, 256, 3)
+    cuts = [rows[i:i + block] for i in range(0, n, block)]
+    edges = [(0, i) for i in range(n) if i % 3 == 0]
+    for p, x in enumerate(cuts):
+        for q in range(p, len(cuts)):
+            i, j, left, right = collinear.unlike_pairs(x, cuts[q], rows[0], p == q)
+            edges += [(p * block + a, q * block + b) for a, b, s in zip(i.tolist(), j.tolist(), left + right) if s >= collinear.LEAST_WORDS]
+    assert all(a % 3 == b % 3 for a, b in edges) and len(edges) < most
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == [i % 3 for i in range(n)]
+
+
 def plain_mix(sizes):
     """sizes: (doc_id, source key, words). Target per source and words taken per document."""
     import hashlib
