@@ -82,6 +82,30 @@ def test_labels_travel_to_other_mentions(spark):
     assert pii_crf.personal_data(table(spark, ODD).limit(0)).count() == 0
 
 
+def test_labels_travel_to_all_mentions():
+    unary = np.zeros((pii_crf._N_FEATURES, 5))
+    unary[0, 0] = 0.5  # by itself a token is O
+    text = "now +17435559999 and " + " or ".join(["17435559999"] * 40)
+    graph = pii_crf.Graph()
+    graph.add(0, text, pii_crf.base_spans(text))
+    beliefs = pii_crf._beliefs(graph, {"unary": unary, "chain": np.zeros((5, 5)), "skip": 4 * np.eye(5)})
+    assert len(beliefs) == 41 and (beliefs[:, 4] >= pii_crf.SURE).all()
+
+
+def test_beliefs_do_not_depend_on_other_documents():
+    rng = np.random.default_rng(7)
+    model = {"unary": rng.normal(0, 1, (pii_crf._N_FEATURES, 5)), "chain": rng.normal(0, 1, (5, 5)), "skip": 0.2 * np.eye(5)}
+    texts = [" ".join(f"{n % 7}23456{n % 3}" for n in range(i, i + 40)) for i in range(3)] + ["a 123456 b 123456 c", "+1 555 382 4000 5553824"]
+
+    def beliefs(some):
+        graph = pii_crf.Graph()
+        for n, text in enumerate(some):
+            graph.add(n, text, pii_crf.base_spans(text))
+        return pii_crf._beliefs(graph, model)
+
+    assert np.array_equal(np.concatenate([beliefs([t]) for t in texts]), beliefs(texts))
+
+
 def test_licence_phrases_and_templates(spark):
     mit = dict((k, v) for k, v in license_scan.TEMPLATES if len(v) > 300)["mit"]
     texts = [*ODD, "Under the MIT-license, under THE mit license", prose(1, 300) + " " + mit.replace("charge", "fee") + " " + prose(2, 300), "cc by nc, Apache License Version 2",
