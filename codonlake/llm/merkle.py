@@ -4,13 +4,13 @@ A leaf is the SHA-256 of a row's columns, each written with its length. The leav
 document id and paired up level by level until one node, the subroot, remains; the subroots are paired up in the same way.
 Of the levels that are built one in ``LEVELS`` is stored, as node rows linked to their parent: a row has the siblings of
 all levels up to its parent. The proof of a leaf is climbed by a recursive common table expression of Spark: each
-round joins the current node to its row, appends the siblings and folds the digest, so the number of shuffles of the
-climb is the height divided by ``LEVELS``.
+round joins the current node to its row, appends the siblings and folds the digest, so the number of rounds is the
+height divided by ``LEVELS``. Rows of leaves are joined in the first member of the expression, the rounds read the others only.
 
-Nodes near the root are reached from very many leaves. They are therefore stored in copies, and a leaf joins the copy that its
-number names, so no task gets all leaves of a node; the copies make the node table larger by a third at most in a large
-table. Leaves are numbered by range-partitioned running totals, and runs are joined hot and cold, so a run may hold any
-share of the rows. No table passes the driver; it sees the tallest tree of a step only.
+Nodes above the leaves are fewer by 2^LEVELS. Their size is measured: they are broadcast to the rounds within a bound, and
+shuffled beyond it. Then those near the root, which are reached from very many leaves, get copies, and a leaf joins the
+copy that its number names, so no task gets all leaves of a node. Leaves are numbered by range-partitioned running totals,
+and runs are joined hot and cold, so a run may hold any share of the rows. No table passes the driver.
 
 Defined results: a null column is written as ``-``; null languages are a run of their own that comes first; null ids come
 first in their run and are never tampered with; equal ids are ordered by leaf, so repeated rows are neighbours and
@@ -30,16 +30,16 @@ from codonlake.operators.distribute import running_total
 #: Columns of a leaf, in this order.
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels between two stored ones; a group of 2^LEVELS nodes is paired up inside one row.
-LEVELS = 8
+LEVELS = 10
 #: A node's number is that of its first leaf times STEPS, plus the stored levels below it.
 STEPS = 128
-#: Copies of a node that has one, or more, stored levels below it.
-COPIES, MOST_COPIES = 64, 1024
+#: Bytes of inner nodes that a round may broadcast; beyond it, copies of a node with two or more stored levels below it.
+BROADCAST_BYTES, COPIES = 64 * 1024 * 1024, 1024
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """leaves: g (number), node, run, leaf, columns kept. nodes: node, parent, place, path, copy. runs: run, n, base, subroot."""
+    """leaves: g (number), node, run, leaf, columns kept. nodes: node, parent, place, path. runs: run, n, base, subroot."""
 
     leaves: DataFrame
     nodes: DataFrame
@@ -96,10 +96,6 @@ def _raised(rows: DataFrame, made: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _copies(node: Column) -> Column:
-    return F.when(node % STEPS == 0, F.lit(1)).when(node % STEPS == 1, F.lit(COPIES)).otherwise(F.lit(MOST_COPIES))
-
-
 def build_manifest(hashed: DataFrame, run: str = "run", order: tuple[str, ...] = ("doc_id", "leaf")) -> Manifest:
     """Manifest of rows with a column ``leaf`` (binary) and a run that is never null and sorts by its bytes."""
     numbered = running_total(hashed.withColumn("_one", F.lit(1).cast("long")), [], [run, *order], "_one", "g")
@@ -119,30 +115,38 @@ def build_manifest(hashed: DataFrame, run: str = "run", order: tuple[str, ...] =
         links = each if links is None else links.unionByName(each)
     if links is None:
         links = leaves.where("false").select(F.col("node").alias("parent"), "node", F.lit(0).alias("place"), F.array("leaf").alias("path"))
-    nodes = links.select("node", "parent", "place", "path", _copies(F.col("node")).alias("_copies"))
-    one = F.when(F.col("_copies") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_copies") - 1))
-    return Manifest(leaves, nodes.select("node", "parent", "place", "path", F.explode(one).alias("copy")), runs,
-                    root["node"] if root else None, root["digest"] if root else None)
+    nodes = links.select("node", "parent", "place", "path")
+    return Manifest(leaves, nodes, runs, root["node"] if root else None, root["digest"] if root else None)
 
 
-_FOLD = ("unhex(aggregate(sequence(0, size(n.path) - 1), lower(hex(c.folded)), (now, k) -> sha2(CASE WHEN get(n.path, k) IS NULL THEN now "
-         "WHEN shiftright(n.place, k) % 2 = 1 THEN concat(lower(hex(get(n.path, k))), now) ELSE concat(now, lower(hex(get(n.path, k)))) END, 256)))")
-_CLIMB = """
+_NOW = "lower(hex(c.folded))"
+_SIBLING = "lower(hex(get(n.path, k)))"
+_FOLD = (f"unhex(aggregate(sequence(0, size(n.path) - 1), {_NOW}, (now, k) -> sha2(CASE WHEN get(n.path, k) IS NULL THEN now "
+         f"WHEN shiftright(n.place, k) % 2 = 1 THEN concat({_SIBLING}, now) ELSE concat(now, {_SIBLING}) END, 256)))")
+_APPENDED = "aggregate(n.path, {}, (all, x) -> concat(all, coalesce(x, CAST('' AS BINARY))))"
+_CLIMB = f"""
 WITH RECURSIVE climb(g, node, part, folded, siblings) AS (
-  SELECT g, node, 0 AS part, claimed, CAST('' AS BINARY) FROM {claims}
+  SELECT c.g, coalesce(n.parent, c.node), CAST(0 AS INT), CASE WHEN n.path IS NULL THEN c.folded ELSE {_FOLD} END,
+    CASE WHEN n.path IS NULL THEN CAST('' AS BINARY) ELSE {_APPENDED.format("CAST('' AS BINARY)")} END
+  FROM {{claims}} c LEFT JOIN {{low}} n ON n.node = c.node
   UNION ALL
-  SELECT c.g, n.parent, CAST(CASE n.parent % """ + f"{STEPS} WHEN 0 THEN 0 WHEN 1 THEN c.g % {COPIES} ELSE c.g % {MOST_COPIES}" + """ END AS INT), """ + _FOLD + """,
-    aggregate(n.path, c.siblings, (all, x) -> concat(all, coalesce(x, CAST('' AS BINARY))))
-  FROM climb c JOIN {nodes} n ON n.node = c.node AND n.copy = c.part)
-SELECT g, folded, siblings FROM climb WHERE node = {root} LIMIT ALL
+  SELECT c.g, n.parent, CAST(CASE WHEN n.parent % {STEPS} >= 2 THEN c.g % {{copies}} ELSE 0 END AS INT), {_FOLD}, {_APPENDED.format("c.siblings")}
+  FROM climb c JOIN {{high}} n ON n.node = c.node AND n.copy = c.part)
+SELECT g, folded, siblings FROM climb WHERE node = {{root}} LIMIT ALL
 """
 
 
-def climbed(manifest: Manifest, claims: DataFrame) -> DataFrame:
-    """Per claim (g, node, claimed: the digest that a leaf is said to have): folded (the root that it gives) and siblings."""
+def climbed(manifest: Manifest, claims: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, copies: int = COPIES) -> DataFrame:
+    """Per claim (g, node, folded: the digest that a leaf is said to have): folded (the root that it gives) and siblings."""
     if manifest.root_node is None:
-        return claims.select("g", F.col("claimed").alias("folded"), F.col("claimed").alias("siblings")).where("false")
-    return claims.sparkSession.sql(_CLIMB, claims=claims, nodes=manifest.nodes, root=manifest.root_node)
+        return claims.select("g", "folded", F.col("folded").alias("siblings")).where("false")
+    low, high = manifest.nodes.where(F.col("node") % STEPS == 0), manifest.nodes.where(F.col("node") % STEPS > 0)
+    if high.count() * (64 + 64 * LEVELS) <= broadcast_bytes:
+        copies, high = 1, F.broadcast(high.withColumn("copy", F.lit(0)))
+    else:
+        each = F.when(F.col("node") % STEPS >= 2, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+        high = high.withColumn("copy", F.explode(each))
+    return claims.sparkSession.sql(_CLIMB, claims=claims, low=low, high=high, copies=copies, root=manifest.root_node)
 
 
 def hashed_documents(docs: DataFrame) -> DataFrame:
@@ -157,14 +161,14 @@ def hashed_documents(docs: DataFrame) -> DataFrame:
 def verified_documents(docs: DataFrame) -> DataFrame:
     """Per row: its leaf, subroot and root, the digest of its proof, and whether the claimed leaf leads to the root."""
     manifest = build_manifest(hashed_documents(docs))
-    claims = manifest.leaves.select("g", "node", F.coalesce("changed", "leaf").alias("claimed"))
-    found = stored(climbed(manifest, claims))
+    claims = manifest.leaves.select("g", "node", F.coalesce("changed", "leaf").alias("folded"))
+    found = stored(climbed(manifest, claims).select("g", "folded", F.sha2(hex_text(F.col("siblings")), 256).alias("proof_sha256")))
     whole = manifest.leaves.select("g", "doc_id", "run", "leaf").join(found, "g")
     runs = manifest.runs.select("run", F.col("n").alias("_n"), "subroot")
     joined = join_hot(whole, runs, "run", "_n", manifest.leaves.count())
     root = F.lit(manifest.root)
     return joined.select("doc_id", hex_text(F.col("leaf")).alias("leaf"), hex_text(F.col("subroot")).alias("subroot"), root.alias("root"),
-                         F.sha2(hex_text(F.col("siblings")), 256).alias("proof_sha256"), hex_text(F.col("folded")).alias("folded_root"),
+                         "proof_sha256", hex_text(F.col("folded")).alias("folded_root"),
                          (hex_text(F.col("folded")) == root).alias("verified"))
 
 
