@@ -1,3 +1,4 @@
+import bisect
 import random
 
 from codonlake.operators import distribute, intervals, orf, selection
@@ -97,6 +98,36 @@ def test_greedy_choices_equal_a_sequential_pass(spark):
         assert {(r.strand, r.start, r.end) for r in got} == plain_atg(orfs, limit)
 
 
+def test_rounds_equal_a_sequential_pass(spark):
+    contigs = contigs_of(spark, [("g", "c", dna(3, 12000)), ("g", "d", dna(4, 6000))])
+    df = orf.scan_orfs(contigs, 100).persist()
+    orfs = df.collect()
+    for fold_most in (1, 8):
+        for choose, plain in ((selection.longest_first, plain_longest), (lambda o, m, **k: selection.atg_first(o, m, 20000, **k), plain_atg)):
+            got = choose(df, 120, fold_most=fold_most).collect()
+            assert {(r.contig_id, r.strand, r.start, r.end) for r in got} == {
+                (c, *x) for c in "cd" for x in plain([o for o in orfs if o.contig_id == c], 10**9)}
+
+
+def test_one_island_of_many_candidates(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(50_000):
+        n, at = r.randint(100, 700) * 3, r.randint(1, 2_000_000)
+        rows.append((at, at + n - 1, n, i % 3, at + n - 1, at, "forward" if i % 2 else "reverse", "ATG"))
+    df = spark.createDataFrame([("g", "c", *x) for x in rows], "genome_id string, contig_id string, genome_start long, genome_end long, "
+                               "length long, frame int, end long, start long, strand string, start_codon string")
+    assert intervals.merge_intervals(df, start="genome_start", end="genome_end").count() < 5  # one island holds almost all
+    got = selection.longest_first(df, 300)
+    starts, taken = [], []
+    for x in sorted(rows, key=lambda x: (-x[2], x[6] != "forward", x[3], x[4], x[5])):
+        k = bisect.bisect_left(starts, x[0])
+        if (k == 0 or taken[k - 1][1] < x[0]) and (k == len(taken) or taken[k][0] > x[1]):
+            starts.insert(k, x[0])
+            taken.insert(k, x)
+    assert sorted((x.genome_start, x.genome_end, x.strand) for x in got.collect()) == [(x[0], x[1], x[6]) for x in taken]
+
+
 def test_longest_first_never_overlaps(spark):
     contigs = contigs_of(spark, [("g", str(k), dna(k, 8000)) for k in range(3)])
     rows = selection.longest_first(orf.scan_orfs(contigs, 100), 100).collect()
