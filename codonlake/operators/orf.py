@@ -1,9 +1,11 @@
-"""Open reading frames on both strands.
+"""Open reading frames on both strands, over chunks of contigs.
 
-One shuffle only: the contigs are hash-partitioned by (genome_id, contig_id), one byte per base.
-Codons are enumerated after it inside whole-stage codegen, and start/stop codons (9 % of them) go
-into a window whose keys start with the same two columns, so the window needs no exchange. A window
-partition holds the codons of one frame of one contig; a contig is a single row of the source.
+A contig is cut into chunks with a few bases of halo on both sides, and chunks are dealt to tasks by (genome_id, contig_id,
+chunk), so one contig spans many tasks. Codons are enumerated inside whole-stage codegen, and only start and stop codons
+(9 % of them) go into a window over one frame of one chunk, whose keys start with the columns of the exchange. A start
+without a stop in the rest of its chunk takes the carry: the first stop of its frame in the chunks that follow in the direction
+of the strand. The first stop of a frame of a chunk is found by a pattern that ends there, before the bases are moved, and
+the carries are running minima over one row per chunk; contigs of one chunk have none.
 
 Bases are cut from a binary copy of the sequence: ``substring`` on a string walks from its start,
 on binary it is an array copy of three bytes.
@@ -19,52 +21,89 @@ from codonlake.functions.sequence import reverse_complement
 CONTIG = ["genome_id", "contig_id"]
 GROUP = [*CONTIG, "strand", "end"]
 ORF = [*GROUP, "start"]
-TILE = 16384
+#: Codon starts of a chunk, and the bases around them that windows and codons need.
+CHUNK = 16384
+HALO_LEFT, HALO_RIGHT = C.RBS_WINDOW - 1, C.RBS_WINDOW + 1
 
 
 def by_contig(contigs: DataFrame) -> DataFrame:
-    """The one exchange that scan, site scoring and sequence lookup share."""
+    """The exchange that sequence lookups share."""
     return contigs.select(*CONTIG, "seq", "length").repartition(*CONTIG)
 
 
-def strands(contigs: DataFrame) -> DataFrame:
-    """Two rows per contig: the sequence as given and its reverse complement, as binary."""
+def chunks(contigs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Pieces of each contig: the bases of codons that start in the chunk, with halo; ``at`` is the first base of the piece."""
+    n = F.col("length")
+    numbers = F.when(n >= 3, F.sequence(F.lit(0).cast("long"), F.floor((n - 3) / size)))
+    rows = contigs.select(*CONTIG, "length", F.col("seq").cast("binary").alias("_b")).select("*", F.explode(numbers).alias("chunk"))
+    at = F.greatest(F.col("chunk") * size - HALO_LEFT, F.lit(0).cast("long"))
+    end = F.least((F.col("chunk") + 1) * size + HALO_RIGHT, n)
+    piece = F.substring(F.col("_b"), at.cast("int") + 1, (end - at).cast("int"))
+    return rows.select(*CONTIG, "length", "chunk", at.alias("at"), piece.cast("string").alias("piece"))
+
+
+def strand_pieces(pieces: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Both strands of each piece as binary: codons start at ``lo`` to ``hi`` of it, and base 0 of it is base ``base`` of the strand."""
+    m = F.length("piece")
+    first = (F.col("chunk") * size - F.col("at")).cast("int")
+    last = (F.least((F.col("chunk") + 1) * size, F.col("length") - 2) - 1 - F.col("at")).cast("int")
     both = F.array(
-        F.struct(F.lit("forward").alias("strand"), F.col("seq").cast("binary").alias("bases")),
-        F.struct(
-            F.lit("reverse").alias("strand"),
-            reverse_complement(F.col("seq")).cast("binary").alias("bases"),
-        ),
+        F.struct(F.lit("forward").alias("strand"), F.col("piece").cast("binary").alias("bases"), F.col("at").alias("base"),
+                 first.alias("lo"), last.alias("hi")),
+        F.struct(F.lit("reverse").alias("strand"), reverse_complement(F.col("piece")).cast("binary").alias("bases"),
+                 (F.col("length") - F.col("at") - m).alias("base"), (m - 3 - last).alias("lo"), (m - 3 - first).alias("hi")),
     )
-    return contigs.select(*CONTIG, "length", F.inline(both))
+    return pieces.select(*[c for c in pieces.columns if c not in ("piece", "at")], F.inline(both))
+
 
+def carries(pieces: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Per chunk the stops that open frames run into: ``carry`` has one position per strand and frame, null where none follows.
 
-def codon_marks(contigs: DataFrame) -> DataFrame:
-    """Every start and stop codon: 0-based strand position, codon, frame, the 20 bases for its site.
+    A stop found beyond the chunk, in the halo, is a stop that follows all the same.
+    """
+    rows = strand_pieces(pieces, size)
+    firsts = []
+    for frame in range(3):
+        skip = F.pmod(F.lit(frame) - F.col("base") - F.col("lo"), F.lit(3)).cast("int")
+        rest = F.substring(F.col("bases"), F.col("lo") + skip + 1, F.octet_length("bases")).cast("string")
+        upto = F.length(F.regexp_extract(rest, "^(?:...)*?(?:" + "|".join(C.STOP_CODONS) + ")", 0))
+        firsts.append(F.when(upto > 0, F.col("base") + F.col("lo") + skip + upto - 3).alias(f"f{frame}"))
+    found = rows.select(*CONTIG, "chunk", "strand", *firsts)
+    order = F.when(F.col("strand") == "forward", -F.col("chunk")).otherwise(F.col("chunk"))
+    later = Window.partitionBy(*CONTIG, "strand").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.select(*CONTIG, "chunk", "strand", F.array(*[F.min(f"f{k}").over(later) for k in range(3)]).alias("next"))
+    side = lambda name: F.max(F.when(F.col("strand") == name, F.col("next")))
+    return found.groupBy(*CONTIG, "chunk").agg(F.concat(side("forward"), side("reverse")).alias("carry"))
+
+
+def codon_marks(contigs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """Every start and stop codon: 0-based strand position, codon, frame, the 20 bases for its site, and the carry of its frame.
 
     The window of 20 ends with the first base of the codon; near the contig start it is shorter.
     """
-    span = F.col("length") - 3
-    starts = F.when(span >= 0, F.sequence(F.lit(0).cast("long"), span, F.lit(TILE).cast("long")))
-    tiles = strands(by_contig(contigs)).select("*", F.explode(starts).alias("tile"))
-    places = tiles.select(
-        "*", F.explode(F.sequence("tile", F.least(F.col("tile") + (TILE - 1), span))).alias("pos")
-    )
-    codon = F.substring(F.col("bases"), F.col("pos").cast("int") + 1, F.lit(3)).cast("string")
-    head = F.greatest(F.col("pos") - (C.RBS_WINDOW - 1), F.lit(0)).cast("int")
+    pieces = chunks(contigs, size).repartition(*CONTIG, "chunk")
+    follows = carries(chunks(contigs.where(F.col("length") - 3 >= size), size), size)
+    rows = strand_pieces(pieces.join(follows, [*CONTIG, "chunk"], "left"), size)
+    places = rows.select("*", F.explode(F.sequence("lo", "hi")).alias("i"))
+    codon = F.substring(F.col("bases"), F.col("i") + 1, F.lit(3)).cast("string")
+    head = F.greatest(F.col("i") - (C.RBS_WINDOW - 1), F.lit(0))
+    pos = F.col("base") + F.col("i")
+    frame = (pos % 3).cast("int")
     return (
-        places.select(*CONTIG, "strand", "length", "pos", "bases", codon.alias("codon"))
+        places.select("*", codon.alias("codon"))
         .where(F.col("codon").isin(*C.START_CODONS, *C.STOP_CODONS))
         .select(
             *CONTIG,
+            "chunk",
             "strand",
             F.col("length").alias("contig_length"),
-            "pos",
-            (F.col("pos") % 3).cast("int").alias("frame"),
+            pos.alias("pos"),
+            frame.alias("frame"),
             "codon",
+            F.get("carry", frame + F.when(F.col("strand") == "forward", 0).otherwise(3)).alias("carry"),
             F.when(
                 F.col("codon").isin(*C.START_CODONS),
-                F.substring(F.col("bases"), head + 1, F.col("pos").cast("int") + 1 - head),
+                F.substring(F.col("bases"), head + 1, F.col("i") + 1 - head),
             )
             .cast("string")
             .alias("upstream"),
@@ -81,22 +120,24 @@ def genome_coordinates(strand: Column, start: Column, end: Column, length: Colum
     ]
 
 
-def scan_orfs(contigs: DataFrame, min_length: int = C.MIN_ORF_LENGTH) -> DataFrame:
+def scan_orfs(contigs: DataFrame, min_length: int = C.MIN_ORF_LENGTH, size: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
     """All start codons paired with the next stop codon of their frame, nested ones included.
 
-    The frame is read backwards, so the nearest stop to come is a running minimum; a frame that looks
-    forward to the end would rescan the partition for every row.
+    ``keep``: further columns; with ``chunk`` among them, what is grouped by ORF and chunk afterwards needs no exchange.
+
+    The frame of a chunk is read backwards, so the nearest stop to come is a running minimum, and the carry of the chunk
+    where there is none; a frame that looks forward to the end would rescan the partition for every row.
     """
     backwards = (
-        Window.partitionBy(*CONTIG, "strand", "frame")
+        Window.partitionBy(*CONTIG, "chunk", "strand", "frame")
         .orderBy(F.col("pos").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     is_stop = F.col("codon").isin(*C.STOP_CODONS)
     start, end = F.col("pos") + 1, F.col("stop") + 3
     return (
-        codon_marks(contigs)
-        .withColumn("stop", F.min(F.when(is_stop, F.col("pos"))).over(backwards))
+        codon_marks(contigs, size)
+        .withColumn("stop", F.coalesce(F.min(F.when(is_stop, F.col("pos"))).over(backwards), F.col("carry")))
         .where(~is_stop & (end - start + 1 >= min_length))
         .select(
             *CONTIG,
@@ -109,6 +150,7 @@ def scan_orfs(contigs: DataFrame, min_length: int = C.MIN_ORF_LENGTH) -> DataFra
             F.col("codon").alias("start_codon"),
             "upstream",
             "contig_length",
+            *keep,
         )
     )
 

@@ -123,7 +123,7 @@ def site_candidates(orfs: DataFrame, keep: list[str]) -> DataFrame:
 def add_rbs_score(orfs: DataFrame) -> DataFrame:
     """Best site score per ORF, -5 without a site. The ORF columns are the grouping key, so no join back.
 
-    The key starts with the columns the ORFs are partitioned by, so this adds no exchange.
+    Where the columns include those the ORFs are partitioned by (the chunk is one), this adds no exchange.
     """
     cols = orfs.columns
     padded = F.lpad("upstream", C.RBS_WINDOW, "-")

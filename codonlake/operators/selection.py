@@ -25,7 +25,7 @@ from codonlake.session import cut_lineage
 
 COORDS = [*CONTIG, "genome_start", "genome_end"]
 #: Candidates of an island that one row may hold, and the width of a position bin of larger islands.
-FOLD_MOST, BIN = 512, 1024
+FOLD_MOST, BIN = 1024, 1024
 #: The two choices; a row of either is told apart by this key and, where strands are chosen apart, by the strand.
 LONGEST, ATG = "longest_first", "atg_first"
 KEYS = ["choice", *CONTIG, "part"]
@@ -47,15 +47,16 @@ def _conflict(taken: Column, later: Column, tolerance: Column) -> Column:
     return F.greatest(shared, F.lit(0)) / later["length"] > tolerance
 
 
-def _folded(islands: DataFrame, keys: list[str]) -> DataFrame:
-    """Greedy pass over each island; ``FOLD_MOST`` candidates at most stand in one row."""
-    lists = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list("rank")).alias("items"),
-                                                  F.first("tolerance").alias("tolerance"))
+def _folded(islands: DataFrame, keys: list[str], fold_most: int) -> DataFrame:
+    """Greedy pass over each island: (keys, rank, tolerance, open). Candidates of islands above ``fold_most`` stay open, each in a row of its own."""
+    alone = F.when(F.col("_size") > fold_most, F.col("rank"))
+    lists = islands.groupBy(*keys, "_island", alone.alias("_alone")).agg(F.array_sort(F.collect_list("rank")).alias("items"),
+                                                                         F.first("tolerance").alias("tolerance"))
     taken = F.aggregate(
         "items", F.filter("items", lambda x: F.lit(False)),
         lambda acc, x: F.when(F.exists(acc, lambda y: _conflict(y, x, F.col("tolerance"))), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    return lists.select(*keys, F.explode(taken).alias("rank"))
+    return lists.select(*keys, F.explode(taken).alias("rank"), "tolerance", F.col("_alone").isNotNull().alias("open"))
 
 
 def _round(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -78,12 +79,13 @@ def independent_set(candidates: DataFrame, keys: list[str], fold_most: int = FOL
     size = F.count("*").over(Window.partitionBy(*keys, "_island"))
     while True:
         ends = left.select(*keys, "rank", "tolerance", F.col("rank.genome_start").alias("_lo"), F.col("rank.genome_end").alias("_hi"))
-        islands = cut_lineage(number_islands(ends, keys, "_lo", "_hi", "_island").withColumn("_size", size).drop("_lo", "_hi"))
-        taken.append(_folded(islands.where(F.col("_size") <= fold_most), keys))
-        large = islands.where(F.col("_size") > fold_most).drop("_island", "_size")
-        if large.isEmpty():
+        islands = number_islands(ends, keys, "_lo", "_hi", "_island").withColumn("_size", size)
+        folded = cut_lineage(_folded(islands, keys, fold_most))
+        taken.append(folded.where("NOT open").select(*keys, "rank"))
+        still = folded.where("open").drop("open")
+        if still.isEmpty():
             break
-        winners, left = _round(large, keys)
+        winners, left = _round(still, keys)
         taken.append(winners)
     out = taken[0]
     for more in taken[1:]:

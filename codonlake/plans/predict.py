@@ -23,7 +23,7 @@ class Annotation:
 
 
 def detect(contigs: DataFrame, min_length: int = C.MIN_ORF_LENGTH) -> DataFrame:
-    return rbs.add_rbs_score(orf.scan_orfs(contigs, min_length))
+    return rbs.add_rbs_score(orf.scan_orfs(contigs, min_length, keep=("chunk",))).drop("chunk")
 
 
 def self_training_sequences(orfs: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def upstream_q(spark, sf_dir):
 
 @register("rbs_score", query(f"SELECT genome_id, contig_id, strand, start, {rsql('rbs_score')} FROM orfs", "orfs"))
 def rbs_q(spark, sf_dir):
-    scored = rbs.add_rbs_score(orf.scan_orfs(context(spark, sf_dir).contigs))
+    scored = predict.detect(context(spark, sf_dir).contigs)
     return rounded(scored.select("genome_id", "contig_id", "strand", "start", "rbs_score"))
 
 

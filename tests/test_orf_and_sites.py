@@ -32,7 +32,7 @@ def test_golden_coordinates(spark):
 
 def test_scan_equals_direct_search(spark):
     seqs = [("g", str(i), dna(i, n, "ACGTN" if i % 2 else "ACGT")) for i, n in enumerate((0, 2, 3, 700, 900, 1500))]
-    seqs.append(("g", "tiles", dna(99, 2 * orf.TILE + 50)))
+    seqs.append(("g", "tiles", dna(99, 2 * orf.CHUNK + 50)))
     rows = orf.scan_orfs(contigs_of(spark, seqs), 30).collect()
     for _, name, s in seqs:
         got = {(r.strand, r.start, r.end, r.frame, r.start_codon) for r in rows if r.contig_id == name}
@@ -97,6 +97,31 @@ def test_site_word_table_has_a_fixed_size(spark):
     assert rbs.site_words(spark).count() <= sum(4**k for k in range(4, 9))
 
 
-def test_scan_plan_has_one_exchange(spark):
-    plan = orf.scan_orfs(contigs_of(spark, [("g", "c", dna(1, 300))]))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def test_chunks_give_the_same_orfs(spark):
+    seqs = [("g", "a", dna(5, 1500)), ("g", "b", "ATG" + "GCC" * 300 + "TAA" + dna(6, 200)), ("h", "n", dna(7, 400, "ACGTN")), ("h", "x", "AT"),
+            ("h", "y", "ATG"), ("h", "z", "")]
+    contigs = contigs_of(spark, seqs)
+    for size in (3, 64, 700):
+        rows = orf.scan_orfs(contigs, 30, size).collect()
+        for g, c, s in seqs:
+            mine = [r for r in rows if r.contig_id == c]
+            assert {(r.strand, r.start, r.end, r.frame, r.start_codon) for r in mine} == plain_orfs(s, 30)
+            for r in mine:
+                strand = s if r.strand == "forward" else revcomp(s)
+                assert r.upstream == strand[max(0, r.start - 20):r.start]
+
+
+def test_one_contig_spans_several_tasks(spark):
+    contigs = contigs_of(spark, [("g", "c", "ATG" + "GCA" * 20000 + "TGA" + dna(8, 40000))])
+    marks = orf.codon_marks(contigs, 2000).select("chunk", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in marks}) > 2 and len({r.chunk for r in marks}) > 20
+    longest = orf.scan_orfs(contigs, 60000, 2000).collect()
+    assert [(r.strand, r.start, r.end) for r in longest] == [("forward", 1, 60006)]
+
+
+def test_scan_moves_the_bases_once(spark):
+    scan = orf.scan_orfs(contigs_of(spark, [("g", "c", dna(1, 300))]))
+    scan.collect()
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert len([x for x in final.splitlines() if "REPARTITION_BY_COL" in x]) == 1
