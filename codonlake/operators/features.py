@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codonlake import constants as C
 from codonlake.functions import protein as P, sequence as S, upstream as U
 from codonlake.operators.distribute import join_per_genome
+from codonlake.operators.models import CODON, model_arrays
 from codonlake.operators.orf import GROUP, ORF, slice_forward, with_sequence, with_upstream
 from codonlake.operators.scoring import markov_lookup
 from codonlake.operators.starts import rank_starts
@@ -245,7 +246,7 @@ def upstream_features(rows: DataFrame, contigs: DataFrame, models: DataFrame, ct
     rows = slice_forward(rows, contigs, lo, lo + 17, "_h")
     rows = rows.withColumn("_head", F.when(forward, F.col("_h")).otherwise(S.reverse_complement(F.col("_h"))))
     size = F.lit(1024) + F.coalesce(F.size("markov_table"), F.lit(0)) * 8
-    rows = join_per_genome(rows, models.select("genome_id", "codon_table", "markov_order", "markov_table"), size)
+    rows = join_per_genome(rows, model_arrays(models), size)
     rows = join_per_genome(rows, ctx, 2048)
     up = F.col("_up")
     word = lambda i: F.substring(up, F.greatest(i - F.col("markov_order"), F.lit(1)),
@@ -324,7 +325,7 @@ def pair_features(rows: DataFrame, contigs: DataFrame, models: DataFrame, ctx: D
     forward = F.col("strand") == "forward"
     wide = slice_forward(wide, contigs, F.when(forward, lo).otherwise(F.col("_clen") - hi + 1),
                          F.when(forward, hi).otherwise(F.col("_clen") - lo + 1), "_ext")
-    wide = join_per_genome(wide, models.select("genome_id", "codon_table"), 600)
+    wide = join_per_genome(wide, model_arrays(models.where(F.col("pos") == CODON)).select("genome_id", "codon_table"), 600)
     ext_seq = F.when(forward, F.col("_ext")).otherwise(S.reverse_complement(F.col("_ext")))
     ext = F.coalesce(U.codon_mean(ext_seq, F.col("codon_table")), F.lit(0.0))
     if parity:

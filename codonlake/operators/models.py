@@ -1,22 +1,22 @@
 """Self-trained models per genome: codon log-ratios and a position-aware Markov chain with back-off.
 
 Counting is one pass over the bases with map-side combine: every base contributes its longest context
-only, shorter contexts are sums of longer ones. Turning counts into probability tables is done per
-genome on arrays; that group is bounded by the order limit (at most 3 * 4^11 words per class), it does
-not grow with the data of the genome.
+only, shorter contexts are sums of longer ones. Probabilities are a trie of contexts held as rows, one stored level per
+order: a level comes from the one below by a join of each context with its suffix, from which it takes what it has not
+seen often enough itself. Rows are sharded by (genome, codon position, context), so neither a genome nor an order is
+gathered in one task.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codonlake import constants as C
 from codonlake.functions.sequence import codons
 from codonlake.operators.distribute import join_per_genome, running_total
+from codonlake.session import stored
 
 CODING, NONCODING = "coding", "noncoding"
 TILE = 16384
@@ -92,19 +92,11 @@ def word_code(word: Column) -> Column:
     return F.conv(F.translate(word, "ACGT", "0123"), 4, 10).cast("int")
 
 
-def codon_array(log_ratio: DataFrame) -> DataFrame:
-    """The 64 log-ratios of a genome as one array, indexed by the base-4 number of the codon."""
-    plain = log_ratio.where(F.col("codon").rlike("^[ACGT]{3}$"))
-    table = plain.groupBy("genome_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(word_code(F.col("codon")), "log_ratio"))).alias("m")
-    )
-    return table.select(
-        "genome_id",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(63)),
-            lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)),
-        ).alias("codon_table"),
-    )
+def codon_rows(log_ratio: DataFrame) -> DataFrame:
+    """The log-ratios of ACGT codons in the form of model rows: the first two letters as context, the last as index."""
+    plain = log_ratio.where(F.col("codon").rlike("^[ACGT]{3}$")).withColumn("_code", word_code(F.col("codon")))
+    at = [F.coalesce(F.max(F.when(F.col("_code") % 4 == b, F.col("log_ratio"))), F.lit(0.0)) for b in range(4)]
+    return plain.groupBy("genome_id", F.shiftright("_code", 2).alias("context")).agg(F.array(*at).alias("ratio"))
 
 
 # ---- Markov counts ---------------------------------------------------------------------------------
@@ -189,104 +181,130 @@ def context_probabilities(counts: DataFrame, min_obs: int = C.MIN_OBSERVATIONS)
     )
 
 
-# ---- tables from counts (array work on one bounded group per genome) -------------------------------
-def _levels(part: pd.DataFrame, order: int) -> list[np.ndarray]:
-    """levels[L] = counts[pos, word of L bases] for L = 1..order+1."""
-    out = [np.zeros((3, 1))]
-    for size in range(1, order + 2):
-        rows = part[part["size"] >= size]
-        index = rows["pos"].to_numpy() * 4**size + rows["code"].to_numpy() % 4**size
-        out.append(np.bincount(index, rows["n"].to_numpy(), 3 * 4**size).reshape(3, 4**size))
-    return out
-
-
-def _log_table(levels: list[np.ndarray], order: int) -> list[np.ndarray]:
-    """ln P with back-off: a word not covered by a reliable context takes the value of its suffix."""
-    prob = np.full((3, 1), C.UNSEEN_BASE_PROB)
-    logs = []
-    for size in range(1, order + 2):
-        suffix = np.tile(prob, (1, 4))
-        counts = levels[size]
-        total = np.repeat(counts.reshape(3, -1, 4).sum(axis=2), 4, axis=1)
-        known = (total >= C.MIN_OBSERVATIONS) & (counts > 0)
-        prob = np.where(known, counts / np.where(total > 0, total, 1), suffix)
-        logs.append(np.log(np.maximum(prob, C.PROB_FLOOR)))
-    return logs
-
-
-def _ratio_tables(rows: pd.DataFrame, order: int) -> list[np.ndarray]:
-    sides = [
-        _log_table(_levels(rows[rows["cls"] == cls], order), order) for cls in (CODING, NONCODING)
-    ]
-    return [a - b for a, b in zip(*sides)]
-
-
-def _best_order(rows: pd.DataFrame, bound: int) -> tuple[int, float]:
-    """Order with the highest summed score of the held-out coding rows; the lowest among equals."""
-    tables = _ratio_tables(rows[~rows["held_out"]], bound)
-    held = rows[(rows["cls"] == CODING) & rows["held_out"]]
-    size, code = held["size"].to_numpy(), held["code"].to_numpy()
-    pos, weight = held["pos"].to_numpy(), held["weight"].to_numpy()
-    broken = held["broken"].to_numpy()
-    best, best_score = 2, -math.inf
-    for order in range(2, bound + 1):
-        score = 0.0
-        for used in range(1, order + 2):
-            pick = np.where(broken, (size >= order + 1) & (used == order + 1),
-                            np.minimum(size, order + 1) == used)
-            score += float((weight[pick] * tables[used - 1][pos[pick], code[pick] % 4**used]).sum())
-        if score > best_score:
-            best, best_score = order, score
-    return best, best_score
-
-
-MODEL_SCHEMA = "genome_id string, bound int, markov_order int, held_out_score double, markov_table array<double>"
-
-
-def _markov_of_genome(fixed_order: int | None):
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        bound = int(rows["bound"].iloc[0])
-        score = None
-        if fixed_order is not None:
-            order = fixed_order
-        elif bound < 2 or int(rows["few"].iloc[0]) == 1:
-            order = bound
-        else:
-            order, total = _best_order(rows, bound)
-            score = total / int(rows["n_held"].iloc[0])
-        flat = np.concatenate(_ratio_tables(rows, order), axis=1).ravel()
-        return pd.DataFrame(
-            {"genome_id": [rows["genome_id"].iloc[0]], "bound": [bound], "markov_order": [order],
-             "held_out_score": [score], "markov_table": [flat]}
-        )
+# ---- the trie of contexts --------------------------------------------------------------------------
+FIT, ALL = "fit", "all"
+NODE = ["genome_id", "part", "pos", "context"]
+#: In model rows, the codon position of those that hold codon log-ratios.
+CODON = -1
+
 
-    return build
+def context_counts(counts: DataFrame) -> DataFrame:
+    """How often each base follows a context of ``size`` - 1 bases, per class as array of four; without held-out rows (fit) and with all."""
+    parts = F.when(F.col("held_out"), F.array(F.lit(ALL))).otherwise(F.array(F.lit(ALL), F.lit(FIT)))
+    each = counts.select("genome_id", "cls", "pos", "code", "size", "n", F.explode(parts).alias("part"))
+    each = each.select("genome_id", "part", "cls", "pos", "code", "n", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("size"))
+    word = F.expr("code & (shiftleft(1, 2 * size) - 1)")
+    each = each.select("genome_id", "part", "cls", "pos", "size", F.shiftright(word, 2).alias("context"), (word.bitwiseAND(3)).alias("_base"), "n")
+    seen = lambda cls: F.array(*[F.coalesce(F.sum(F.when((F.col("cls") == cls) & (F.col("_base") == b), F.col("n"))), F.lit(0)) for b in range(4)])
+    return each.groupBy(*NODE, "size").agg(seen(CODING).alias("n_coding"), seen(NONCODING).alias("n_noncoding"))
+
+
+def context_trie(ends: DataFrame, counts: DataFrame) -> DataFrame:
+    """P(base | context) of both classes for every context of fewer than ``last`` bases: (genome_id, part, pos, size, context, coding, noncoding).
+
+    ``ends``: one row per genome and part with ``last``, the longest words. A context seen at least ``MIN_OBSERVATIONS`` times has
+    the shares of the bases that follow it; for a base not seen after it, and for other contexts, the suffix decides.
+    """
+    quarter = F.array(*[F.lit(C.UNSEEN_BASE_PROB)] * 4)
+    level = ends.select("genome_id", "part", "last", F.explode(F.array(*map(F.lit, range(3)))).alias("pos"), F.lit(0).alias("context"),
+                        quarter.alias("coding"), quarter.alias("noncoding"))
+    trie = None
+    for size in range(1, (ends.agg(F.max("last")).first()[0] or 0) + 1):
+        if size > 1:
+            letter = F.explode(F.array(*[F.lit(b * 4 ** (size - 2)) for b in range(4)])).alias("_first")
+            level = level.where(F.col("last") >= size).select("*", letter).withColumn("context", F.col("_first") + F.col("context")).drop("_first")
+        level = level.join(counts.where(F.col("size") == size).drop("size"), NODE, "left")
+
+        def known(n: str, suffix: str) -> Column:
+            total = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
+            own = F.zip_with(n, suffix, lambda x, back: F.when(x > 0, x / total).otherwise(back))
+            return F.when(total >= C.MIN_OBSERVATIONS, own).otherwise(F.col(suffix)).alias(suffix)
+
+        level = stored(level.select(*NODE, "last", known("n_coding", "coding"), known("n_noncoding", "noncoding")))
+        here = level.select(*NODE, F.lit(size).alias("size"), "coding", "noncoding")
+        trie = here if trie is None else trie.unionByName(here)
+    return trie if trie is not None else level.select(*NODE, F.lit(0).alias("size"), "coding", "noncoding")
+
+
+def ratios(trie: DataFrame) -> DataFrame:
+    """ln P_coding - ln P_background of the four bases after each context."""
+    log = lambda p: F.log(F.greatest(p, F.lit(C.PROB_FLOOR)))
+    return trie.select(*NODE, "size", F.zip_with("coding", "noncoding", lambda a, b: log(a) - log(b)).alias("ratio"))
+
+
+def order_scores(counts: DataFrame, fitted: DataFrame) -> DataFrame:
+    """Per genome and order from 2 to its bound the summed score of the held-out coding rows under the fitted part."""
+    held = counts.where((F.col("cls") == CODING) & F.col("held_out") & (F.col("weight") > 0) & (F.col("bound") >= 2))
+    each = held.select("genome_id", "pos", "size", "code", "broken", "weight", F.explode(F.sequence(F.lit(2), F.col("bound"))).alias("order"))
+    each = each.where(~F.col("broken") | (F.col("size") > F.col("order"))).withColumn("size", F.least("size", F.col("order") + 1))
+    word = F.expr("code & (shiftleft(1, 2 * size) - 1)")
+    each = each.groupBy("genome_id", "order", "pos", "size", F.shiftright(word, 2).alias("context"), word.bitwiseAND(3).alias("_base")).agg(F.sum("weight").alias("weight"))
+    fitted = fitted.where(F.col("part") == FIT).drop("part")
+    met = each.join(fitted, ["genome_id", "pos", "size", "context"])
+    return met.groupBy("genome_id", "order").agg(F.sum(F.col("weight") * F.get("ratio", F.col("_base"))).alias("score"))
+
+
+def chosen_orders(sizes: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row per genome: bound, markov_order, held_out_score. The lowest order wins among those equal to nine digits."""
+    best = scores.groupBy("genome_id").agg(F.max_by(F.struct("order", "score"), F.struct(F.round("score", 9), -F.col("order"))).alias("_best"))
+    few = (F.col("bound") < 2) | (F.col("n_coding") < 5) | (F.col("n_noncoding") < 5)
+    n_held = F.greatest(F.lit(1), F.floor(F.col("n_coding") * F.lit(C.VALIDATION_SHARE)))
+    return sizes.join(best, "genome_id", "left").select(
+        "genome_id", "bound", F.when(few, F.col("bound")).otherwise(F.coalesce("_best.order", F.lit(2))).alias("markov_order"),
+        F.when(~few, F.col("_best.score") / n_held).alias("held_out_score"))
 
 
 def markov_models(seqs: DataFrame, fixed_order: int | None = None) -> DataFrame:
-    """Per genome: chosen order and ln P_coding - ln P_background of every word, flattened by position.
+    """Model rows of the order that each genome chooses: genome_id, bound, markov_order, held_out_score, pos, size, context, ratio.
 
-    Word of L bases with number c at codon position p sits at p * T + (4^L - 1) / 3 - 1 + c, where T is
-    the number of words of 1..order+1 bases.
+    ``ratio`` has ln P_coding - ln P_background of the four words of ``size`` bases that begin with the context, as base-4 number.
     """
     if fixed_order is not None and not 0 <= fixed_order <= C.MAX_MARKOV_ORDER:
         raise ValueError(f"an order of 0 to {C.MAX_MARKOV_ORDER} is asked for, not {fixed_order}")
     sizes = order_bound(class_sizes(seqs))
-    few = ((F.col("n_coding") < 5) | (F.col("n_noncoding") < 5)).cast("int").alias("few")
+    parts = (ALL,) if fixed_order is not None else (ALL, FIT)
     if fixed_order is not None:
         sizes = sizes.withColumn("bound", F.lit(fixed_order))
-        marked = seqs.withColumn("held_out", F.lit(False))
+        marked = seqs.withColumn("held_out", F.lit(True))
     else:
         marked = mark_held_out(seqs)
-    n_held = F.greatest(F.lit(1), F.floor(F.col("n_coding") * F.lit(C.VALIDATION_SHARE))).alias("n_held")
-    counts = join_per_genome(word_counts(marked, sizes), sizes.select("genome_id", few, n_held), 64, "inner")
-    return counts.groupBy("genome_id").applyInPandas(_markov_of_genome(fixed_order), MODEL_SCHEMA)
+    sizes = stored(sizes)  # one row per genome
+    counts = stored(word_counts(marked, sizes))
+    ends = sizes.select("genome_id", F.explode(F.array(*map(F.lit, parts))).alias("part"), (F.col("bound") + 1).alias("last"))
+    table = ratios(context_trie(ends, stored(context_counts(counts))))
+    if fixed_order is not None:
+        orders = sizes.select("genome_id", "bound", F.lit(fixed_order).alias("markov_order"), F.lit(None).cast("double").alias("held_out_score"))
+    else:
+        orders = stored(chosen_orders(sizes, order_scores(counts, table)))
+    rows = join_per_genome(table.where(F.col("part") == ALL).drop("part"), orders, 64, "inner")
+    return rows.where(F.col("size") <= F.col("markov_order") + 1).select(
+        "genome_id", "bound", "markov_order", "held_out_score", "pos", "size", "context", "ratio")
 
 
 def model_bundle(seqs: DataFrame, fixed_order: int | None = None) -> DataFrame:
-    """One row per genome with everything needed to score its ORFs."""
-    table = codon_array(codon_log_ratio(codon_model(seqs)))
-    return table.join(markov_models(seqs, fixed_order), "genome_id", "full_outer")
+    """Model rows of Markov chain and codons (``pos`` = CODON), everything needed to score the ORFs of a genome."""
+    usage = codon_rows(codon_log_ratio(codon_model(seqs))).select("genome_id", F.lit(CODON).alias("pos"), F.lit(3).alias("size"), "context", "ratio")
+    return markov_models(seqs, fixed_order).unionByName(usage, allowMissingColumns=True)
+
+
+def model_heads(models: DataFrame) -> DataFrame:
+    """One row per genome with its bound, order and held-out score."""
+    return models.where((F.col("pos") == 0) & (F.col("size") == 1)).select("genome_id", "bound", "markov_order", "held_out_score")
+
+
+def model_arrays(models: DataFrame) -> DataFrame:
+    """One row per genome: markov_order, codon_table (64 values) and markov_table, for look-ups of a few words in other expressions.
+
+    The word of L bases with number c at codon position p sits at p * T + (4^L - 1) / 3 - 1 + c of markov_table, where T is the
+    number of words of 1..order+1 bases. The order limit bounds the row.
+    """
+    flat = lambda rows: F.flatten(F.transform(F.array_sort(rows), lambda x: x["ratio"]))
+    chain = F.collect_list(F.when(F.col("pos") != CODON, F.struct("pos", "size", "context", "ratio")))
+    usage = F.map_from_entries(F.collect_list(F.when(F.col("pos") == CODON, F.struct("context", "ratio"))))
+    rows = models.groupBy("genome_id").agg(F.max("markov_order").alias("markov_order"), usage.alias("_usage"), flat(chain).alias("markov_table"))
+    none = F.array(*[F.lit(0.0)] * 4)
+    codon = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.element_at("_usage", i), none)))
+    return rows.select("genome_id", "markov_order", codon.alias("codon_table"), F.when(F.size("markov_table") > 0, F.col("markov_table")).alias("markov_table"))
 
 
 # ---- reports ---------------------------------------------------------------------------------------

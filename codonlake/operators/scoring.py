@@ -4,19 +4,29 @@ Nested ORFs share their tail, so a base is looked up once per stop codon and not
 start owns the bases up to the next start plus one context length. Looked up from the start of the ORF
 those bases give its head (contexts cut at the start codon) and its own full-context part; the score of
 an ORF is its head plus the full parts of itself and of all later starts of the same stop.
+
+The bases of an ORF and the model rows of its genome meet in a cogroup: the model is there once per group and not once per
+base or ORF. A genome with many ORFs is split over groups of ``ORFS_PER_GROUP``.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codonlake import constants as C
 from codonlake.operators.distribute import join_per_genome
-from codonlake.operators.models import word_code
+from codonlake.operators.models import CODON, word_code
 from codonlake.operators.orf import CONTIG, GROUP, ORF, slice_forward
 from codonlake.functions.sequence import reverse_complement
 from codonlake.session import cut_lineage
 
+#: ORFs of a genome that are scored in one group, and bases that are looked up at a time.
+ORFS_PER_GROUP, SLICE = 50_000, 1_000_000
+_LETTERS = np.full(256, 4, dtype=np.int64)
+_LETTERS[[ord(c) for c in "ACGT"]] = range(4)
+
 
 def words_up_to(size: Column) -> Column:
     """Number of words of 1..size bases, which is also where the words of size+1 bases begin."""
@@ -43,29 +53,65 @@ def own_parts(orfs: DataFrame, contigs: DataFrame, models: DataFrame) -> DataFra
     hi = F.when(forward, F.col("_last")).otherwise(F.col("contig_length") - F.col("start") + 1)
     cut = slice_forward(keyed, contigs, lo, hi, "_s")
     strand_seq = F.when(forward, F.col("_s")).otherwise(reverse_complement(F.col("_s")))
-    cut = cut.select(*ORF, "_own",
-                     F.regexp_replace(strand_seq, "[^ACGT]", "N").cast("binary").alias("_b"))
-    size = F.lit(64 * 8 + 64) + F.coalesce(F.size("markov_table"), F.lit(0)) * 8
-    rows = join_per_genome(cut, models.select("genome_id", "codon_table", "markov_order", "markov_table"),
-                           size)
-    k = F.coalesce("markov_order", F.lit(0))
-    reach = F.least(F.octet_length("_b"), F.col("_own") + k)
-    each = rows.select(*ORF, "_own", "_b", "codon_table", "markov_table", k.alias("_k"),
-                       F.explode(F.sequence(F.lit(0), reach - 1)).alias("i"))
-    first = F.greatest(F.col("i") - F.col("_k"), F.lit(0))
-    word = F.substring(F.col("_b"), first + 1, F.col("i") - first + 1).cast("string")
-    codon = F.substring(F.col("_b"), F.col("i") + 1, F.lit(3)).cast("string")
-    each = each.select(*ORF, "_own", "codon_table", "markov_table", "_k", "i", word.alias("word"),
-                       codon.alias("codon"))
-    value = markov_lookup(F.col("markov_table"), F.col("_k"), F.col("i") % 3, F.col("word"))
-    in_frame = (F.col("i") % 3 == 0) & (F.col("i") < F.col("_own")) & ~F.col("codon").contains("N")
-    usage = F.coalesce(F.get(F.col("codon_table"), word_code(F.col("codon"))), F.lit(0.0))
-    return each.groupBy(*ORF).agg(
-        F.coalesce(F.sum(F.when(F.col("i") < F.col("_k"), value)), F.lit(0.0)).alias("head"),
-        F.coalesce(F.sum(F.when(F.col("i") >= F.col("_k"), value)), F.lit(0.0)).alias("full"),
-        F.coalesce(F.sum(F.when(in_frame, usage)), F.lit(0.0)).alias("usage"),
-        F.count_if(in_frame).alias("n_codons"),
-    )
+    cut = cut.select(*ORF, "_own", strand_seq.alias("_bases"))
+    groups = orfs.groupBy("genome_id").agg(F.ceil(F.count("*") / ORFS_PER_GROUP).cast("int").alias("_groups"))
+    spread = F.pmod(F.xxhash64("contig_id", "strand", "end"), F.col("_groups")).cast("int")
+    parts = join_per_genome(cut, groups, 64, "inner").withColumn("_group", spread).drop("_groups")
+    copies = models.join(groups, "genome_id").withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)))
+    copies = copies.select("genome_id", "_group", "markov_order", "pos", "size", "context", "ratio")
+    keys = ["genome_id", "_group"]
+    return parts.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(
+        _looked_up, "genome_id string, contig_id string, strand string, end long, start long, head double, full double, usage double, n_codons long")
+
+
+def _tables(model: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """Order, codon values, and the values of all words: that of L bases with number c at position p is at p * T + (4^L - 4) / 3 + c."""
+    pos, size, context = (model.column(c).to_numpy().astype(np.int64) for c in ("pos", "size", "context"))
+    ratio = model.column("ratio").combine_chunks().flatten().to_numpy().reshape(-1, 4)
+    orders = model.column("markov_order").drop_null()
+    order = orders[0].as_py() if len(orders) else 0
+    each = (4 ** (order + 2) - 4) // 3
+    words, codons = np.zeros(3 * each), np.zeros(64)
+    usage = pos == CODON
+    codons[context[usage][:, None] * 4 + np.arange(4)] = ratio[usage]
+    at = pos[~usage] * each + (4 ** size[~usage] - 4) // 3 + context[~usage] * 4
+    words[at[:, None] + np.arange(4)] = ratio[~usage]
+    return order, codons, words
+
+
+def _looked_up(parts: pa.Table, model: pa.Table) -> pa.Table:
+    """Sums over the bases each ORF owns: head, full, usage, n_codons. Words and codons with a letter outside ACGT count nothing."""
+    order, codons, words = _tables(model)
+    own, bases = parts.column("_own").to_numpy(), parts.column("_bases").combine_chunks().cast(pa.large_string())
+    offsets = np.frombuffer(bases.buffers()[1], dtype=np.int64)[bases.offset:bases.offset + len(bases) + 1] if len(bases) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(bases.buffers()[2], dtype=np.uint8) if len(bases) and bases.buffers()[2] is not None else np.empty(0, dtype=np.uint8)
+    sums, first = np.zeros((4, parts.num_rows)), 0
+    while first < parts.num_rows:
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1)
+        letters, sizes = _LETTERS[data[offsets[first]:offsets[end]]], np.diff(offsets[first:end + 1])
+        row = np.repeat(np.arange(end - first), sizes)
+        start = np.repeat(offsets[first:end] - offsets[first], sizes)
+        at = np.arange(letters.size)
+        i, other = at - start, letters == 4
+        letters = np.where(other, 0, letters)
+        back = np.minimum(i, order)  # bases of the context
+        code = np.zeros(letters.size, dtype=np.int64)
+        for j in range(order + 1):
+            code[j:] += np.where(i[j:] >= j, letters[:letters.size - j], 0) << (2 * j)
+        whole = np.maximum.accumulate(np.where(other, at, -1)) < at - back
+        value = words[(i % 3) * (words.size // 3) + (4 ** (back + 1) - 4) // 3 + code]
+        value = np.where(whole & (i < own[first:end][row] + order), value, 0.0)
+        plain = np.zeros(letters.size, dtype=bool)
+        triple = np.zeros(letters.size, dtype=np.int64)
+        if letters.size > 2:
+            plain[:-2] = ~(other[:-2] | other[1:-1] | other[2:]) & (row[:-2] == row[2:])
+            triple[:-2] = letters[:-2] * 16 + letters[1:-1] * 4 + letters[2:]
+        plain &= (i % 3 == 0) & (i < own[first:end][row])
+        for k, weight in enumerate((np.where(i < order, value, 0.0), np.where(i >= order, value, 0.0), np.where(plain, codons[triple], 0.0), plain)):
+            sums[k, first:end] = np.bincount(row, weights=weight, minlength=end - first)
+        first = end
+    named = {c: parts.column(c) for c in ORF}
+    return pa.table(named | {"head": sums[0], "full": sums[1], "usage": sums[2], "n_codons": pa.array(sums[3].astype(np.int64))})
 
 
 def model_scores(orfs: DataFrame, contigs: DataFrame, models: DataFrame) -> DataFrame:

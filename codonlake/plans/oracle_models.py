@@ -94,7 +94,7 @@ GROUP BY o.genome_id, o.k
 block("chosen", "class_sizes order_scores", """
 SELECT s.genome_id, s.bound, CAST(CASE WHEN s.bound < 2 OR n_coding < 5 OR n_noncoding < 5 THEN s.bound ELSE coalesce(b.k, 2) END AS INTEGER) AS markov_order,
   CASE WHEN s.bound < 2 OR n_coding < 5 OR n_noncoding < 5 THEN NULL ELSE b.score / greatest(1, floor(n_coding * 0.2::DOUBLE)) END AS held_out_score
-FROM class_sizes s LEFT JOIN (SELECT genome_id, first(k ORDER BY score DESC, k) AS k, max(score) AS score FROM order_scores GROUP BY genome_id) b USING (genome_id)
+FROM class_sizes s LEFT JOIN (SELECT genome_id, first(k ORDER BY round(score, 9) DESC, k) AS k, max(score) AS score FROM order_scores GROUP BY genome_id) b USING (genome_id)
 """)
 block("backoff", "ratios chosen", """
 SELECT r.genome_id, pos, kmer, log_ratio FROM ratios r JOIN chosen c USING (genome_id) WHERE part = 'all' AND length(kmer) <= markov_order + 1

@@ -154,22 +154,19 @@ def context_q(spark, sf_dir):
 @register("markov_table", query(
     f"SELECT genome_id, CAST(pos AS INTEGER) AS pos, kmer, {rsql('log_ratio')} FROM backoff", "backoff"))
 def markov_table_q(spark, sf_dir):
-    """The flattened table of the chosen order with its words spelled out."""
-    flat = context(spark, sf_dir).models.select("genome_id", scoring.words_up_to(F.col("markov_order") + 1).alias("words"),
-                                                F.posexplode("markov_table").alias("at", "log_ratio"))
-    at = F.col("at") % F.col("words")
-    size = F.coalesce(*[F.when(at < (4 ** (s + 1) - 4) // 3, s) for s in range(1, 12)])
-    code = at - scoring.words_up_to(size - 1)
-    kmer = F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), size, "0"), "0123", "ACGT")
-    return rounded(flat.select("genome_id", F.floor(F.col("at") / F.col("words")).cast("int").alias("pos"),
-                               kmer.alias("kmer"), "log_ratio"))
+    """The words of the chosen order with their log-ratios."""
+    rows = context(spark, sf_dir).models.where(F.col("pos") != models.CODON)
+    each = rows.select("genome_id", "pos", "size", "context", F.posexplode("ratio").alias("base", "log_ratio"))
+    code = (F.col("context") * 4 + F.col("base")).cast("string")
+    kmer = F.translate(F.lpad(F.conv(code, 10, 4), F.col("size"), F.lit("0")), "0123", "ACGT")
+    return rounded(each.select("genome_id", "pos", kmer.alias("kmer"), "log_ratio"))
 
 
 @register("markov_order", query(
     f"SELECT genome_id, bound, markov_order, {rsql('held_out_score')} FROM chosen", "chosen"))
 def markov_order_q(spark, sf_dir):
     """Order chosen per genome on held-out sequences."""
-    return rounded(context(spark, sf_dir).models.select("genome_id", "bound", "markov_order", "held_out_score"))
+    return rounded(models.model_heads(context(spark, sf_dir).models))
 
 
 @register("model_health", query(f"""

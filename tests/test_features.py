@@ -133,7 +133,8 @@ def test_pair_features(spark, small_run):
     pairs = features.pair_features(scored, a.contigs, a.models, ctx).collect()
     assert pairs
     info = ctx.first()
-    table, order = a.models.first(), a.models.first().markov_order
+    table = models.model_arrays(a.models).first()
+    order = table.markov_order
     seqs = {r.contig_id: r.seq for r in a.contigs.collect()}
     groups = {}
     for r in scored.collect():

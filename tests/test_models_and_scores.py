@@ -64,7 +64,7 @@ def training(spark):
 
 def test_markov_table_equals_the_definition(training):
     coding, noncoding, df = training
-    row = models.markov_models(df, 3).where("genome_id = 'g'").first()
+    row = models.model_arrays(models.model_bundle(df, 3)).where("genome_id = 'g'").first()
     a, b = PlainModel(coding, 3), PlainModel(noncoding, 3)
     for word in ("A", "T", "CG", "GGT", "ACGT", "TTTT", "CCCC", "GGGG"):
         for pos in range(3):
@@ -73,7 +73,7 @@ def test_markov_table_equals_the_definition(training):
 
 def test_order_choice_equals_the_definition(training):
     coding, noncoding, df = training
-    rows = {r.genome_id: r for r in models.markov_models(df).collect()}
+    rows = {r.genome_id: r for r in models.model_heads(models.markov_models(df)).collect()}
     bp = min(sum(map(len, coding)), sum(map(len, noncoding)))
     bound = max(2, min(math.floor(math.log(bp / 10) / math.log(4)), 10))
     n_val, m_val = max(1, int(len(coding) * 0.2)), max(1, int(len(noncoding) * 0.2))
@@ -104,7 +104,7 @@ def test_scores_equal_a_direct_sum(spark, training, order):
     got = {(r.contig_id, r.strand, r.start): r for r in scoring.model_scores(orfs, contigs, bundle).collect()}
     a, b = PlainModel(coding, order), PlainModel(noncoding, order)
     a.logp, b.logp = lru_cache(None)(a.logp), lru_cache(None)(b.logp)
-    table = bundle.where("genome_id = 'g'").first().codon_table
+    table = models.model_arrays(bundle).where("genome_id = 'g'").first().codon_table
     rows = orf.with_sequence(orfs, contigs).collect()
     assert len(rows) == len(got) > 50
     for r in rows:
