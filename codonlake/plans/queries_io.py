@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codonlake.operators import grading as G
+from codonlake.operators import grading as G, orf
 from codonlake.plans.context import context
 from codonlake.plans.oracle_base import block, query
 from codonlake.plans.suite import register, rounded, rsql
 from codonlake.session import ensure_checkpoint_dir
 from codonlake.sources import fasta, gff, store
+from codonlake.streaming import incremental
 
 
 def scratch(spark: SparkSession) -> str:
@@ -135,6 +136,21 @@ def stats_q(spark, sf_dir):
     return rounded(store.store_statistics(ctx.orfs, ctx.contigs))
 
 
+@register("stream_store", query("""
+SELECT genome_id, CAST(count(*) AS BIGINT) AS contigs, CAST(coalesce(sum(n), 0) AS BIGINT) AS orfs FROM contigs
+LEFT JOIN (SELECT genome_id, contig_id, count(*) AS n FROM orfs0 GROUP BY ALL) USING (genome_id, contig_id) GROUP BY genome_id""", "contigs orfs0"))
+def stream_store_q(spark, sf_dir):
+    """The contigs written as FASTA in two parts that both have contigs of every genome, streamed after each part."""
+    c, path = context(spark, sf_dir).contigs.withColumn("description", F.lit("")), scratch(spark)
+    expected = c.groupBy("genome_id").agg(F.count("*").alias("expected"))
+    second = F.pmod(F.xxhash64("genome_id", "contig_id"), F.lit(2)) == 1
+    for name, part in (("first", ~second), ("second", second)):
+        fasta.write_fasta(c.where(part), f"{path}/in/{name}")
+        incremental.annotate_stream(spark, f"{path}/in", f"{path}/out", f"{path}/state", expected=expected,
+                                    annotate=lambda contigs: orf.scan_orfs(contigs).drop("upstream")).awaitTermination()
+    return incremental.annotated(spark, f"{path}/out", "genomes").select("genome_id", "contigs", F.col("rows").alias("orfs"))
+
+
 @register("incremental_store", query("SELECT genome_id, count(*) AS orfs FROM orfs0 GROUP BY genome_id", "orfs0"))
 def incremental_q(spark, sf_dir):
     """Two rounds: first the genomes of one taxonomic group, then whatever is not stored yet."""

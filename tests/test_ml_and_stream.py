@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from codonlake.operators import ml, sweeps
-from codonlake.streaming.incremental import annotate_stream
+from codonlake.plans import predict
+from codonlake.streaming.incremental import annotate_stream, annotated
 from conftest import dna
 
 
@@ -53,19 +54,48 @@ def test_studies(table):
     assert best[0][1] > 0.8
 
 
-def test_stream_handles_each_genome_once(spark, tmp_path):
+def test_stream_gathers_genomes_and_handles_each_once(spark, tmp_path):
     src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     src.mkdir()
-    put = lambda name, seed: (src / name).write_text(f">{name}.1 x\n{dna(seed, 15000)}\n>{name}.2 y\n{dna(seed + 50, 6000)}\n")
-    put("one.fasta", 1)
-    annotate_stream(spark, str(src), out, ck, fixed_order=2).awaitTermination()
-    first = spark.read.parquet(out).groupBy("genome_id").count().collect()
-    assert [r.genome_id for r in first] == ["one"] and first[0]["count"] > 0
-    put("two.fasta", 2)
-    annotate_stream(spark, str(src), out, ck, fixed_order=2).awaitTermination()
-    both = {r.genome_id: r["count"] for r in spark.read.parquet(out).groupBy("genome_id").count().collect()}
-    assert set(both) == {"one", "two"} and both["one"] == first[0]["count"]
-    # a lost checkpoint replays every file; stored genomes are not written again
-    annotate_stream(spark, str(src), out, ck + "2", fixed_order=2).awaitTermination()
-    again = {r.genome_id: r["count"] for r in spark.read.parquet(out).groupBy("genome_id").count().collect()}
-    assert again == both
+    expected = spark.createDataFrame([("split", 3), ("bare", 1)], "genome_id string, expected long")
+    scan = lambda contigs: predict.detect(contigs).select("genome_id", "contig_id", "strand", "start", "end")
+    go = lambda ck=ck, out=out: annotate_stream(spark, str(src), out, ck, expected=expected, annotate=scan).awaitTermination()
+    genomes = lambda: {r.genome_id: (r.contigs, r.rows) for r in annotated(spark, out, "genomes").collect()}
+
+    def put(folder, name, contigs):
+        (src / folder).mkdir(exist_ok=True)
+        (src / folder / f"{name}.fasta").write_text("".join(f">{c} x\n{s}\n" for c, s in contigs))
+
+    seqs = [dna(k, 2000) for k in range(3)]
+    put("a", "one", [("one.1", seqs[0]), ("one.2", seqs[1])])  # without a number of contigs: complete as it comes
+    put("a", "bare", [("bare.1", "C" * 500)])  # no ORF at all
+    put("a", "split", [("s.1", seqs[0]), ("s.2", seqs[1])])
+    go()
+    first = genomes()
+    assert set(first) == {"one", "bare"} and first["bare"] == (1, 0) and first["one"][0] == 2 and first["one"][1] > 0
+    put("b", "split", [("s.2", seqs[1])])  # seen before
+    go()
+    assert genomes() == first
+    put("c", "split", [("s.3", seqs[2])])
+    put("c", "one", [("one.3", seqs[2])])  # too late
+    go()
+    last = genomes()
+    assert {k: last[k] for k in first} == first and last["split"][0] == 3
+    rows = annotated(spark, out)
+    assert {(r.genome_id, r.contig_id) for r in rows.select("genome_id", "contig_id").distinct().collect()} == {
+        ("one", "one.1"), ("one", "one.2"), ("split", "s.1"), ("split", "s.2"), ("split", "s.3")}
+    assert rows.count() == rows.distinct().count() == sum(n for _, n in last.values())
+    go()
+    assert genomes() == last and annotated(spark, out, "genomes").count() == 3
+    # another checkpoint with another store sees everything at once
+    go(ck + "2", out + "2")
+    again = {r.genome_id: r.rows for r in annotated(spark, out + "2", "genomes").collect()}
+    assert again["split"] == last["split"][1] and again["bare"] == 0
+
+
+def test_stream_predicts_genes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.fasta").write_text(f">one.1 x\n{dna(1, 15000)}\n>one.2 y\n{dna(51, 6000)}\n")
+    annotate_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), fixed_order=2).awaitTermination()
+    genes = annotated(spark, str(tmp_path / "out"))
+    assert genes.count() > 0 and {r.genome_id for r in genes.select("genome_id").distinct().collect()} == {"one"}
