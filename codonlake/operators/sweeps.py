@@ -3,8 +3,12 @@ setting is judged in one pass over the data: the settings ride along as a consta
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codonlake import constants as C
@@ -151,29 +155,55 @@ def descend(groups: DataFrame, start: dict[str, float], rate: float = 0.5, round
     return {c: v * scale for c, v in current.items()}, row["loss"]
 
 
-def bootstrap_delta(groups: DataFrame, old: dict[str, float], new: dict[str, float], replicates: int = 500,
-                    seed: int = 42) -> DataFrame:
-    """95 % interval of the accuracy difference, and a verdict.
+def poisson_limits() -> list[int]:
+    """Of 65536 equally likely numbers, those below the k-th limit draw at most k: Poisson with mean 1, to 16 bits."""
+    limits, total, term, k = [], 0.0, math.exp(-1.0), 0
+    while round((total + term) * 65536) < 65536:
+        total += term
+        limits.append(round(total * 65536))
+        k += 1
+        term /= k
+    return limits
+
+
+def bootstrap_sums(diff: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Per replicate the resampled sum of ``d`` and number of groups: (replicate, d, n), from rows (group key, d).
 
-    Poisson(1) resampling: each group gets an independent weight per replicate, drawn from a hash of
-    group, replicate and seed (so a recomputed task draws the same). Groups with equal hits change no
-    difference and only count in the total, and replicates are summed before any shuffle.
+    A group is drawn 0, 1, 2, ... times, by 16 bits of the MD5 of seed, key and replicate, so a repeated task draws the
+    same and other engines can repeat it. Each task adds its draws up in two arrays; rows are not copied per replicate.
     """
+    limits = np.array(poisson_limits())
+    blocks = -(-replicates // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, n = np.zeros(blocks * 8, dtype=np.int64), np.zeros(blocks * 8, dtype=np.int64)
+        for b in batches:
+            for key, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                start = hashlib.md5(f"{seed}:{key}:".encode())
+                digests = []
+                for block in range(blocks):
+                    h = start.copy()
+                    h.update(str(block).encode())
+                    digests.append(h.digest())
+                times = np.searchsorted(limits, np.frombuffer(b"".join(digests), dtype=">u2"), side="right")
+                n += times
+                if value:
+                    d += value * times
+        made = np.arange(1, replicates + 1)
+        yield pa.RecordBatch.from_pydict({"replicate": pa.array(made, pa.int32()), "d": d[:replicates], "n": n[:replicates]})
+
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in GROUP])
+    rows = diff.select(key.alias("key"), F.col("d").cast("long")).mapInArrow(run, "replicate int, d long, n long")
+    return rows.groupBy("replicate").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
+
+
+def bootstrap_delta(groups: DataFrame, old: dict[str, float], new: dict[str, float], replicates: int = 500,
+                    seed: int = 42) -> DataFrame:
+    """95 % interval of the accuracy difference by Poisson resampling of groups, and a verdict."""
     hits = group_hits(groups, [{"vector": "old", **old}, {"vector": "new", **new}])
     diff = hits.groupBy(*GROUP).agg(F.sum(F.when(F.col("vector") == "new", F.col("hit"))
                                           .otherwise(-F.col("hit"))).alias("d"))
-    u = (F.pmod(F.xxhash64(*GROUP, "replicate", F.lit(seed)), F.lit(2**31)) + 0.5) / float(2**31)
-    limits, total, term = [], 0.0, math.exp(-1.0)
-    for k in range(14):  # beyond 14 draws there is less than one bucket of the 2^31
-        total += term
-        limits.append((k, total))
-        term /= k + 1
-    times = F.lit(14)
-    for k, lim in reversed(limits):
-        times = F.when(F.col("_u") < lim, F.lit(k)).otherwise(times)
-    rows = diff.select(*GROUP, "d", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    per = rows.withColumn("_u", u).select("replicate", "d", times.alias("k")).groupBy("replicate").agg(
-        ratio(F.sum(F.col("d") * F.col("k")).cast("double"), F.sum("k")).alias("delta"))
+    per = bootstrap_sums(diff, replicates, seed).select(ratio(F.col("d").cast("double"), F.col("n")).alias("delta"))
     ci = per.agg(F.avg("delta").alias("mean_delta"), F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
     low, high = F.get("ci", F.lit(0)), F.get("ci", F.lit(1))
     return ci.select("mean_delta", low.alias("low"), high.alias("high"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codonlake import constants as C
-from codonlake.operators import diagnostics as D, features, grading as G, intervals, labels, rbs, selection, starts, sweeps
+from codonlake.operators import descent, diagnostics as D, features, grading as G, intervals, labels, rbs, selection, starts, sweeps
 from codonlake.plans.context import context
 from codonlake.plans.oracle_base import block, query
 from codonlake.plans.oracle_models import FIRST, SECOND, keep
@@ -374,7 +374,26 @@ def softmax_q(spark, sf_dir):
     return rounded(sweeps.softmax_loss(labels.start_choice_groups(ctx.scored, ctx.reference), C.START_SELECTION_WEIGHTS))
 
 
-@register("bootstrap_interval")
+@register("weight_descent")
+def descent_q(spark, sf_dir):
+    """Weights fitted from twelve starting points at once."""
+    ctx = context(spark, sf_dir)
+    return rounded(descent.descend_all(labels.start_choice_groups(ctx.scored, ctx.reference), descent.starting_points(C.START_SELECTION_WEIGHTS)), 4)
+
+
+def _hit(weights: dict[str, float]) -> str:
+    total = " + ".join(f"{c}_score_norm * {weights[c]!r}::DOUBLE" for c in C.COMPONENTS)
+    return f"first(is_true ORDER BY {total} DESC, start)"
+
+
+@register("bootstrap_interval", query(f"""
+SELECT {rsql('mean_delta', 'low', 'high')}, CASE WHEN low > 0 THEN 'improvement' WHEN high < 0 THEN 'regression' ELSE 'no difference' END AS verdict FROM (
+ SELECT avg(delta) AS mean_delta, quantile_cont(delta, 0.025) AS low, quantile_cont(delta, 0.975) AS high FROM (
+  SELECT replicate, sum(d * k) / CAST(sum(k) AS DOUBLE) AS delta FROM (
+   SELECT d, block * 8 + i + 1 AS replicate, len(list_filter({sweeps.poisson_limits()}, lambda x: x <= ('0x' || substr(h, 1 + 4 * i, 4))::INT)) AS k FROM (
+    SELECT d, block, md5('42:' || key || ':' || block) AS h FROM (
+     SELECT concat_ws(':', {_K}) AS key, {_hit(C.START_SELECTION_WEIGHTS)} - {_hit(C.SCORE_WEIGHTS)} AS d FROM choice_groups GROUP BY {_K}), range(63) b(block)), range(8) t(i))
+  WHERE replicate <= 500 GROUP BY replicate))""", "choice_groups"))
 def bootstrap_q(spark, sf_dir):
     ctx = context(spark, sf_dir)
     g = labels.start_choice_groups(ctx.scored, ctx.reference)

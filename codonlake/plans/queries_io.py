@@ -110,6 +110,16 @@ def page_q(spark, sf_dir):
     return rounded(rows.select("genome_id", "contig_id", "strand", "genome_start", "genome_end", "combined_score"))
 
 
+@register("deep_page", query(f"""
+SELECT genome_id, contig_id, strand, genome_start, genome_end, {rsql('rbs_score')} FROM orfs
+ORDER BY length DESC, genome_id, contig_id, strand, genome_start LIMIT 20 OFFSET 2000""", "orfs"))
+def deep_page_q(spark, sf_dir):
+    """Page 101 of all ORFs, found by an index of range partitions."""
+    order = [F.col("length").desc(), F.col("genome_id"), F.col("contig_id"), F.col("strand"), F.col("genome_start")]
+    index = gff.page_index(context(spark, sf_dir).orfs, order)
+    return rounded(index.page(101, 20).select("genome_id", "contig_id", "strand", "genome_start", "genome_end", "rbs_score"))
+
+
 @register("strand_counts", query("""
 SELECT genome_id, count(*) FILTER (WHERE strand = 'forward') AS forward, count(*) FILTER (WHERE strand = 'reverse') AS reverse
 FROM predictions GROUP BY genome_id""", "predictions"))

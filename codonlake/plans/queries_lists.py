@@ -9,7 +9,7 @@ from codonlake.operators import labels
 from codonlake.plans.context import context
 from codonlake.plans import queries_ml  # noqa: F401  its blocks are used here
 from codonlake.plans.oracle_base import query
-from codonlake.plans.suite import ORACLE, register
+from codonlake.plans.suite import ORACLE, register, rsql
 from codonlake.sources import fasta, gff, store
 
 
@@ -82,3 +82,7 @@ def limit_per_group_q(spark, sf_dir):
 
 
 ORACLE["stratified_split"] = query("SELECT genome_id, tax_group, split FROM genome_splits", "genome_splits")
+ORACLE["weight_generalisation"] = query(f"""
+SELECT vector, {rsql('train', 'val', 'gap=train - val')} FROM (
+ SELECT vector, avg(is_true) FILTER (WHERE split = 'train') AS train, avg(is_true) FILTER (WHERE split = 'val') AS val
+ FROM vector_hits JOIN genome_splits USING (genome_id) GROUP BY vector)""", "vector_hits genome_splits")

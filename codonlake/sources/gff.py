@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from codonlake.operators.distribute import running_total
+from codonlake.session import ensure_checkpoint_dir
 from codonlake.sources.fasta import genome_of_file
 
 SCHEMA = ("seqid string, source string, type string, start long, end long, score string, strand string, "
@@ -127,6 +131,42 @@ def page(predictions: DataFrame, order: list[Column], number: int, size: int, st
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """Rows stored in range partitions along an order, with the number of rows of each."""
+
+    rows: DataFrame
+    order: list[Column]
+    counts: list[int]
+
+    @property
+    def total(self) -> int:
+        return sum(self.counts)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page ``number`` (from 1): only the partitions that hold its rows are read, however deep it lies."""
+        first, parts, before = (number - 1) * size, [], 0
+        skip = first
+        for part, n in enumerate(self.counts):
+            if before + n > first and before < first + size:
+                skip = skip if parts else first - before
+                parts.append(part)
+            before += n
+        there = self.rows.where(F.col("_part").isin(parts)) if parts else self.rows.where("false")
+        return there.orderBy(*self.order).drop("_part").offset(skip if parts else 0).limit(size)
+
+
+def page_index(rows: DataFrame, order: list[Column], partitions: int | None = None) -> PageIndex:
+    """Sorts rows into range partitions once; one count per partition comes back."""
+    spark = rows.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(path)
+    kept = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(path)
+    counts = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}
+    return PageIndex(kept, order, [counts.get(i, 0) for i in range(max(counts, default=-1) + 1)])
+
+
 def strand_counts(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("genome_id").agg(
         F.count_if(F.col("strand") == "forward").alias("forward"),

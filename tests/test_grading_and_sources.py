@@ -1,12 +1,15 @@
 import gzip
+import hashlib
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codonlake import constants as C
-from codonlake.operators import diagnostics as D, grading as G, labels, sweeps
+from codonlake.operators import descent, diagnostics as D, grading as G, labels, sweeps
 from codonlake.sources import catalog, fasta, gff, store
 from conftest import contigs_of, dna
 
@@ -117,6 +120,50 @@ def test_temperature_and_descent(spark):
     ci = sweeps.bootstrap_delta(df, {**start, "codon": 0.0}, {**start, "codon": 10.0}, 200).first()
     assert ci.low <= ci.mean_delta <= ci.high and ci.verdict in ("improvement", "no difference")
 
+    vectors = np.random.default_rng(1).uniform(0.01, 20.0, (200, len(C.COMPONENTS))) ** 0.5
+    rows = descent.group_rows(df).persist()
+    loss, grad = descent.losses(rows, vectors)
+    for i in (0, 7):
+        one = sweeps.softmax_loss(df, dict(zip(C.COMPONENTS, vectors[i]))).first()
+        assert abs(one.loss - loss[i]) < 1e-9 and all(abs(one[f"grad_{c}"] - grad[i, k]) < 1e-9 for k, c in enumerate(C.COMPONENTS))
+    found = descent.descend_all(df, descent.starting_points(start)).collect()
+    assert len(found) == 12 and all(r.loss < r.start_loss for r in found)
+    assert max(r.loss for r in found) - min(r.loss for r in found) < 1e-5  # one minimum, whatever the start
+    assert all(r.loss <= loss.min() + 1e-9 and 0.01 <= r[c] <= 20 for r in found for c in C.COMPONENTS)
+    best = np.array([found[0][c] for c in C.COMPONENTS])
+    near = np.clip(np.concatenate([best + s * np.eye(len(best)) for s in (-0.05, 0.05, -0.5, 0.5)]), 0.01, 20)
+    assert descent.losses(rows, near)[0].min() >= found[0].loss - 1e-7
+    none = descent.descend_all(df.where("false"), {"base": start}).collect()
+    assert [(r.point, r.loss) for r in none] == [("base", 0.0)]
+
+
+def test_bootstrap_sums_equal_single_draws(spark):
+    diff = [("g", "c", "forward", i, d) for i, d in enumerate([1, 0, -1, 0, 1, 1])]
+    got = {r.replicate: (r.d, r.n) for r in sweeps.bootstrap_sums(
+        spark.createDataFrame(diff, "genome_id string, contig_id string, strand string, end long, d int").repartition(3), 20, 7).collect()}
+    limits = sweeps.poisson_limits()
+    assert abs(sum(65536 - x for x in limits) / 65536 - 1) < 1e-3  # the mean number of draws
+    for k in range(20):
+        times = []
+        for g, c, s, e, _ in diff:
+            h = hashlib.md5(f"7:{g}:{c}:{s}:{e}:{k // 8}".encode()).hexdigest()
+            times.append(sum(x <= int(h[4 * (k % 8):4 * (k % 8) + 4], 16) for x in limits))
+        assert got[k + 1] == (sum(t * r[4] for t, r in zip(times, diff)), sum(times))
+
+
+def test_deep_pages_read_their_partitions_only(spark):
+    rows = spark.range(5000).selectExpr("id", "id * 7919 % 1000 AS v", "CAST(id AS string) AS s").repartition(5)
+    order = [F.col("v").desc(), F.col("id")]
+    plain = [r.id for r in rows.orderBy(*order).collect()]
+    index = gff.page_index(rows, order, 16)
+    assert index.total == 5000 and len(index.counts) > 8
+    for number, size in ((1, 10), (37, 100), (50, 100), (51, 100), (3, 1700), (100, 7)):
+        got = index.page(number, size)
+        assert [r.id for r in got.collect()] == plain[(number - 1) * size:number * size] and got.columns == rows.columns
+    plan = index.page(100, 7)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*_part#\d+ = \d+", plan)  # one partition
+    assert gff.page_index(rows.where("false"), order).page(1, 5).count() == 0
+
 
 def test_splits(spark):
     g = spark.createDataFrame([(f"g{i}", "ab"[i % 2]) for i in range(20)], "genome_id string, tax_group string")
