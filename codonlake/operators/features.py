@@ -8,9 +8,10 @@ from codonlake import constants as C
 from codonlake.functions import protein as P, sequence as S, upstream as U
 from codonlake.operators.distribute import join_per_genome
 from codonlake.operators.models import CODON, model_arrays
-from codonlake.operators.orf import GROUP, ORF, slice_forward, with_sequence, with_upstream
+from codonlake.operators.orf import GROUP, ORF, slice_forward, with_upstream
 from codonlake.operators.scoring import markov_lookup
 from codonlake.operators.starts import rank_starts
+from codonlake.session import stored
 
 NORMS = [f"{c}_score_norm" for c in C.COMPONENTS]
 
@@ -27,12 +28,12 @@ def candidate_features(candidates: DataFrame, contigs: DataFrame, genome_gc: Dat
                        with_minus10: bool = True) -> DataFrame:
     """Per-candidate features. Without ``genome_gc`` (genome_id, genome_gc) the deviation is taken from
     the mean GC of the candidates of the genome. ``with_minus10=False`` keeps that feature at 0."""
-    rows = with_sequence(candidates, contigs)
-    if with_minus10:
-        rows = slice_forward(rows, contigs, F.col("genome_start") - 50, F.col("genome_start") - 25, "_box")
-        box = F.when(F.col("genome_start") >= 51, S.minus10_score(F.col("_box"))).otherwise(F.lit(0.0))
-    else:
-        box = F.lit(0.0)
+    # one look-up of the ORF with the 50 bases before it on the forward strand; box and sequence are cut from it
+    rows = slice_forward(candidates, contigs, F.col("genome_start") - 50, F.col("genome_end"), "_wide")
+    ahead = F.least(F.lit(50).cast("long"), F.col("genome_start") - 1).cast("int")
+    own = F.substring(F.col("_wide"), ahead + 1, F.length("_wide"))
+    rows = rows.withColumn("sequence", F.when(F.col("strand") == "reverse", S.reverse_complement(own)).otherwise(own))
+    box = F.when(F.col("genome_start") >= 51, S.minus10_score(F.substring("_wide", 1, 26))).otherwise(F.lit(0.0)) if with_minus10 else F.lit(0.0)
     # work per row grows with its sequence, and long ORFs nest in few contigs: spread them by ORF
     rows = rows.repartition(*ORF).withColumn("_codons", S.valid_codons(F.col("sequence")))
     codons = F.col("_codons")
@@ -58,7 +59,9 @@ def candidate_features(candidates: DataFrame, contigs: DataFrame, genome_gc: Dat
     )
     rows = rows.select("*", *[c.alias(k) for k, c in P.protein_features(F.col("protein")).items()],
                        P.amino_acid_entropy(F.col("protein")).alias("aa_entropy"))
+    rows = rows.drop("_wide", "_codons")
     if genome_gc is None:
+        rows = stored(rows)  # the means and the rows read it
         means = rows.select("genome_id", "gc_content").groupBy("genome_id").agg(
             F.avg("gc_content").alias("genome_gc")
         )
@@ -67,7 +70,7 @@ def candidate_features(candidates: DataFrame, contigs: DataFrame, genome_gc: Dat
         rows = join_per_genome(rows, genome_gc)
     return rows.withColumn(
         "gc_deviation", F.col("gc_content") - F.coalesce("genome_gc", F.lit(0.0))
-    ).drop("genome_gc", "_box", "_codons")
+    ).drop("genome_gc")
 
 
 # ---- stop groups -----------------------------------------------------------------------------------

@@ -147,10 +147,9 @@ def benchmark_summary(metrics: DataFrame, groups: DataFrame, runtimes: DataFrame
 
 
 def genome_report(metrics: DataFrame) -> DataFrame:
-    """One text line per genome."""
-    line = F.format_string(
-        "%s\tTP=%d FP=%d FN=%d sensitivity=%.2f%% precision=%.2f%% F1=%.2f%%", "genome_id", "tp", "fp", "fn",
-        F.col("sensitivity") * 100, F.col("precision") * 100, F.col("f1") * 100)
+    """One text line per genome; exact halves in the last digit are rounded up."""
+    pct = [F.col(c) * 100 + 1e-9 for c in ("sensitivity", "precision", "f1")]
+    line = F.format_string("%s\tTP=%d FP=%d FN=%d sensitivity=%.2f%% precision=%.2f%% F1=%.2f%%", "genome_id", "tp", "fp", "fn", *pct)
     return metrics.select("genome_id", line.alias("line"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -16,6 +19,7 @@ from codonlake.functions.sequence import kmer_words, ratio
 from codonlake.operators.orf import GROUP
 from codonlake.operators.starts import settle_contest, top_two
 from codonlake.operators.sweeps import threshold_sweep
+from codonlake.session import stored
 
 FLIP_THRESHOLDS = [0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
 
@@ -175,14 +179,40 @@ def leave_one_group_out(rows: DataFrame, features: list[str], group: str = "tax_
     return out
 
 
-def grid_search(rows: DataFrame, features: list[str], grid: list[dict], **options) -> list[tuple[dict, float]]:
-    """Mean best accuracy over the folds for every parameter set, best first."""
-    results = []
-    for params in grid:
-        folds = leave_one_group_out(rows, features, **options, **params)
-        best = folds.groupBy("flip").agg((F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("a"))
-        results.append((params, best.agg(F.max("a")).first()[0]))
-    return sorted(results, key=lambda r: -r[1])
+def grid_search(rows: DataFrame, features: list[str], grid: list[dict], group: str = "tax_group", label: str = "label",
+                flips: list[float] = FLIP_THRESHOLDS, at_once: int = 4) -> DataFrame:
+    """One row per parameter set: accuracy at its best flip threshold over all left-out groups, best first by ``place``.
+
+    The rows are assembled and stored once, and all fits read them. Fits are independent jobs, ``at_once`` of which run at
+    a time. All models are judged together by one aggregation. Equal accuracies are placed in the order of the grid.
+    """
+    data = stored(VectorAssembler(inputCols=features, outputCol="raw_features").transform(_prepare(rows, features, label)).select(group, label, "raw_features"))
+    counts = {r[group]: (r["p"], r["n"]) for r in data.groupBy(group).agg(F.sum(label).alias("p"), F.count("*").alias("n")).collect()}
+    names = sorted(g for g in counts if sum(p for k, (p, _) in counts.items() if k != g))  # groups whose complement has positives
+    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
+
+    def fit(task: tuple[int, str]) -> DataFrame:
+        number, name = task
+        train = add_class_weight(data.where(F.col(group) != name), label)
+        model = Pipeline(stages=[scaler, boosted_trees(label, **grid[number])]).fit(train)
+        scored = model.transform(data.where(F.col(group) == name))
+        return scored.select(F.lit(number).alias("setting"), F.col(label).alias("label"), vector_to_array("probability")[1].alias("prob"))
+
+    tasks = [(number, name) for number in range(len(grid)) for name in names]
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(inheritable_thread_target(fit), tasks))
+    if not parts:
+        return data.sparkSession.createDataFrame([], "setting int, parameters string, place int, flip double, rows long, accuracy double")
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    right = lambda t: (F.col("prob") >= 1 - t) == (F.col("label") == 1)
+    per = scored.groupBy("setting").agg(F.count("*").alias("rows"), F.array(*[
+        F.struct(F.avg(right(t).cast("double")).alias("accuracy"), F.lit(-t).alias("back")) for t in flips]).alias("tries"))
+    best = per.withColumn("best", F.array_max("tries"))
+    named = F.element_at(F.array(*[F.lit(", ".join(f"{k}={v}" for k, v in sorted(p.items()))) for p in grid]), F.col("setting") + 1)
+    place = F.row_number().over(Window.orderBy(F.col("best.accuracy").desc(), "setting"))  # one row per parameter set
+    return best.select("setting", named.alias("parameters"), place.alias("place"), (-F.col("best.back")).alias("flip"), "rows", F.col("best.accuracy").alias("accuracy"))
 
 
 def compare_models(train: DataFrame, test: DataFrame, features: list[str], label: str = "label") -> list[tuple[str, float]]:

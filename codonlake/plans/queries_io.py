@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codonlake.operators import grading as G, orf
+from codonlake.operators import features, grading as G, labels, orf
 from codonlake.plans.context import context
 from codonlake.plans.oracle_base import block, query
 from codonlake.plans.suite import register, rounded, rsql
@@ -197,23 +197,23 @@ def run_log_q(spark, sf_dir):
 
 
 @register("genome_report", query("""
-SELECT genome_id, genome_id || chr(9) || 'TP=' || tp || ' FP=' || fp || ' FN=' || fn AS line FROM graded""", "graded"))
+SELECT genome_id, genome_id || chr(9) || 'TP=' || tp || ' FP=' || fp || ' FN=' || fn || ' sensitivity=' || printf('%.2f', sensitivity * 100 + 1e-9)
+ || '% precision=' || printf('%.2f', "precision" * 100 + 1e-9) || '% F1=' || printf('%.2f', f1 * 100 + 1e-9) || '%' AS line FROM graded""", "graded"))
 def report_q(spark, sf_dir):
     ctx = context(spark, sf_dir)
-    lines = G.genome_report(G.exact_metrics(ctx.predictions, ctx.reference))
-    return lines.select("genome_id", F.substring_index("line", " sensitivity", 1).alias("line"))
+    return G.genome_report(G.exact_metrics(ctx.predictions, ctx.reference))
 
 
-@register("training_table", query("""
-SELECT genome_id, contig_id, strand, start, label, cand_features.gc3_content IS NOT NULL AS has_features
-FROM cand_features JOIN labelled USING (genome_id, contig_id, strand, start)""", "cand_features labelled"))
+_FEATURES = [c for c in features.CANDIDATE_FEATURES if c != "gc_deviation"]
+
+
+@register("training_table", query(f"""
+SELECT genome_id, contig_id, strand, start, label, {rsql(*_FEATURES, 'gc_deviation=gc_content - mean_gc', 'aa_entropy')}
+FROM cand_features JOIN (SELECT genome_id, contig_id, strand, start, label FROM labelled) USING (genome_id, contig_id, strand, start)""", "cand_features labelled"))
 def training_table_q(spark, sf_dir):
     """Candidates of all genomes with features and label, stored and read back."""
-    from codonlake.operators import features, labels
-
     ctx, path = context(spark, sf_dir), scratch(spark)
     f = features.candidate_features(ctx.candidates, ctx.contigs)
     labels.label_orfs(f, ctx.reference).write.partitionBy("genome_id").parquet(path)
-    t = spark.read.parquet(path)
-    return t.select(F.col("genome_id").cast("string").alias("genome_id"), "contig_id", "strand", "start", "label",
-                    F.col("gc3_content").isNotNull().alias("has_features"))
+    t = spark.read.parquet(path).withColumn("genome_id", F.col("genome_id").cast("string"))
+    return rounded(t.select("genome_id", "contig_id", "strand", "start", "label", *features.CANDIDATE_FEATURES, "aa_entropy"))

@@ -129,6 +129,13 @@ def leave_out_q(spark, sf_dir):
     return rounded(ml.leave_one_group_out(_pairs(context(spark, sf_dir)), features.PAIR_FEATURES))
 
 
+@register("parameter_grid")
+def grid_q(spark, sf_dir):
+    """Three settings of the start classifier, one fold per taxonomic group."""
+    grid = [{"maxIter": 5, "maxDepth": 2}, {"maxIter": 10, "maxDepth": 3}, {"maxIter": 20, "maxDepth": 2}]
+    return rounded(ml.grid_search(_pairs(context(spark, sf_dir)), features.PAIR_FEATURES, grid))
+
+
 @register("isotonic_calibration")
 def isotonic_q(spark, sf_dir):
     s = _group_scores(context(spark, sf_dir))

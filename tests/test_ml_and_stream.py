@@ -50,8 +50,15 @@ def test_studies(table):
     assert curve.is_monotonic_increasing
     both = ml.sweep_two_models(scored.withColumn("other", F.col("prob") - 0.1), "prob", "other", "label", [0.3, 0.5])
     assert both.count() == 4
-    best = ml.grid_search(table, ["x", "noise"], [{"maxIter": 2, "maxDepth": 1}], flips=[0.5])
-    assert best[0][1] > 0.8
+    grid = [{"maxIter": 2, "maxDepth": 1}, {"maxIter": 4, "maxDepth": 2}, {"maxIter": 2, "maxDepth": 1}]
+    best = ml.grid_search(table, ["x", "noise"], grid, flips=[0.5, 0.4])
+    rows = {r.setting: r for r in best.collect()}
+    assert [r.rows for r in rows.values()] == [400] * 3 and sorted(r.place for r in rows.values()) == [1, 2, 3]
+    assert rows[0].accuracy == rows[2].accuracy > 0.8 and rows[0].place < rows[2].place and rows[1].parameters == "maxDepth=2, maxIter=4"
+    folds = ml.leave_one_group_out(table, ["x", "noise"], flips=[0.5, 0.4], **grid[1]).groupBy("flip").agg(
+        (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("a")).collect()
+    assert abs(rows[1].accuracy - max(r.a for r in folds)) < 0.05  # other samples of the rows
+    assert ml.grid_search(table, ["x", "noise"], grid, flips=[0.5, 0.4]).collect() == best.collect()
 
 
 def test_stream_gathers_genomes_and_handles_each_once(spark, tmp_path):
