@@ -10,6 +10,7 @@ from codonlake.operators import features, orf
 from codonlake.plans.context import context
 from codonlake.plans.oracle_base import block, query
 from codonlake.plans.suite import register, rounded, rsql
+from codonlake.session import cut_lineage
 
 _ID = 'genome_id, contig_id, strand, start, "end"'
 _IDS = ("genome_id", "contig_id", "strand", "start", "end")
@@ -203,9 +204,104 @@ def upstream_features_q(spark, sf_dir):
                                U.stop_distance(F.col("region")).cast("long").alias("any_stop")))
 
 
-@register("pair_features")
+# ---- contested pairs in SQL: group context, then the two contestants, then their differences ----
+block("ctx_pwm", "singles", """
+SELECT genome_id, CAST(pos AS INTEGER) AS pos, base, ln(n / CAST(sum(n) OVER (PARTITION BY genome_id, pos) AS DOUBLE) / 0.25) AS logodds
+FROM (SELECT e.genome_id, p.pos, b.base, 1 + count(CASE WHEN substr(s.w, CAST(p.pos AS BIGINT) + 1, 1) = b.base THEN 1 END) AS n
+      FROM (SELECT genome_id FROM singles WHERE length(up) >= 11 GROUP BY genome_id HAVING count(*) >= 50) e
+      JOIN (SELECT genome_id, right(up, 11) || left(start_codon, 2) AS w FROM singles WHERE length(up) >= 11) s USING (genome_id), range(13) p(pos),
+      (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY ALL)
+""")
+block("len_prior", "candidates singles", """
+SELECT genome_id, CASE WHEN n_single >= 10 THEN m ELSE 800 END AS len_mean, CASE WHEN n_single >= 10 THEN s ELSE 400 END AS len_std
+FROM (SELECT DISTINCT genome_id FROM candidates) LEFT JOIN
+ (SELECT genome_id, count(*) AS n_single, avg(length) AS m, stddev_pop(length) AS s FROM singles GROUP BY genome_id) USING (genome_id)
+""")
+block("gc_share", "contigs", """
+SELECT genome_id, sum(length - length(replace(replace(seq, 'G', ''), 'C', ''))) / CAST(greatest(sum(length), 1) AS DOUBLE) AS gc_pct FROM contigs GROUP BY genome_id
+""")
+block("pair_group", "ranked", f"""
+SELECT {_G}, any_value(s1) - max(CASE WHEN start_rank = 2 THEN selection_score END) AS gap, max(selection_score) - min(selection_score) AS score_range,
+ count(*) FILTER (WHERE selection_score >= s1 - 0.5) - 1 AS n_near_ties, count(*) AS n_orfs,
+ count(*) FILTER (WHERE length < l1) / CAST(greatest(count(*) - 1, 1) AS DOUBLE) AS top1_len_rank,
+ stddev_pop(length) / greatest(avg(length), 1) AS group_len_cv, count(*) FILTER (WHERE length > l1) / CAST(count(*) AS DOUBLE) AS frac_longer,
+ avg(rbs_score_norm) AS grp_rbs_mean, max(rbs_score_norm) - min(rbs_score_norm) AS grp_rbs_range, avg(CASE WHEN start_codon = 'ATG' THEN 1 ELSE 0 END) AS frac_atg,
+ count(*) FILTER (WHERE rbs_score_norm < r1) / CAST(greatest(count(*) - 1, 1) AS DOUBLE) AS top1_rbs_rank,
+ max(length) - min(length) AS span_length, max(codon_score_norm) - min(codon_score_norm) AS span_codon, max(imm_score_norm) - min(imm_score_norm) AS span_imm
+FROM (SELECT *, max(CASE WHEN start_rank = 1 THEN selection_score END) OVER g AS s1, max(CASE WHEN start_rank = 1 THEN length END) OVER g AS l1,
+       max(CASE WHEN start_rank = 1 THEN rbs_score_norm END) OVER g AS r1 FROM ranked WINDOW g AS (PARTITION BY {_G}))
+GROUP BY {_G} HAVING count(*) >= 2 AND any_value(s1) - max(CASE WHEN start_rank = 2 THEN selection_score END) < {C.CONTEST_GAP}
+""")
+block("pair_starts", "ranked pair_group up300 contigs", f"""
+SELECT r.*, u.up, u.region, CASE WHEN strand = 'forward' THEN substr(c.seq, r.genome_start, 18)
+  ELSE reverse(translate(substr(c.seq, CAST(greatest(r.genome_end - 17, 1) AS BIGINT), CAST(r.genome_end - greatest(r.genome_end - 17, 1) + 1 AS BIGINT)), 'ACGT', 'TGCA')) END AS head
+FROM ranked r JOIN (SELECT {_G} FROM pair_group) USING ({_G}) JOIN up300 u USING (genome_id, contig_id, strand, "end", start) JOIN contigs c USING (genome_id, contig_id)
+WHERE start_rank <= 2
+""")
+_S = 'genome_id, contig_id, strand, "end", start'
+
+
+def _pwm(table: str, text: str, size: int, least: int) -> str:
+    return f"""SELECT {_S}, sum(w.logodds) AS v FROM (SELECT {_S}, p.pos, substr(right({text}, {size}), CAST(p.pos AS BIGINT) + 1, 1) AS base
+  FROM pair_starts, range({size}) p(pos) WHERE length(up) >= {least}) s JOIN {table} w USING (genome_id, pos, base) GROUP BY {_S}"""
+
+
+def _codon_avg(text: str, rows: str) -> str:
+    return f"""SELECT {_S}, avg(coalesce(r.log_ratio, 0)) AS v FROM (SELECT {_S}, substr({text}, CAST(k AS BIGINT) * 3 + 1, 3) AS codon
+  FROM (SELECT *, unnest(range(0, length({text}) // 3)) AS k FROM {rows})) LEFT JOIN codon_ratio r USING (genome_id, codon) WHERE codon NOT LIKE '%N%' GROUP BY {_S}"""
+
+
+_gcs = [f"{_gcp[p]}" for p in (1, 2, 3)]
+_nterm = {"nterm_charged_pos": "KRH", "nterm_charged_neg": "DE", "nterm_polar": "STNQ", "nterm_hydrophobic": "ACGILMFPWVY"}
+block("pair_sides", "pair_starts pwm ctx_pwm len_prior gc_share codon_ratio backoff chosen aa", f"""
+SELECT s.*, {f'greatest({_sp})'} AS f4, CASE WHEN length(up) < 9 THEN 0 ELSE abs({_gcs[2]} - ({_gcs[0]} + {_gcs[1]}) / 2) END AS f5,
+ CASE WHEN length(up) < 9 THEN 0 ELSE coalesce(i.v, 0) / length(up) END AS up_imm, coalesce(w.v, 0) AS site_pwm, coalesce(a.v, 0) AS anti_sd, least({_st}) AS any_stop,
+ (length - len_mean) / greatest(len_std, 1) AS len_zscore, coalesce(h.v, 0) AS post_start, coalesce(x.v, 0) AS ctx_pwm, gc_pct,
+ CASE WHEN length(up) < 9 OR ({_gcs[0]} + {_gcs[1]} + {_gcs[2]}) / 3 < 0.01 THEN 0 ELSE
+  list_stddev_pop([{', '.join(_gcs)}]) / (({_gcs[0]} + {_gcs[1]} + {_gcs[2]}) / 3) END AS gc3_period,
+ {', '.join(f"coalesce(n.{k}, 0) AS {k}" for k in _nterm)}
+FROM pair_starts s JOIN len_prior USING (genome_id) JOIN gc_share USING (genome_id)
+LEFT JOIN ({_pwm('pwm', 'up', 20, 20)}) w USING ({_S})
+LEFT JOIN ({_pwm('ctx_pwm', "(right(up, 11) || left(start_codon, 2))", 13, 11)}) x USING ({_S})
+LEFT JOIN (SELECT {_S}, max(CAST(0{_anti} AS DOUBLE)) / 13 AS v FROM (SELECT *, unnest(range(CAST(greatest(1, length(up) - 26) AS BIGINT), length(up) - 15)) AS i FROM pair_starts) GROUP BY ALL) a USING ({_S})
+LEFT JOIN ({_codon_avg('substr(head, 4, 15)', 'pair_starts')}) h USING ({_S})
+LEFT JOIN (SELECT {_S}, sum(b.log_ratio) AS v FROM (SELECT {_S}, CAST(i % 3 AS INTEGER) AS pos,
+    substr(up, CAST(greatest(i - markov_order, 0) + 1 AS BIGINT), CAST(least(i, markov_order) + 1 AS BIGINT)) AS kmer
+   FROM (SELECT s.*, markov_order, unnest(range(0, length(up))) AS i FROM pair_starts s JOIN chosen USING (genome_id))) k JOIN backoff b USING (genome_id, pos, kmer) GROUP BY {_S}) i USING ({_S})
+LEFT JOIN (SELECT {_S}, {', '.join(f"count(*) FILTER (WHERE strpos('{letters}', letter) > 0) / CAST(count(*) AS DOUBLE) AS {k}" for k, letters in _nterm.items())}
+   FROM (SELECT {_S}, coalesce(aa.letter, 'X') AS letter FROM (SELECT {_S}, substr(head, CAST(k AS BIGINT) * 3 + 1, 3) AS codon
+     FROM (SELECT *, unnest(range(0, least(5, length(head) // 3))) AS k FROM pair_starts)) LEFT JOIN aa USING (codon)) WHERE letter <> '*' GROUP BY {_S}) n USING ({_S})
+""")
+block("pair_between", "pair_sides contigs codon_ratio", f"""
+SELECT t.*, b.v FROM (SELECT DISTINCT {_G} FROM pair_sides) t LEFT JOIN (
+ SELECT {_G}, avg(coalesce(r.log_ratio, 0)) AS v FROM (SELECT {_G}, substr(ext, CAST(k AS BIGINT) * 3 + 1, 3) AS codon FROM (SELECT *, unnest(range(0, length(ext) // 3)) AS k FROM (
+  SELECT {_G}, CASE WHEN strand = 'forward' THEN substr(c.seq, lo, hi - lo) ELSE reverse(translate(substr(c.seq, clen - hi + 2, hi - lo), 'ACGT', 'TGCA')) END AS ext
+  FROM (SELECT {_G}, min(start) AS lo, max(start) AS hi, any_value(contig_length) AS clen FROM pair_sides GROUP BY {_G}) JOIN contigs c USING (genome_id, contig_id))))
+ LEFT JOIN codon_ratio r USING (genome_id, codon) WHERE codon NOT LIKE '%N%' GROUP BY {_G}) b USING ({_G})
+""")
+_sides = ("start", "start_codon", "length", "rbs_score_norm", "start_score_norm", "codon_score_norm", "imm_score_norm", "f4", "f5", "up_imm", "site_pwm",
+          "anti_sd", "any_stop", "len_zscore", "post_start", "ctx_pwm", "gc3_period", *features.NTERM)
+block("pairs", "pair_sides pair_between pair_group", f"""
+SELECT * FROM (SELECT {_G}, any_value(gc_pct) AS gc_pct, {', '.join(f"max(CASE WHEN start_rank = {r} THEN {c} END) AS {c}_{r}" for c in _sides for r in (1, 2))}
+FROM pair_sides GROUP BY {_G}) JOIN pair_group USING ({_G}) JOIN (SELECT {_G}, coalesce(v, 0) AS ext_codon FROM pair_between) USING ({_G})
+""")
+_delta = {"d_baseline": "gap", **{f"d_{k}": f"{c}_1 - {c}_2" for k, c in {
+    "rbs": "rbs_score_norm", "start": "start_score_norm", "codon": "codon_score_norm", "imm": "imm_score_norm", "length": "length", "f4": "f4", "f5": "f5",
+    "up_imm": "up_imm", "genome_rbs": "site_pwm", "anti_sd": "anti_sd", "any_stop_dist": "any_stop", "len_zscore": "len_zscore", "post_start": "post_start",
+    "ctx_pwm": "ctx_pwm", "gc3_period": "gc3_period", **{k: k for k in features.NTERM}}.items()},
+    **{f"{k}_top{r}": f"{k}_{r}" for k in ("anti_sd", "any_stop", "len_zscore", "post_start", "ctx_pwm") for r in (1, 2)},
+    **{f"t1_{k}": f"{k}_1" for k in features.NTERM}, "gc3_period_t1": "gc3_period_1", "gc3_period_t2": "gc3_period_2",
+    "rel_gap": "gap / greatest(score_range, 1e-9)", "both_atg": "CASE WHEN start_codon_1 = 'ATG' AND start_codon_2 = 'ATG' THEN 1 ELSE 0 END",
+    "d_length_norm": "(length_1 - length_2) / CAST(greatest(span_length, 1) AS DOUBLE)", "d_codon_norm": "(codon_score_norm_1 - codon_score_norm_2) / greatest(span_codon, 1e-9)",
+    "d_imm_norm": "(imm_score_norm_1 - imm_score_norm_2) / greatest(span_imm, 1e-9)"}
+_PAIR = features.pair_columns(tuple(features.OPTIONAL_PAIR_FEATURES))
+
+
+@register("pair_features", query(f"""
+SELECT {_G}, start_1, start_2, {rsql(*[f'{c}={_delta[c]}' if c in _delta else c for c in _PAIR])} FROM pairs""", "pairs"))
 def pair_q(spark, sf_dir):
-    """All columns of the contested pairs; checked against a plain model in the tests."""
+    """All columns of the contested pairs, the optional ones too."""
     ctx = context(spark, sf_dir)
-    sc = features.start_context(ctx.candidates, ctx.contigs)
-    return rounded(features.pair_features(ctx.candidates, ctx.contigs, ctx.models, sc))
+    sc = cut_lineage(features.start_context(ctx.candidates, ctx.contigs))
+    rows = features.pair_features(ctx.candidates, ctx.contigs, ctx.models, sc)
+    return rounded(rows.select("genome_id", "contig_id", "strand", "end", "start_1", "start_2", *[F.col(c).cast("double").alias(c) for c in _PAIR]))
