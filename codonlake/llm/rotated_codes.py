@@ -224,7 +224,17 @@ def searched(vectors: DataFrame, query: str, k: int = NEIGHBOURS, **sizes: int)
     return neighbours(codes, asked, k).drop("key")
 
 
-@register("op13_rotated_codes")
+# The exact neighbours: on the small tables none is missed. On larger ones the tests hold the recall against brute force.
+_ORACLE = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: coalesce(NOT isfinite(x), true))), true) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)))
+SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INT) AS rank, c.vec_id, list_inner_product(q.e, c.e) AS score
+FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+
+@register("op13_rotated_codes", _ORACLE)
 def op13_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for every row whose id is divisible by 20."""
     return searched(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
