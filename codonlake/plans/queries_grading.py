@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codonlake import constants as C
-from codonlake.operators import descent, diagnostics as D, features, grading as G, intervals, labels, rbs, selection, starts, sweeps
+from codonlake.operators import descent, diagnostics as D, features, grading as G, intervals, labels, ml, rbs, selection, starts, sweeps
 from codonlake.plans.context import context
 from codonlake.plans.oracle_base import block, query
 from codonlake.plans.oracle_models import FIRST, SECOND, keep
@@ -543,3 +543,51 @@ SELECT strategy, count(*) AS regions, count(*) FILTER (WHERE g = 0) AS pure_regi
 def region_purity_q(spark, sf_dir):
     ctx = context(spark, sf_dir)
     return rounded(D.region_purity(intervals.gaps_by_strategy(ctx.orfs, ctx.contigs), ctx.reference, ctx.contigs))
+
+
+@register("gc_tier_choice", query(f"""
+SELECT threshold, {rsql('high_gain', 'low_change')} FROM (
+ SELECT threshold, max(CASE WHEN tier = 'high' THEN d_sens END) AS high_gain, max(CASE WHEN tier = 'low' THEN d_prec END) AS low_change FROM (
+  SELECT g.tier, g.threshold, g.sensitivity - b.sensitivity AS d_sens, g.precision - b.precision AS d_prec
+  FROM gc_grid g JOIN gc_grid b ON b.tier = g.tier AND b.threshold = 0.2643::DOUBLE) GROUP BY threshold)
+WHERE coalesce(low_change, 0) >= -0.02 ORDER BY high_gain DESC NULLS LAST, threshold LIMIT 1""", "gc_grid"))
+def gc_choice_q(spark, sf_dir):
+    """The threshold that the grid by GC tier leads to."""
+    ctx = context(spark, sf_dir)
+    grid = sweeps.gc_tier_grid(ctx.scored, ctx.reference, features.genome_gc(ctx.contigs), _GRID, high=0.41)
+    return rounded(sweeps.choose_gc_threshold(grid))
+
+
+@register("two_model_sweep", query(f"""
+SELECT model, threshold, tp, fp, fn, {rsql('precision=CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END',
+ 'recall=CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END', 'f1=CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END')} FROM (
+ SELECT model, threshold, count(*) FILTER (WHERE prob >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE prob >= threshold AND label = 0) AS fp,
+  count(*) FILTER (WHERE prob < threshold AND label = 1) AS fn
+ FROM (SELECT 'old' AS model, label, 1 / (1 + exp(-combined_score)) AS prob FROM labelled UNION ALL SELECT 'new', label, 1 / (1 + exp(-length_score_norm)) FROM labelled),
+  (SELECT unnest({_TH}::DOUBLE[]) AS threshold) GROUP BY model, threshold)""", "labelled"))
+def two_models_q(spark, sf_dir):
+    """The sum of all scores as the one model, the length alone as the other, at the same thresholds."""
+    rows = _labelled(context(spark, sf_dir))
+    both = rows.select("label", (1 / (1 + F.exp(-F.col("combined_score")))).alias("old"), (1 / (1 + F.exp(-F.col("length_score_norm")))).alias("new"))
+    return rounded(ml.sweep_two_models(both, "old", "new", "label", _TH))
+
+
+block("bench_used", "groups", "SELECT genome_id, tax_group FROM (SELECT *, row_number() OVER (PARTITION BY tax_group ORDER BY genome_id) AS r FROM groups) WHERE r <= 3")
+block("bench_timed", "bench_used contigs", """
+SELECT genome_id, u.tax_group, sum(length) / 1e6 AS seconds FROM bench_used u JOIN contigs USING (genome_id) GROUP BY ALL
+""")
+block("bench_few", "bench_used pct", "SELECT p.* FROM pct p JOIN (SELECT genome_id FROM bench_used) USING (genome_id)")
+
+
+@register("benchmark_summary", query(f"""
+SELECT level, key, n, {rsql(*_m)}, level = 'group' AND f1 < (SELECT avg(f1) FROM bench_few) - 5 AS flag_low_f1, level = 'group' AND n < 10 AS flag_small, {rsql('seconds')} FROM (
+ SELECT 'genome' AS level, genome_id AS key, 1 AS n, sensitivity, precision, f1 FROM bench_few
+ UNION ALL SELECT 'group', tax_group, count(*), avg(sensitivity), avg(precision), avg(f1) FROM bench_few GROUP BY tax_group
+ UNION ALL SELECT 'overall', 'all', count(*), avg(sensitivity), avg(precision), avg(f1) FROM bench_few)
+LEFT JOIN (SELECT 'genome' AS level, genome_id AS key, seconds FROM bench_timed UNION ALL SELECT 'group', tax_group, avg(seconds) FROM bench_timed GROUP BY tax_group
+ UNION ALL SELECT 'overall', 'all', avg(seconds) FROM bench_timed) USING (level, key)""", "bench_few bench_timed"))
+def benchmark_q(spark, sf_dir):
+    """Three genomes of each group, with a microsecond a base as their runtime."""
+    ctx = context(spark, sf_dir)
+    runtimes = ctx.contigs.groupBy("genome_id").agg((F.sum("length") / 1e6).alias("seconds"))
+    return rounded(G.benchmark_summary(G.exact_metrics(ctx.predictions, ctx.reference), ctx.genomes, runtimes, limit=3))
