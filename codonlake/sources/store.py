@@ -7,7 +7,7 @@ from pyspark.errors import AnalysisException
 
 
 def stored_genomes(spark: SparkSession, path: str) -> DataFrame:
-    """Genome ids of a store; only folder names are read. An absent store has none."""
+    """Genome ids of a store: distinct values of its folders, for which rows are counted but no column is read. An absent store has none."""
     try:
         return spark.read.parquet(path).select(F.col("genome_id").cast("string")).distinct()
     except AnalysisException as e:
