@@ -189,47 +189,49 @@ CODON = -1
 
 
 def context_counts(counts: DataFrame) -> DataFrame:
-    """How often each base follows a context of ``size`` - 1 bases, per class as array of four; without held-out rows (fit) and with all."""
+    """How often each base follows a context of ``size`` - 1 bases, per class and base in a column; without held-out rows (fit) and with all."""
     parts = F.when(F.col("held_out"), F.array(F.lit(ALL))).otherwise(F.array(F.lit(ALL), F.lit(FIT)))
     each = counts.select("genome_id", "cls", "pos", "code", "size", "n", F.explode(parts).alias("part"))
     each = each.select("genome_id", "part", "cls", "pos", "code", "n", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("size"))
     word = F.expr("code & (shiftleft(1, 2 * size) - 1)")
     each = each.select("genome_id", "part", "cls", "pos", "size", F.shiftright(word, 2).alias("context"), (word.bitwiseAND(3)).alias("_base"), "n")
-    seen = lambda cls: F.array(*[F.coalesce(F.sum(F.when((F.col("cls") == cls) & (F.col("_base") == b), F.col("n"))), F.lit(0)) for b in range(4)])
-    return each.groupBy(*NODE, "size").agg(seen(CODING).alias("n_coding"), seen(NONCODING).alias("n_noncoding"))
+    seen = [F.coalesce(F.sum(F.when((F.col("cls") == cls) & (F.col("_base") == b), F.col("n"))), F.lit(0)).alias(f"{cls}_n{b}")
+            for cls in (CODING, NONCODING) for b in range(4)]
+    return each.groupBy(*NODE, "size").agg(*seen)
 
 
 def context_trie(ends: DataFrame, counts: DataFrame) -> DataFrame:
-    """P(base | context) of both classes for every context of fewer than ``last`` bases: (genome_id, part, pos, size, context, coding, noncoding).
+    """P(base | context) of both classes for every context of fewer than ``last`` bases: (genome_id, part, pos, size, context,
+    coding_0 to coding_3, noncoding_0 to noncoding_3).
 
     ``ends``: one row per genome and part with ``last``, the longest words. A context seen at least ``MIN_OBSERVATIONS`` times has
     the shares of the bases that follow it; for a base not seen after it, and for other contexts, the suffix decides.
     """
-    quarter = F.array(*[F.lit(C.UNSEEN_BASE_PROB)] * 4)
+    shares = [(cls, b) for cls in (CODING, NONCODING) for b in range(4)]
     level = ends.select("genome_id", "part", "last", F.explode(F.array(*map(F.lit, range(3)))).alias("pos"), F.lit(0).alias("context"),
-                        quarter.alias("coding"), quarter.alias("noncoding"))
+                        *[F.lit(C.UNSEEN_BASE_PROB).alias(f"{cls}_{b}") for cls, b in shares])
     trie = None
     for size in range(1, (ends.agg(F.max("last")).first()[0] or 0) + 1):
         if size > 1:
             letter = F.explode(F.array(*[F.lit(b * 4 ** (size - 2)) for b in range(4)])).alias("_first")
             level = level.where(F.col("last") >= size).select("*", letter).withColumn("context", F.col("_first") + F.col("context")).drop("_first")
         level = level.join(counts.where(F.col("size") == size).drop("size"), NODE, "left")
+        totals = [sum((F.col(f"{cls}_n{b}") for b in range(1, 4)), F.col(f"{cls}_n0")).alias(f"{cls}_total") for cls in (CODING, NONCODING)]
 
-        def known(n: str, suffix: str) -> Column:
-            total = F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x)
-            own = F.zip_with(n, suffix, lambda x, back: F.when(x > 0, x / total).otherwise(back))
-            return F.when(total >= C.MIN_OBSERVATIONS, own).otherwise(F.col(suffix)).alias(suffix)
+        def known(cls: str, b: int) -> Column:
+            n, total, suffix = F.col(f"{cls}_n{b}"), F.col(f"{cls}_total"), F.col(f"{cls}_{b}")
+            return F.when((total >= C.MIN_OBSERVATIONS) & (n > 0), n / total).otherwise(suffix).alias(f"{cls}_{b}")
 
-        level = stored(level.select(*NODE, "last", known("n_coding", "coding"), known("n_noncoding", "noncoding")))
-        here = level.select(*NODE, F.lit(size).alias("size"), "coding", "noncoding")
+        level = stored(level.select("*", *totals).select(*NODE, "last", *[known(cls, b) for cls, b in shares]))
+        here = level.drop("last").withColumn("size", F.lit(size))
         trie = here if trie is None else trie.unionByName(here)
-    return trie if trie is not None else level.select(*NODE, F.lit(0).alias("size"), "coding", "noncoding")
+    return trie if trie is not None else level.drop("last").withColumn("size", F.lit(0))
 
 
 def ratios(trie: DataFrame) -> DataFrame:
     """ln P_coding - ln P_background of the four bases after each context."""
-    log = lambda p: F.log(F.greatest(p, F.lit(C.PROB_FLOOR)))
-    return trie.select(*NODE, "size", F.zip_with("coding", "noncoding", lambda a, b: log(a) - log(b)).alias("ratio"))
+    log = lambda cls, b: F.log(F.greatest(F.col(f"{cls}_{b}"), F.lit(C.PROB_FLOOR)))
+    return trie.select(*NODE, "size", F.array(*[log(CODING, b) - log(NONCODING, b) for b in range(4)]).alias("ratio"))
 
 
 def order_scores(counts: DataFrame, fitted: DataFrame) -> DataFrame:
