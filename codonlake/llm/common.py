@@ -71,25 +71,27 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: str, count: str, total: in
             .unionByName(marked.where("_hot IS NULL").drop("_hot").join(cold, key, how)))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs: rows (id, component), component the least id.
 
-    Large-star and small-star rounds. A round is an aggregate with a partial step and a join, so a node with very many
-    edges is never gathered in one task, and each round is stored. Nodes without edges do not appear.
+    Large-star and small-star rounds until nothing changes. A round is an aggregate with a partial step and a join that
+    takes nodes with very many edges apart, so these are never gathered in one task, and each round is stored. Nodes
+    without edges do not appear.
     """
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most_rounds):
+    before = state(now)
+    while before[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(small_min, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .unionByName(small_min.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        after = stored(small)
-        same = (after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-                == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        now = after
-        if same:
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = stored(join_hot(both.where("b > a"), least, "a", "n", 2 * before[0])
+                       .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        now = stored(join_hot(large, least, "a", "n", before[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+                     .unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        after = state(now)
+        if after == before:
             break
+        before = after
     roots = now.select(F.col("b").alias("id")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))

@@ -10,8 +10,11 @@ bring: a longer prefix costs more lookups but asks for more common shingles, so
 * Shingles with many documents (``HOT``) are not joined to themselves. The documents that they connect form a cluster;
   its documents are dealt into blocks, and each pair of blocks is verified within a task, which returns links only.
 
-Nulls, empty texts and texts without words have an empty set and no links. Rows with the same id count as one document
-per row, joined by that id. Extra columns are ignored. An empty table gives an empty result.
+Rows are numbered once, and sets, classes and links know rows by that number, so ids need not be unique. In
+``linked_components`` rows with one id are one document: their links, whatever their texts, count for that id. In
+``one_of_each`` every row stands for itself. Rows with a null id are linked by their texts; their component is null if no
+row with an id belongs to it. Nulls, empty texts and texts without words have an empty set and no links. Extra columns
+are ignored by ``linked_components`` and kept by ``one_of_each``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from codonlake.llm import arrays
 from codonlake.llm.common import components, join_hot, register, stored, table
@@ -74,12 +78,12 @@ def _frequent(docs: DataFrame, k: int, percent: int) -> np.ndarray:
         if total > FREQUENT_MOST:
             floor = 2 ** (b + 1)
             break
-    rows = counts.where(F.col("n") >= floor).select("gram").collect()  # FREQUENT_MOST at most
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+    grams = counts.where(F.col("n") >= floor).select("gram").toArrow()["gram"].to_numpy()  # FREQUENT_MOST at most
+    return np.sort(grams.astype(np.int64).view(np.uint64))
 
 
 def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per document: id, size, digest of the set, the longest prefix in the global order."""
+    """Adds to the columns of ``docs``: size and digest of the set, the longest prefix in the global order."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k, percent))
 
@@ -102,11 +106,13 @@ def prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     lengths.append(reach)
                 offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
                 grams = (np.concatenate(out) if out else np.empty(0, np.uint64)).view(np.int64)
+                own_columns = [c.slice(lo, hi - lo) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams))], ["doc_id", "size", "digest", "prefix"])
+                    [*own_columns, pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()),
+                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams))], [*batch.schema.names, "size", "digest", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, size long, digest binary, prefix array<long>")
+    schema = StructType(docs.schema.fields + StructType.fromDDL("size long, digest binary, prefix array<long>").fields)
+    return docs.mapInArrow(make, schema)
 
 
 def _index(reps: DataFrame, percent: int) -> DataFrame:
@@ -151,8 +157,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 def _block_links(members: DataFrame, docs: DataFrame, k: int, percent: int, forest: bool) -> DataFrame:
     """Links among the documents of each cluster (doc_id, cluster), found block by block."""
-    blocks = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = (members.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    blocks = members.groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = (join_hot(members, blocks, "cluster", "n", members.count()).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
              .join(docs.select("doc_id", "text"), "doc_id")
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "text"))
@@ -208,38 +214,89 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, forest: bool)
     fits = (F.col("a") < F.col("b")) & (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent)
     pairs = (a.join(b, "gram").where(fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("need_a", "need_b")).alias("need"))
              .where("shared >= need").select("a", "b"))
-    first = many.groupBy("gram").agg(F.min("doc_id").alias("b"))
-    star = many.select("gram", F.col("doc_id").alias("a")).join(first, "gram").select("a", "b").distinct()
+    first = stored(many.groupBy("gram").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")))
+    star = join_hot(many.select("gram", F.col("doc_id").alias("a")), first, "gram", "n", many.count()).select("a", "b").distinct()
     clusters = components(star).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
     return stored(_verified(pairs, docs, k, percent).unionByName(_block_links(clusters, docs, k, percent, forest)))
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sets = stored(prefixes(docs, k, percent))
-    classes = sets.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    reps = sets.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return sets, classes, reps
+    """Rows with their sets and a number each; a row per different set (digest, first, n); these sets with their prefixes.
+
+    ``first`` is the row of a set with the least id, null last: (no_id, doc_id, row). The number of that row is the id of
+    the set in all that follows. The numbers are stored with the rows, so a task that runs again cannot change them.
+    """
+    sets = stored(prefixes(docs, k, percent).withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    classes = stored(sets.where("size > 0").groupBy("digest").agg(first, F.count("*").alias("n")))
+    reps = sets.select("row", "size", "prefix").join(classes.select(F.col("first.row").alias("row")), "row", "left_semi")
+    return sets, classes, reps.withColumnRenamed("row", "doc_id")
+
+
+def _by_row(sets: DataFrame) -> DataFrame:
+    return sets.select(F.col("row").alias("doc_id"), "text")
+
+
+def _with_least(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` with ``least``: the least ``first`` that links (a, b) between rows reach."""
+    parts_of = components(links)
+    grouped = stored(classes.select("digest", "n", "first", F.col("first.row").alias("row")).join(parts_of.withColumnRenamed("id", "row"), "row", "left"))
+    tied = grouped.where("component IS NOT NULL")
+    least = stored(tied.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("size")))
+    return stored(join_hot(tied, least, "component", "size", tied.count()).select("digest", "n", "first", "least")
+                  .unionByName(grouped.where("component IS NULL").select("digest", "n", "first", F.col("first").alias("least"))))
 
 
 def linked_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id) for every document of (doc_id long, text string).
+    """Rows (doc_id, n_shingles, component_id) for every row of (doc_id long, text string).
 
     component_id is the least id that links reach. Links are those of Jaccard similarity percent / 100 or more.
     """
-    sets, classes, reps = _grouped(docs, k, percent)
-    parts_of = components(_links(docs, reps, k, percent, True))
-    # one row per different set, then back to all copies of it
-    of_class = classes.join(parts_of.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select(
-        "digest", "n", F.coalesce("component", "class_id").alias("component"))
-    return join_hot(sets.select("doc_id", "size", "digest"), stored(of_class), "digest", "n", sets.count(), "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    sets, classes, reps = _grouped(docs.select("doc_id", "text"), k, percent)
+    links = _links(_by_row(sets), reps, k, percent, True)
+    total = sets.count()
+    # ids that stand in rows with different sets tie these sets together, as links do
+    held = sets.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("m"))
+    repeated = stored(held.where("doc_id IS NOT NULL AND lo <> hi").select("doc_id", "m", F.lit(True).alias("repeated")))
+    with_sets = (join_hot(sets.where("size > 0").select("doc_id", "digest"), repeated, "doc_id", "m", total).select("doc_id", "digest").distinct()
+                 .join(classes.select("digest", F.col("first.row").alias("row")), "digest"))
+    of_id = stored(with_sets.select("doc_id", "row"))
+    hub = stored(of_id.groupBy("doc_id").agg(F.min("row").alias("b"), F.count("*").alias("n")))
+    by_id = join_hot(of_id, hub, "doc_id", "n", of_id.count()).select(F.col("row").alias("a"), "b")
+    of_class = _with_least(classes, links.unionByName(by_id))
+    rows = join_hot(sets.select("doc_id", "size", "digest"), of_class.select("digest", "n", F.col("least.doc_id").alias("component")), "digest", "n", total, "left")
+    # a row without a set shares the component of its id
+    id_component = stored(of_id.join(of_class.select(F.col("first.row").alias("row"), F.col("least.doc_id").alias("of_id")), "row")
+                          .groupBy("doc_id").agg(F.min("of_id").alias("of_id")).join(repeated.select("doc_id", "m"), "doc_id"))
+    empty = join_hot(rows.where("size = 0"), id_component, "doc_id", "m", total, "left")
+    return (rows.where("size > 0").select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+            .unionByName(empty.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("of_id", "doc_id").alias("component_id"))))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, more columns) without near duplicates: of each group of linked rows the one with
+    the least id, null last; rows without words all stay."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*others).alias("others")) if others else docs.select("doc_id", "text")
+    sets, classes, reps = _grouped(packed, k, percent)
+    of_class = _with_least(classes, _links(_by_row(sets), reps, k, percent, True))
+    chosen = of_class.select(F.col("least.row").alias("row")).distinct()
+    kept = sets.where("size > 0").join(chosen, "row", "left_semi").unionByName(sets.where("size = 0"))
+    return kept.select(*[c if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])
 
 
 def similar_pairs(docs: DataFrame, k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """All links (a, b) between class representatives, and the membership (doc_id, class_id) of all documents with a set."""
-    sets, classes, reps = _grouped(docs, k, percent)
-    links = _links(docs, reps, k, percent, False).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links, join_hot(sets.select("doc_id", "digest"), classes, "digest", "n", sets.count()).select("doc_id", "class_id")
+    """All links (a, b) between class representatives, and the membership (doc_id, class_id) of all rows with a set.
+
+    A class is known by its least id; links between sets of one id are left out.
+    """
+    sets, classes, reps = _grouped(docs.select("doc_id", "text"), k, percent)
+    found = stored(_links(_by_row(sets), reps, k, percent, False))
+    name = classes.select("first.row", F.col("first.doc_id").alias("id"))
+    links = (found.join(name.select(F.col("row").alias("a"), F.col("id").alias("id_a")), "a").join(name.select(F.col("row").alias("b"), F.col("id").alias("id_b")), "b")
+             .where("id_a <> id_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct())
+    of = classes.select("digest", "n", F.col("first.doc_id").alias("class_id"))
+    return links, join_hot(sets.where("size > 0").select("doc_id", "digest"), of, "digest", "n", sets.count()).select("doc_id", "class_id")
 
 
 _ORACLE = r"""

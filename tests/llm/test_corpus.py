@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 import corpus_pipeline
 from codonlake.llm import collinear, common, jaccard_join, kneser_ney, source_mix, warc
@@ -76,6 +76,32 @@ def test_jaccard_is_the_same_by_blocks_and_by_pairs(spark, monkeypatch, hot):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
 
 
+def test_links_of_repeated_and_missing_ids_are_kept(spark):
+    a, b, c = prose(31, 80), prose(32, 80), prose(33, 80)
+    rows = [(1, a), (1, b), (2, edited(b, 5)), (3, edited(a, 9)), (4, None), (5, c), (5, ""), (None, edited(c, 3)), (None, prose(34, 80)), (6, edited(c, 70)), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(jaccard_join.linked_components(docs).collect(), key=str)
+    assert [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got] == sorted(
+        [(1, 77, 1), (1, 77, 1), (1, 77, 1), (2, 77, 1), (3, 77, 1), (4, 0, 4), (5, 77, 5), (5, 0, 5), (None, 77, 5), (None, 77, None), (6, 77, 5)], key=lambda r: str(
+            spark_row(*r)))
+    pairs, _ = jaccard_join.similar_pairs(docs)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2), (1, 3), (5, 6)}
+
+
+def spark_row(doc_id, n_shingles, component_id):
+    return Row(doc_id=doc_id, n_shingles=n_shingles, component_id=component_id)
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = prose(41, 80), prose(42, 80), prose(43, 80)
+    rows = [(1, a, 1), (1, a, 2), (1, b, 3), (2, edited(b, 5), 4), (None, a, 5), (None, c, 6), (None, c, 7), (7, "", 8), (7, None, 9)]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3))
+    kept = sorted(r["row"] for r in got.collect())
+    assert got.columns == ["doc_id", "text", "row"]
+    assert len(kept) == 5 and kept[0] in (1, 2) and kept[1] == 3 and kept[2] in (6, 7) and kept[3:] == [8, 9]
+    assert jaccard_join.one_of_each(got.select("doc_id", "text")).count() == 5
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 199), (199, 200)]
     got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
