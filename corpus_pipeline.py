@@ -24,10 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at similarity 0.8 or more, the one with the least id."""
-    groups = jaccard_join.linked_components(docs.select("doc_id", "text"), k=5, percent=80)
-    gone = groups.where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of rows linked by five-word shingles at similarity 0.8 or more, repeated rows included, one with the least id."""
+    return jaccard_join.one_of_each(docs.select(COLUMNS), k=5, percent=80)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
