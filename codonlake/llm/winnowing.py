@@ -1,13 +1,14 @@
 """Document fingerprints by winnowing.
 
-Grams are K consecutive pieces of a text (words; a word longer than PIECE code points counts as several). Of every WINDOW
-consecutive gram hashes the least is chosen, the rightmost where several are equal, and kept with its place. Two texts
+Grams are K consecutive pieces of a text: its words, and of words longer than WORD_MOST code points (text without blanks)
+every code point, so that the pieces of a passage do not depend on where it stands. Of every WINDOW consecutive gram hashes the least is chosen, the rightmost where several are equal, and kept with its place. Two texts
 that have ``K + WINDOW - 1`` pieces in a row in common therefore share a chosen hash, and no run below K pieces is ever
-reported. Everything is built-in array functions; documents never leave their task but for the join with a neighbour.
+reported. Everything is built-in array functions; texts are shuffled once, to the range of ids that holds their neighbour.
 
 Null and empty texts have no grams and an empty fingerprint; two empty fingerprints have likeness 1. A text with fewer
 than K pieces has them all as its only gram. Repeated rows are fingerprinted each by itself; in the order of ids they
-follow each other by text. Extra columns pass through ``fingerprints``. An empty table gives an empty result.
+follow each other by text. A row with a null id has no place in that order: it has no next row, its edited text ends with
+the part that is kept, and its likeness to the next document is null. Extra columns pass through ``fingerprints``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from codonlake.llm.common import parts, register, table
 
 K = 4
 WINDOW = 12
-PIECE = 16
+WORD_MOST = 16
 
 
 def _pieces(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
+    # a whole word, or one code point of a longer one
+    one = r"[^\x20\x09-\x0D]"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?<!{one}){one}{{1,{WORD_MOST}}}+(?!{one})|{one}"), F.lit(0))
 
 
 def fingerprints(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -72,21 +75,22 @@ def _range_of(value: Column, cuts: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, names: list[str], prepare=lambda df: df) -> DataFrame:
-    """Adds ``next_<name>`` for columns of the next row by (doc_id, text), after the last row those of the first.
+    """Adds ``next_<name>`` for columns of the next row by (doc_id, text), after the last row those of the first; null where
+    doc_id is null.
 
     Rows are dealt by ranges of doc_id, each range with a copy of the first row of the range behind it, so texts are
     shuffled once. ``prepare`` may add columns after that shuffle, on rows with all columns of ``docs``. Bounds are
     quantiles: a few numbers per partition come to the driver.
     """
     spark = docs.sparkSession
-    rows = docs.where("doc_id IS NOT NULL")
+    rows, lone = docs.where("doc_id IS NOT NULL"), prepare(docs.where("doc_id IS NULL"))
+    without_next = lambda df: df.select("*", *[F.lit(None).cast(lone.schema[c].dataType).alias(f"next_{c}") for c in names])
     n = 4 * parts(spark)
     bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     pid = _range_of(F.col("doc_id"), sorted({int(b) for b in bounds}))
     firsts = [r[0] for r in rows.groupBy(pid.alias("p")).agg(F.min("doc_id").alias("first")).orderBy("p").select(F.struct("p", "first")).collect()]
     if not firsts:
-        rows = prepare(rows)
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in names])
+        return without_next(lone.drop(*[f"next_{c}" for c in names]))
     before = {firsts[i]["first"]: firsts[i - 1]["p"] for i in range(len(firsts))}
     goes_to = F.get(F.array(*[F.lit(p) for p in before.values()]), F.array_position(F.array(*[F.lit(k).cast("long") for k in before]), F.col("doc_id")).cast("int") - 1)
     homes = F.array_compact(F.array(F.struct(F.lit(0).alias("guest"), pid.alias("range")),
@@ -95,8 +99,9 @@ def with_next(docs: DataFrame, names: list[str], prepare=lambda df: df) -> DataF
     made = prepare(dealt.select("_row.*", F.col("range").alias("_range"), F.col("guest").alias("_guest")))
     kept = [c for c in made.columns if c not in {"_range", "_guest", *(f"next_{n}" for n in names)}]
     window = Window.partitionBy("_range").orderBy("_guest", "doc_id", "text")
-    return made.select(*kept, "_guest", F.lead(F.struct(*names)).over(window).alias("_next")).where("_guest = 0").select(
+    placed = made.select(*kept, "_guest", F.lead(F.struct(*names)).over(window).alias("_next")).where("_guest = 0").select(
         *kept, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in names])
+    return placed.unionByName(without_next(lone.select(*kept)))
 
 
 @register("op7_winnowing")
@@ -107,7 +112,8 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 2).cast("int")
     df = docs.withColumn("n_chars", n.cast("long")).withColumn(
-        "edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut)))
+        "edited", F.concat(F.substring("text", F.lit(1), n - cut), F.coalesce(F.substring("next_text", F.lit(1), cut), F.lit(""))))
     df = fingerprints(df, "edited", "e").withColumn("he", _hashes(F.col("e")))
     return df.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("f")).alias("fingerprint"),
-                     as_string(F.col("e")).alias("edited_fingerprint"), likeness("hf", "he").alias("near_edited"), likeness("hf", "next_hf").alias("near_next"))
+                     as_string(F.col("e")).alias("edited_fingerprint"), likeness("hf", "he").alias("near_edited"),
+                     F.when(F.col("next_hf").isNotNull(), likeness("hf", "next_hf")).alias("near_next"))
