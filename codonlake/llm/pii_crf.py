@@ -2,7 +2,10 @@
 
 Patterns give the base spans. The field then labels the tokens of a document that hold a digit or an at sign (all other
 tokens are O): unary potentials from the token's shape, chain potentials between neighbouring tokens, and skip
-potentials between tokens with the same key (their digits, or else their letters) however far apart they stand.
+potentials between equal or similar tokens however far apart they stand. Neighbouring tokens of digits are read as one
+number: two numbers are similar when their last TAIL digits agree, whatever their prefix and grouping, and of similar
+numbers those tokens are linked whose last digits stand at the same place from the end. Addresses are similar when their
+parts before the at sign agree.
 Tokens of base spans are fixed; loopy belief propagation carries their labels to other mentions, so a number or
 address that is certain in one place is found where it stands without its prefix. All mentions of a key in a document
 are linked to one of them, a fixed one where there is one, so edges grow with the text and no mention is further away
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,9 @@ CALM = 1e-3
 PATIENCE = 100
 LEAST_WEIGHT = 1 / 64
 SURE = 0.9
+#: Digits from the end that make two numbers similar; numbers under LEAST_DIGITS have no key.
+TAIL = 7
+LEAST_DIGITS = 6
 
 # Each pattern starts only where the leftmost match would start, so runs that fail are passed in one step.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +53,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _HIT = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+_NUMBER = re.compile(r"[+(]?[0-9][0-9().-]*[,;:!?]?")
 _EDGE = "\"'`,;:!?.()[]{}<>|#*$%&="
 
 
@@ -115,12 +123,33 @@ def _shape(token: str, before: str, after: str) -> list[int]:
     return f
 
 
-def _key(token: str) -> str | None:
-    digits = "".join(c for c in token if "0" <= c <= "9")
-    if len(digits) >= 6:
-        return digits
+def _address(token: str) -> str | None:
+    """The part of an address before its at sign."""
     bare = token.strip(_EDGE).lower()
-    return bare if "@" in bare and len(bare) >= 6 else None
+    return f"@{bare[:bare.index('@')]}" if len(bare) >= 6 and bare.find("@") > 0 else None
+
+
+def _digits(token: str) -> str:
+    return "".join(c for c in token if "0" <= c <= "9")
+
+
+def _number_keys(run: list[tuple[int, str]]) -> Iterator[tuple[str, int]]:
+    """(key, node) for the tokens (node, digits) of a number: the end of the number, and where the token ends in it."""
+    size = sum(len(d) for _, d in run)
+    if size < LEAST_DIGITS:
+        return
+    # the digits of the tokens before it do not reach the end of a long number, so a few tokens make the end
+    end = ""
+    for _, d in reversed(run):
+        if len(end) >= TAIL:
+            break
+        end = d[-TAIL:] + end
+    end, place = end[-TAIL:], 0
+    for node, d in reversed(run):
+        if place >= 19:  # no kind has more digits
+            break
+        yield f"{end}:{place}", node
+        place += len(d)
 
 
 class Graph:
@@ -135,6 +164,13 @@ class Graph:
     def add(self, number: int, text: str, base: list[tuple[int, int, int]]) -> None:
         words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
         mentions: dict[str, list[int]] = defaultdict(list)
+        run: list[tuple[int, str]] = []  # the number that is being read
+
+        def close() -> None:
+            for key, node in _number_keys(run):
+                mentions[key].append(node)
+            run.clear()
+
         previous, b = -2, 0
         for i, (s, e, w) in enumerate(words):
             if not _HIT.search(w):
@@ -154,10 +190,18 @@ class Graph:
                 self.chain.append((node - 1, node))
                 self.open[-1] -= 1
             self.open.append((0 if joined else 1) + 1)
-            key = _key(w)
-            if key is not None:
-                mentions[key].append(node)
+            grouped = _NUMBER.fullmatch(w)
+            if not (joined and grouped) or w.startswith("+"):
+                close()
+            if "@" in w:
+                if (key := _address(w)) is not None:
+                    mentions[key].append(node)
+            else:
+                run.append((node, _digits(w)))
+            if not grouped:
+                close()
             previous = i
+        close()
         for nodes in mentions.values():
             hub = next((n for n in nodes if self.fixed[n]), nodes[0])
             self.skip += [(min(hub, n), max(hub, n)) for n in nodes if n != hub]

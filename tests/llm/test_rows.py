@@ -92,6 +92,37 @@ def test_labels_travel_to_all_mentions():
     assert len(beliefs) == 41 and (beliefs[:, 4] >= pii_crf.SURE).all()
 
 
+@pytest.mark.parametrize("text, linked", [
+    ("+33 1 23 45 67 89 or later 1 23 45 67 89 end", [("1", "1"), ("23", "23"), ("45", "45"), ("67", "67"), ("89", "89")]),
+    ("+15553824000 and 5553824000", [("+15553824000", "5553824000")]),
+    ("+1 (743) 555-3824 and 743 555-3824.", [("(743)", "743"), ("555-3824", "555-3824.")]),
+    ("jane.doe@mail.example.com and Jane.Doe@home", [("jane.doe@mail.example.com", "Jane.Doe@home")]),
+    ("1 2 3 and 1 2 3", []), ("in 1999 and 1999", []), ("x +1 555 382 4000 +33 382 4000 1", []),
+])
+def test_similar_mentions_are_linked(text, linked):
+    graph = pii_crf.Graph()
+    graph.add(0, text, pii_crf.base_spans(text))
+    at = lambda n: text[graph.start[n]:graph.end[n]]
+    assert sorted((at(a), at(b)) for a, b in graph.skip) == sorted(linked)
+
+
+def test_beliefs_of_trees_are_exact_marginals():
+    rng = np.random.default_rng(11)
+    model = {"unary": rng.normal(0, 1, (pii_crf._N_FEATURES, 5)), "chain": rng.normal(0, 1, (5, 5)), "skip": rng.normal(0, 1, (5, 5))}
+    model["chain"], model["skip"] = model["chain"] + model["chain"].T, model["skip"] + model["skip"].T
+    for text in ("a 1234567 b 7654321 c 1234567 d", "x 12 345 y", "now 5553824000 or 1 end +15553824000 z"):
+        graph = pii_crf.Graph()
+        graph.add(0, text, pii_crf.base_spans(text))
+        n = len(graph.doc)
+        weight = np.zeros((5,) * n)
+        for labels in np.ndindex(*weight.shape):
+            w = sum(model["unary"][f, y] for y, shape in zip(labels, graph.shapes) for f in shape) + sum(o * model["chain"][0, y] for y, o in zip(labels, graph.open))
+            w += sum(model["chain"][labels[a], labels[b]] for a, b in graph.chain) + sum(model["skip"][labels[a], labels[b]] for a, b in graph.skip)
+            weight[labels] = np.exp(w) if all(f in (0, y) for f, y in zip(graph.fixed, labels)) else 0.0
+        exact = np.array([weight.sum(axis=tuple(j for j in range(n) if j != i)) for i in range(n)]) / weight.sum()
+        assert np.allclose(pii_crf._beliefs(graph, model), exact, atol=2e-3), text
+
+
 def test_beliefs_do_not_depend_on_other_documents():
     rng = np.random.default_rng(7)
     model = {"unary": rng.normal(0, 1, (pii_crf._N_FEATURES, 5)), "chain": rng.normal(0, 1, (5, 5)), "skip": 0.2 * np.eye(5)}
@@ -134,7 +165,7 @@ def test_automaton_statistics_against_search():
 
 
 def plain_fingerprint(t, k=winnowing.K, w=winnowing.WINDOW):
-    pieces = re.findall(r"[^\x20\x09-\x0D]{1,16}", t)
+    pieces = [p for w in re.findall(r"[^\x20\x09-\x0D]+", t) for p in ([w] if len(w) <= 16 else w)]
     grams = []
     for i in range(max(1, len(pieces) - k + 1)) if pieces else []:
         seed = 42
@@ -158,6 +189,8 @@ def test_winnowing_of_odd_texts_and_neighbours(spark):
     assert all(near[i]["next_text"] == ODD[(i + 1) % len(ODD)] for i in range(len(ODD)))
     assert winnowing.with_next(docs.limit(0), ["text"]).count() == 0
     assert by_id(winnowing.with_next(docs.limit(1), ["text"]))[0]["next_text"] is None
+    nobody = winnowing.with_next(docs.where("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long")), ["text"]).collect()
+    assert [(r["doc_id"], r["next_text"]) for r in nobody] == [(None, None)] * 2
 
 
 def test_shared_run_is_always_found():
@@ -167,6 +200,36 @@ def test_shared_run_is_always_found():
         assert {h for h, _ in a} & {h for h, _ in b}
 
 
+def test_passage_without_blanks_is_found_at_any_offset():
+    run = "".join(chr(0x4E00 + (i * 7919) % 5000) for i in range(600))
+    for shift in range(1, 18):
+        a, b = plain_fingerprint(run), plain_fingerprint("漢" * shift + run)
+        assert {h for h, _ in a} <= {h for h, _ in b} | {a[0][0]} and len({h for h, _ in a} & {h for h, _ in b}) > 50
+
+
+def test_op7_against_plain_fingerprints(spark, tmp_path):
+    texts = [*ODD, "漢字" * 30, prose(3, 60), prose(3, 60)]
+    rows = [(3 * i, t) for i, t in enumerate(texts)] + [(None, prose(8, 40)), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = winnowing.op7_winnowing(spark, str(tmp_path)).collect()
+    string = lambda t: ",".join(f"{h & (1 << 64) - 1:X}:{p}" for h, p in plain_fingerprint(t))
+    hashes = lambda t: {h for h, _ in plain_fingerprint(t)}
+
+    def like(a, b):
+        a, b = hashes(a), hashes(b)
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    assert len(got) == len(rows)
+    for r in (r for r in got if r["doc_id"] is not None):
+        i = r["doc_id"] // 3
+        text, after = texts[i] or "", texts[(i + 1) % len(texts)] or ""
+        cut = len(text) // 2
+        edited = text[:len(text) - cut] + after[:cut]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), string(text)), i
+        assert (r["edited_fingerprint"], r["near_edited"], r["near_next"]) == (string(edited), like(text, edited), like(text, after)), i
+    assert sorted((r["n_chars"], r["near_next"]) for r in got if r["doc_id"] is None) == [(0, None), (len(prose(8, 40)), None)]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     v = piece_sampler.Vocabulary.load()
