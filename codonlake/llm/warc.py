@@ -6,6 +6,13 @@ record, which cannot be entered in the middle). Filters on ``record_type``, ``re
 filter is stepped over. The ``payloads`` option (``all``, ``none``) says whether payloads are wanted at all; payloads
 of records that fail, or that nobody wants, are inflated past but never copied or decoded.
 
+Archives of other writers are read too: header names in any case, folded header lines, records of every type, with or
+without target, digest or date, packed (``.gz``) or plain. Ids of any form stand in ``record_uri`` and ``refers_to_uri``;
+``record_id`` and ``refers_to`` hold the number where an id is one of this writer, else null. The payload of an HTTP
+response is what follows its HTTP header; its size is null where nobody wants payloads and no header field tells it. A folder
+with a manifest is read by it; without one all its ``.warc`` and ``.warc.gz`` files are read, in subfolders as well; a
+path may also be one file.
+
 ``df.write.format("warc").option("path", folder)`` writes a file per partition. A revisit record holds a header block
 and no payload; it names the record that it refers to. Files are named by partition and attempt and listed in the
 manifest that the driver writes when all tasks are done, so an attempt that was lost leaves nothing that a reader sees.
@@ -21,6 +28,7 @@ import base64
 import hashlib
 import io
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,11 +41,12 @@ from codonlake.llm.common import join_hot, register, stored, table
 from codonlake.session import ensure_checkpoint_dir, ship_package
 
 SCHEMA = ("record_id long, record_type string, target_uri string, payload_digest string, refers_to long, "
-          "payload_bytes long, payload binary")
+          "payload_bytes long, payload binary, record_uri string, refers_to_uri string, content_type string")
 MANIFEST = "manifest.json"
 _CHUNK = 1 << 17
 _URN = "urn:page:"
-_HEADER_OF = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest"}
+#: Columns whose filters are tested on the header block.
+_HEADER_OF = ("record_type", "record_id", "target_uri", "payload_digest")
 
 
 def _store(path: str):
@@ -51,8 +60,10 @@ def _urn(number) -> str:
 
 
 def _number(urn: str | None) -> int | None:
-    digits = (urn or "").strip("<>").removeprefix(_URN)
-    return int(digits) if digits else None
+    """The number of an id of this writer, else null."""
+    bare = (urn or "").strip("<>")
+    digits = bare.removeprefix(_URN)
+    return int(digits) if bare.startswith(_URN) and re.fullmatch(r"-?[0-9]{1,19}", digits) else None
 
 
 def _line(value: str | None) -> str:
@@ -74,13 +85,27 @@ def member(record: dict) -> bytes:
     return packer.compress(head.encode()) + packer.compress(payload) + packer.compress(b"\r\n\r\n") + packer.flush()
 
 
+class Headers(dict):
+    """Header fields, the first of each name; names in any case."""
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
 class Members:
-    """Reads record after record of a gzip stream: header first, payload on demand."""
+    """Reads record after record of a stream (gzip unless ``plain``): header first, payload on demand."""
 
-    def __init__(self, stream):
-        self.stream, self.packed, self.ready, self.unpacker = stream, b"", bytearray(), zlib.decompressobj(31)
+    def __init__(self, stream, plain: bool = False):
+        self.stream, self.plain, self.packed, self.ready, self.unpacker = stream, plain, b"", bytearray(), zlib.decompressobj(31)
 
     def _more(self) -> bool:
+        if self.plain:
+            out = self.stream.read(_CHUNK)
+            self.ready += out
+            return bool(out)
         while True:
             if not self.packed:
                 self.packed = self.stream.read(_CHUNK)
@@ -95,15 +120,23 @@ class Members:
                 self.ready += out
                 return True
 
-    def header(self) -> dict[str, str] | None:
-        while (end := self.ready.find(b"\r\n\r\n")) < 0:
+    def header(self) -> Headers | None:
+        while True:
+            while self.ready[:1] in (b"\r", b"\n"):  # some writers leave more blank lines between records
+                del self.ready[:1]
+            if (end := self.ready.find(b"\r\n\r\n")) >= 0:
+                break
             if not self._more():
                 if self.ready.strip():
                     raise ValueError("archive ends within a record")
                 return None
-        lines = bytes(self.ready[:end]).decode().split("\r\n")
+        lines = re.sub(r"\r\n[ \t]+", " ", bytes(self.ready[:end]).decode(errors="replace")).split("\r\n")
         del self.ready[:end + 4]
-        return dict(line.split(": ", 1) for line in lines[1:])
+        head = Headers()
+        for name, colon, value in (line.partition(":") for line in lines[1:]):
+            if colon:
+                head.setdefault(name.strip().lower(), value.strip())
+        return head
 
     def body(self, size: int, wanted: bool) -> bytes | None:
         """The payload if wanted, and the end of the record passed either way."""
@@ -121,7 +154,8 @@ class Members:
         while len(self.ready) < 4:
             if not self._more():
                 raise ValueError("archive ends within a record")
-        del self.ready[:4]
+        if self.ready[:4] == b"\r\n\r\n":
+            del self.ready[:4]
         return bytes(kept) if wanted else None
 
 
@@ -153,34 +187,49 @@ class WarcReader(DataSourceReader):
 
     @staticmethod
     def _as_header(name: str, value) -> str:
-        return {"record_id": _urn, "payload_digest": lambda v: f"sha1:{v}", "target_uri": _line}.get(name, str)(value)
+        return {"record_id": _urn, "target_uri": _line}.get(name, str)(value)
 
     def partitions(self):
+        from pyarrow import fs
+
         store, root = _store(self.path)
-        with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return [ArchiveFile(name) for name in json.loads(f.read())["files"]]
+        kinds = {i.base_name: i for i in store.get_file_info([root, f"{root}/{MANIFEST}"])}
+        if kinds.get(MANIFEST) is not None and kinds[MANIFEST].type == fs.FileType.File:
+            with store.open_input_stream(f"{root}/{MANIFEST}") as f:
+                return [ArchiveFile(f"{root}/{name}") for name in json.loads(f.read())["files"]]
+        if store.get_file_info(root).type == fs.FileType.File:
+            return [ArchiveFile(root)]
+        found = store.get_file_info(fs.FileSelector(root, recursive=True))
+        return [ArchiveFile(i.path) for i in sorted(found, key=lambda i: i.path) if i.type == fs.FileType.File and i.path.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: ArchiveFile | None):
         import pyarrow as pa
 
         if partition is None:  # no files at all
             return
-        store, root = _store(self.path)
-        names = ["record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_bytes", "payload"]
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        store, _ = _store(self.path)
+        names = ["record_id", "record_type", "target_uri", "payload_digest", "refers_to", "payload_bytes", "payload", "record_uri", "refers_to_uri", "content_type"]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string()]
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-        with store.open_input_stream(f"{root}/{partition.path}", compression=None) as f:
-            members, rows, held = Members(f), [], 0
+        with store.open_input_stream(partition.path, compression=None) as f:
+            members, rows, held = Members(f, plain=not partition.path.endswith(".gz")), [], 0
             while (head := members.header()) is not None:
-                size = int(head["Content-Length"])
-                passes = all(head.get(_HEADER_OF[name]) in values for name, values in self.tests.items())
-                payload = members.body(size, passes and self.payloads and head["WARC-Type"] == "response")
+                size, kind, content = int(head["Content-Length"]), head["WARC-Type"], head.get("Content-Type")
+                digest = re.sub("^sha1:", "", head.get("WARC-Payload-Digest", ""), flags=re.IGNORECASE) or None
+                field = {"record_type": kind, "record_id": head.get("WARC-Record-ID"), "target_uri": head.get("WARC-Target-URI"), "payload_digest": digest}
+                passes = all(field[name] in values for name, values in self.tests.items())
+                payload = members.body(size, passes and self.payloads and kind != "revisit")
                 if passes:
-                    rows.append((_number(head["WARC-Record-ID"]), head["WARC-Type"], head["WARC-Target-URI"], head["WARC-Payload-Digest"].removeprefix("sha1:"),
-                                 _number(head.get("WARC-Refers-To")), int(head.get("X-Payload-Length", size)), payload))
+                    http = (content or "").lower().startswith("application/http") and kind in ("response", "revisit")
+                    if http and payload is not None:
+                        payload = payload.partition(b"\r\n\r\n")[2]
+                    told = head.get("X-Payload-Length")
+                    length = int(told) if told else len(payload) if payload is not None else None if http else size
+                    rows.append((_number(field["record_id"]), kind, field["target_uri"], digest, _number(head.get("WARC-Refers-To")), length, payload,
+                                 (field["record_id"] or "").strip("<>") or None, (head.get("WARC-Refers-To") or "").strip("<>") or None, content))
                     held += len(payload or b"") + 200
                     if held > 32 * _CHUNK:
                         yield batch(rows)

@@ -1,5 +1,6 @@
 """Operators over whole tables, against plain Python."""
 
+import gzip
 import io
 import math
 import re
@@ -260,6 +261,32 @@ def test_archives_give_back_what_was_written(spark):
     assert spark.read.format("warc").option("path", path + "-none").load().count() == 0
 
 
+def test_archives_of_other_writers_are_read(spark, tmp_path):
+    def record(fields, block):
+        return ("WARC/1.0\r\n" + "".join(f"{f}\r\n" for f in fields) + f"content-length:{len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\r\n\r\nbody"
+    records = [record(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:a>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+               record(["warc-type:request", "WARC-RECORD-ID:<urn:uuid:b>", "WARC-Target-URI: http://x.org/a:b"], b"GET / HTTP/1.1\r\n\r\n") + b"\r\n",
+               record(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:c>", "WARC-Target-URI:\thttp://x.org/\r\n folded", "WARC-Payload-Digest: SHA1:ABC",
+                       "Content-Type: application/http; msgtype=response", "no colon here"], http),
+               record(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:d>", "WARC-Refers-To: <urn:uuid:c>", "Content-Type: application/http"], b"HTTP/1.1 200 OK\r\n\r\n")]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "one.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "two.warc").write_bytes(b"".join(records))
+    (tmp_path / "notes.txt").write_text("no archive")
+    warc.use_warc(spark)
+    read = spark.read.format("warc").option("path", str(tmp_path))
+    got = sorted(tuple(r) for r in read.load().select("record_uri", "record_type", "target_uri", "payload_digest", "refers_to_uri", "payload_bytes", F.col("payload").cast("string"), "record_id").collect())
+    want = [("urn:uuid:a", "warcinfo", None, None, None, 13, "software: x\r\n", None),
+            ("urn:uuid:b", "request", "http://x.org/a:b", None, None, 18, "GET / HTTP/1.1\r\n\r\n", None),
+            ("urn:uuid:c", "response", "http://x.org/ folded", "ABC", None, 11, "<p>\r\n\r\nbody", None),
+            ("urn:uuid:d", "revisit", None, None, "urn:uuid:c", None, None, None)]
+    assert got == sorted(want * 2)
+    assert spark.read.format("warc").option("path", str(tmp_path / "two.warc")).load().where("payload_digest = 'ABC'").count() == 1
+    assert read.option("payloads", "none").load().where("record_type = 'response' AND payload_bytes IS NULL").count() == 2
+
+
 def test_members_skip_and_report_torn_files():
     record = {"payload": b"x" * 500_000, "record_type": "response", "record_id": 1, "target_uri": "u", "payload_digest": "D", "refers_to": None, "payload_bytes": 500_000}
     data = warc.member(record) + warc.member(record | {"record_id": 2})
