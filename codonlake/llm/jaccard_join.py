@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from codonlake.llm import arrays
-from codonlake.llm.common import components, join_hot, register, stored, table
+from codonlake.llm.common import components, join_hot, register, rows_in, stored, table
 from codonlake.session import ship_package
 
 #: A shingle with at least so many documents among the first of their sets goes to the end of the order.
@@ -212,11 +212,13 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int, forest: bool)
     a = few.select("gram", F.col("doc_id").alias("a"), F.col("size").alias("size_a"), F.col("need").alias("need_a"))
     b = few.select("gram", F.col("doc_id").alias("b"), F.col("size").alias("size_b"), F.col("need").alias("need_b"))
     fits = (F.col("a") < F.col("b")) & (F.col("size_a") * 100 >= F.col("size_b") * percent) & (F.col("size_b") * 100 >= F.col("size_a") * percent)
-    pairs = (a.join(b, "gram").where(fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("need_a", "need_b")).alias("need"))
-             .where("shared >= need").select("a", "b"))
+    pairs = stored(a.join(b, "gram").where(fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("need_a", "need_b")).alias("need"))
+                   .where("shared >= need").select("a", "b"))
     first = stored(many.groupBy("gram").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")))
     star = join_hot(many.select("gram", F.col("doc_id").alias("a")), first, "gram", "n", many.count()).select("a", "b").distinct()
-    clusters = components(star).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"))
+    clusters = stored(components(star).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")))
+    asked = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(clusters.select("doc_id"))
+    docs = rows_in(docs.select("doc_id", "text"), asked, "doc_id")  # only the texts that are compared are moved
     return stored(_verified(pairs, docs, k, percent).unionByName(_block_links(clusters, docs, k, percent, forest)))
 
 
@@ -229,7 +231,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     sets = stored(prefixes(docs, k, percent).withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     classes = stored(sets.where("size > 0").groupBy("digest").agg(first, F.count("*").alias("n")))
-    reps = sets.select("row", "size", "prefix").join(classes.select(F.col("first.row").alias("row")), "row", "left_semi")
+    reps = rows_in(sets.select("row", "size", "prefix"), classes.select(F.col("first.row").alias("row")), "row")
     return sets, classes, reps.withColumnRenamed("row", "doc_id")
 
 
@@ -281,7 +283,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets, classes, reps = _grouped(packed, k, percent)
     of_class = _with_least(classes, _links(_by_row(sets), reps, k, percent, True))
     chosen = of_class.select(F.col("least.row").alias("row")).distinct()
-    kept = sets.where("size > 0").join(chosen, "row", "left_semi").unionByName(sets.where("size = 0"))
+    kept = rows_in(sets.where("size > 0"), chosen, "row").unionByName(sets.where("size = 0"))
     return kept.select(*[c if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])
 
 

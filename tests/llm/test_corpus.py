@@ -110,6 +110,16 @@ def test_components_of_paths_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rows_are_picked_by_number_without_moving_them(spark):
+    rows = common.stored(spark.range(0, 150_000, 1, 3).select(F.monotonically_increasing_id().alias("row"), "id"))
+    picked = rows.where("id % 7 = 3 OR id = 0 OR id BETWEEN 32760 AND 32780").select("row")
+    got = common.rows_in(rows, picked, "row")
+    assert got.columns == ["row", "id"] and {r["id"] for r in got.collect()} == {i for i in range(150_000) if i % 7 == 3 or i == 0 or 32760 <= i <= 32780}
+    assert common.rows_in(rows, picked.limit(0), "row").count() == 0
+    moved = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in moved and "BroadcastHashJoin" in moved
+
+
 def test_chains_pass_every_better_point():
     rng = np.random.default_rng(5)
     for _ in range(30):
