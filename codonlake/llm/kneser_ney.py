@@ -1,13 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
 Counts, continuation counts, discounts and back-off weights are aggregates and joins over n-gram keys, sharded by Spark.
-They are folded into three tables in which every n-gram has its interpolated log probability and every context its
-back-off weight. The model is fitted on at most ``SAMPLE`` trusted documents (in expectation, by a hash of the id), which
-bounds the tables (``ROOM`` n-grams; more is an error), so they travel with the tasks and the n-grams of the corpus, ten
-times its size, are never shuffled: each task looks up all n-grams of its documents at once and sums them per document.
+The model is fitted on ``FIT_PART`` of the trusted documents (by a hash of the id) and the thresholds on all the others, so
+every trusted document has its part in one of the two.
 
-Thresholds are quantiles of the mean log perplexity of trusted documents outside the sample, per language; languages
-with under ``FEW`` of those take the quantile of all.
+The log probability of a text is a sum of one value per trigram, pair and word: a trigram's value is what it adds to the
+back-off from its context to the pair, a pair's or word's what it adds as target and as context. So a look-up needs no other,
+and the values are dealt by key: the n-grams of all texts travel in packed arrays to the shard of their key, are looked up
+there, and their sums travel back. That moves about a long and a row number per n-gram; memory is bounded by a shard.
+
+Thresholds are quantiles of the mean log perplexity of the trusted documents that the model was not fitted on, per language;
+languages with under ``FEW`` of those take the quantile of all.
 
 A null or empty text has no n-grams: perplexity null, not kept. A null language is a language. Repeated rows are scored
 each by itself. Extra columns are ignored. An empty table gives an empty result; without trusted text nothing is kept.
@@ -25,12 +28,10 @@ from codonlake.llm import arrays
 from codonlake.llm.common import join_hot, register, stored, table
 from codonlake.session import ship_package
 
-#: Trusted documents that the model is fitted on.
-SAMPLE = 2_000
-#: N-grams of one order that the model may hold.
-ROOM = 8_000_000
-#: Part of the trusted documents that may be used for the fit; the others set the thresholds.
+#: Part of the trusted documents that the model is fitted on; the others set the thresholds.
 FIT_PART = 0.7
+#: Bytes of text, and rows of the model, for each shard.
+SHARD_BYTES, SHARD_ROWS = 16_000_000, 1_000_000
 QUANTILE = 0.99
 #: Added to a threshold, in nats per word, for documents unlike the held-out ones.
 MARGIN = 0.25
@@ -94,112 +95,115 @@ def _discount(d: list[float]) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-class _Table:
-    """Log probabilities and back-off weights of n-grams of one order; what is missing has probability nan, weight 0."""
+def _micronats(x: Column) -> Column:
+    """Whole micronats, so that sums do not depend on their order."""
+    return F.round(x * 1e6).cast("long").alias("value")
+
+
+def _keyed(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows (key, value) of n-grams given by their words."""
+    def run(batches):
+        for batch in batches:
+            words = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names]
+            key = words[0]
+            for w in words[1:]:
+                key = _pair(key, w)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("value")], ["key", "value"])
+
+    return rows.select(*names, "value").mapInArrow(run, "key long, value long")
 
-    def __init__(self, key: np.ndarray, *values: np.ndarray):
-        order = np.argsort(key)
-        self.finder, self.values = arrays.Finder(key[order], 20), [v[order].astype(np.float32) for v in values]
 
-    def get(self, key: np.ndarray) -> list[np.ndarray]:
-        found, at = self.finder.find(key)
-        out = []
-        for values, missing in zip(self.values, (np.nan, 0.0)):
-            x = np.full(key.size, missing, dtype=np.float32)
-            x[found] = values[at]
-            out.append(x)
-        return out
+def _looked_up(grams: pa.Table, model: pa.Table) -> pa.Table:
+    """(row, value): the sum of the values of the n-grams of each row that are in this shard of the model."""
+    flat = lambda c: grams.column(c).combine_chunks().flatten().to_numpy().astype(np.int64, copy=False)
+    known = model.column("key").to_numpy().astype(np.int64, copy=False)
+    if not grams.num_rows or not known.size:
+        return pa.table({"row": pa.array([], pa.int64()), "value": pa.array([], pa.int64())})
+    order = np.argsort(known.view(np.uint64))
+    found, at = arrays.Finder(known.view(np.uint64)[order], 20).find(flat("keys").view(np.uint64))
+    value = model.column("value").to_numpy().astype(np.int64, copy=False)[order][at]
+    row, where = np.unique(flat("rows")[found], return_inverse=True)
+    return pa.table({"row": row, "value": np.bincount(where, weights=value, minlength=row.size).astype(np.int64)})
 
 
 class Model:
-    """The fitted model; ``score`` needs nothing but its three tables."""
+    """The fitted model: ``values`` (key, value) of all its n-grams, and the value of a word that it does not know."""
 
     def __init__(self, trusted: DataFrame):
         ship_package(trusted.sparkSession)
         c3 = stored(_triples(trusted).groupBy("a", "b", "c").agg(F.count("*").alias("n")))
-        if (n := c3.count()) > ROOM:
-            raise ValueError(f"{n} trigrams do not fit; fit on fewer documents")
         c2 = stored(c3.groupBy("b", "c").agg(F.count("*").alias("n")))
         c1 = stored(c2.groupBy("c").agg(F.count("*").alias("n")))
         d3, d2, d1 = _discounts(c3), _discounts(c2), _discounts(c1)
         words, total, taken = c1.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(_discount(d1)), F.lit(0.0))).first()
         rest = (taken / total if total else 1.0) / (words + 1)
-        self.unknown = math.log(rest)
+        self.unknown = round(1e6 * math.log(rest))
         p1 = stored(c1.select("c", ((F.col("n") - _discount(d1)) / max(total, 1) + rest).alias("p1")))
         context2 = stored(c2.groupBy("b").agg(F.sum("n").alias("m"), (F.sum(_discount(d2)) / F.sum("n")).alias("w2")))
         p2 = stored(c2.join(context2, "b").join(p1, "c").select(
-            "b", "c", ((F.col("n") - _discount(d2)) / F.col("m") + F.col("w2") * F.col("p1")).alias("p2")))
-        context3 = c3.groupBy("a", "b").agg(F.sum("n").alias("m"), (F.sum(_discount(d3)) / F.sum("n")).alias("w3"))
-        triples = c3.join(context3, ["a", "b"]).join(p2, ["b", "c"]).select(
-            "a", "b", "c", F.log((F.col("n") - _discount(d3)) / F.col("m") + F.col("w3") * F.col("p2")).cast("float").alias("p"))
-        pairs = p2.select("b", "c", F.log("p2").cast("float").alias("p")).join(
-            context3.select(F.col("a").alias("b"), F.col("b").alias("c"), F.log("w3").cast("float").alias("w")), ["b", "c"], "full")
-        singles = p1.select("c", F.log("p1").cast("float").alias("p")).join(
-            context2.select(F.col("b").alias("c"), F.log("w2").cast("float").alias("w")), "c", "full")
-        self.triples, self.pairs, self.words = self._fetch(triples, 3), self._fetch(pairs, 2), self._fetch(singles, 1)
-
-    @staticmethod
-    def _fetch(df: DataFrame, order: int) -> _Table:
-        """A bounded table as arrays."""
-        t = df.toArrow()
-        number = lambda c: t[c].to_numpy().astype(np.int64).view(np.uint64)
-        value = lambda c, missing: t[c].fill_null(missing).to_numpy()
-        if order == 3:
-            return _Table(_pair(_pair(number("a"), number("b")), number("c")), value("p", math.nan))
-        key = _pair(number("b"), number("c")) if order == 2 else number("c")
-        return _Table(key, value("p", math.nan), value("w", 0.0))
-
-    def log_probability(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural logarithm for each n-gram; ``first``: where the n-grams of a text begin.
-
-        The context of an n-gram is what the n-gram before it ends with, so its weights are already at hand.
-        """
-        starts = first[:-1]
-        context = _pair(a, b)
-        p1, w1 = self.words.get(c)
-        p2, w2 = self.pairs.get(_pair(b, c))
-        p3, = self.triples.get(_pair(context, c))
-        w1, w2 = np.roll(w1, 1), np.roll(w2, 1)
-        w1[starts], w2[starts] = self.words.get(b[starts])[1], self.pairs.get(context[starts])[1]
-        low = np.where(np.isnan(p2), w1 + np.where(np.isnan(p1), np.float32(self.unknown), p1), p2)
-        return np.where(np.isnan(p3), w2 + low, p3).astype(np.float64)
+            "b", "c", (F.col("w2") * F.col("p1")).alias("low"), ((F.col("n") - _discount(d2)) / F.col("m") + F.col("w2") * F.col("p1")).alias("p2")))
+        context3 = stored(c3.groupBy("a", "b").agg(F.sum("n").alias("m"), (F.sum(_discount(d3)) / F.sum("n")).alias("w3")))
+        low = F.col("w3") * F.col("p2")
+        triples = c3.join(context3, ["a", "b"]).join(p2.select("b", "c", "p2"), ["b", "c"]).select(
+            "a", "b", "c", _micronats(F.log(((F.col("n") - _discount(d3)) / F.col("m") + low) / low)))
+        nothing = F.lit(0.0)
+        pairs = p2.join(context3.select(F.col("a").alias("b"), F.col("b").alias("c"), "w3"), ["b", "c"], "full").select(
+            "b", "c", _micronats(F.coalesce(F.log(F.col("p2") / F.col("low")), nothing) + F.coalesce(F.log("w3"), nothing)))
+        singles = p1.join(context2.select(F.col("b").alias("c"), "w2"), "c", "full").select(
+            "c", _micronats(F.coalesce(F.log(F.col("p1") / rest), nothing) + F.coalesce(F.log("w2"), nothing)))
+        self.values = stored(_keyed(triples, "a", "b", "c").unionByName(_keyed(pairs, "b", "c")).unionByName(_keyed(singles, "c")))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Rows (doc_id, lang, n_grams, log_perplexity) of all documents (doc_id, text, lang)."""
-        shared = docs.sparkSession.sparkContext.broadcast(self)
+        docs = stored(docs.select("doc_id", "lang", "text", F.monotonically_increasing_id().alias("row")))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(1, math.ceil(size / SHARD_BYTES), math.ceil(self.values.count() / SHARD_ROWS))
 
-        def run(batches):
-            model = shared.value
+        def deal(batches):
+            """One row per slice and shard with the n-grams that go there, and their rows."""
             for batch in batches:
+                numbers = batch.column("row").to_numpy()
                 for s in arrays.slices(batch.column("text"), fold=False):
-                    lo, hi = s.rows
+                    rows = numbers[s.rows[0]:s.rows[1]]
                     a, b, c, texts, first = _grams(s)
-                    n, mean = np.zeros(hi - lo, dtype=np.int64), np.full(hi - lo, np.nan)
-                    if texts.size:
-                        # whole micronats, so that sums do not depend on their order
-                        cost = np.rint(-1e6 * model.log_probability(a, b, c, first)).astype(np.int64)
-                        n[texts] = np.diff(first)
-                        mean[texts] = np.add.reduceat(cost, first[:-1]) / n[texts] / 1e6
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("lang").slice(lo, hi - lo), pa.array(n),
-                                                      pa.array(mean, mask=np.isnan(mean))], ["doc_id", "lang", "n_grams", "log_perplexity"])
+                    starts, owner = first[:-1], np.repeat(rows[texts], np.diff(first))
+                    pair = _pair(b, c)
+                    # pairs and words count as contexts too, so those before the first word are added
+                    keys = np.concatenate((_pair(_pair(a, b), c), pair, c, _pair(a[starts], b[starts]), b[starts]))
+                    owner = np.concatenate((owner, owner, owner, owner[starts], owner[starts]))
+                    shard = (keys % np.uint64(shards)).astype(np.int32)
+                    order = np.argsort(shard, kind="stable")
+                    bounds = np.searchsorted(shard[order], np.arange(shards + 1)).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[order].view(np.int64))) for x in (keys, owner)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), *lists], ["shard", "keys", "rows"])
+
+        def count(batches):
+            for batch in batches:
+                for s in arrays.slices(batch.column("text"), fold=False):
+                    n = np.diff(s.first)
+                    own = [batch.column(k).slice(s.rows[0], s.rows[1] - s.rows[0]) for k in ("doc_id", "lang", "row")]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.where(n > 0, n + 1, 0).astype(np.int64))], ["doc_id", "lang", "row", "n_grams"])
 
-        return docs.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, n_grams long, log_perplexity double")
+        grams = docs.select("row", "text").mapInArrow(deal, "shard int, keys array<long>, rows array<long>")
+        model = self.values.withColumn("shard", F.expr(f"cast((pmod(shiftrightunsigned(key, 1), {shards}) * 2 + (key & 1)) % {shards} as int)"))
+        sums = grams.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_looked_up, "row long, value long")
+        costs = sums.groupBy("row").agg(F.sum("value").alias("value"))
+        counted = docs.mapInArrow(count, "doc_id long, lang string, row long, n_grams long")
+        mean = -(F.coalesce("value", F.lit(0)) / F.col("n_grams") + self.unknown) / 1e6
+        return counted.join(costs, "row", "left").select("doc_id", "lang", "n_grams", F.when(F.col("n_grams") > 0, mean).alias("log_perplexity"))
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Rows (doc_id, lang, n_grams, log_perplexity, threshold, kept) for documents (doc_id, text, lang).
 
     ``trusted_ids``: doc_id of trusted documents.
     """
     part = F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(1_000_000)) / 1e6
     ids = stored(trusted_ids.select("doc_id").distinct().withColumn("part", part))
-    n = ids.count()
-    reach = min(FIT_PART, sample / n) if n else 0.0
-    fitted = ids.where(F.col("part") < reach).select("doc_id")  # about ``sample`` ids
-    model = Model(docs.select("doc_id", "text").join(F.broadcast(fitted), "doc_id", "left_semi"))
+    model = Model(docs.select("doc_id", "text").join(ids.where(F.col("part") < FIT_PART).select("doc_id"), "doc_id", "left_semi"))
     of = F.coalesce(F.concat(F.lit("0"), F.col("lang")), F.lit("1")).alias("of")
     scored = stored(model.score(docs).withColumn("of", of))
-    held = stored(scored.join(ids.where(F.col("part") >= reach).select("doc_id"), "doc_id"))
+    held = stored(scored.join(ids.where(F.col("part") >= FIT_PART).select("doc_id"), "doc_id"))
     at = F.percentile_approx("log_perplexity", quantile, 10000)
     overall = held.agg(at).first()[0]
     limits = stored(held.groupBy("of").agg(at.alias("limit"), F.count("*").alias("n")).where(F.col("n") >= FEW))

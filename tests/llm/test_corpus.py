@@ -372,6 +372,30 @@ def test_classifier_keeps_prose_and_drops_noise(spark):
     assert not any(r["kept"] for r in kneser_ney.classify(docs.limit(3), trusted.limit(0)).collect())
 
 
+def test_model_knows_every_trusted_document_of_its_part(spark, monkeypatch):
+    """More trusted documents than any sample, in many shards: each either fits the model or sets a threshold."""
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 20_000)
+    texts = [prose(i, 20) for i in range(2600)]
+    docs = table(spark, texts)
+    part = F.pmod(F.xxhash64("doc_id", F.lit("kn")), F.lit(1_000_000)) / 1e6
+    fitted = {r["doc_id"] for r in docs.where(part < kneser_ney.FIT_PART).collect()}
+    trusted = [texts[i] for i in sorted(fitted)]
+    counts = Counter(g for t in trusted for w in [["<s>", "<s>", *t.split(), "</s>"]] for g in zip(w, w[1:], w[2:]))
+    twice = docs.unionByName(docs.where(part >= kneser_ney.FIT_PART)).repartition(3)
+    got = defaultdict(list)
+    for r in kneser_ney.classify(twice, docs.select("doc_id"), margin=0.0).collect():
+        got[r["doc_id"]].append(r)
+    assert len(fitted) > 1700 and len(got) == 2600 and all(len(v) == (1 if i in fitted else 2) and v[0] == v[-1] for i, v in got.items())
+    logp, _ = plain_model(trusted)
+    for i in [0, 1, 2, 1300, 2599]:
+        w = ["<s>", "<s>", *texts[i].split(), "</s>"]
+        assert abs(got[i][0]["log_perplexity"] + sum(logp(*g) for g in zip(w, w[1:], w[2:])) / (len(w) - 2)) < 1e-4
+    # a text of the fit has all its trigrams in the model; 99 % of the rest are under the threshold
+    mean = lambda ids: sum(got[i][0]["log_perplexity"] for i in ids) / len(ids)
+    rest = set(range(2600)) - fitted
+    assert sum(counts.values()) == 21 * len(fitted) and mean(fitted) < mean(rest) - 0.5 and sum(got[i][0]["kept"] for i in rest) >= 0.98 * len(rest)
+
+
 def test_pipeline_stages(spark):
     texts = [*ODD, *near_copies(8, 8, 90), *[prose(500 + i, 100) for i in range(30)], prose(900, 90) + " +1 (743) 555-3824 x@y.org", "### " * 80]
     docs = table(spark, texts, extra=F.lit(1))
