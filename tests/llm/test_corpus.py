@@ -171,8 +171,8 @@ def test_passages_of_two_are_found_among_documents_that_share_less(spark):
         assert any(r["first_a"] == 50 and r["end_a"] == 110 and r["same"] == 60 for r in rows if i in (r["doc_a"], r["doc_b"])), i
 
 
-@pytest.mark.parametrize("block, most", [(16, 600), (512, 200)])
-def test_pairs_of_blocks_are_tied_by_what_they_share(block, most):
+@pytest.mark.parametrize("block", [16, 512])
+def test_no_pair_of_blocks_is_left_to_a_third(block):
     rng = np.random.default_rng(3)
     width, n = 2 * collinear.AROUND + collinear.K, 60
     families = rng.integers(1, 256, (3, width), dtype=np.uint8)
@@ -180,18 +180,46 @@ def test_pairs_of_blocks_are_tied_by_what_they_share(block, most):
     rows[:, collinear.AROUND:collinear.AROUND + collinear.K] = families[0, collinear.AROUND:collinear.AROUND + collinear.K]
     for r in rows:
         r[rng.choice(collinear.AROUND - 5, 3, replace=False)] = rng.integers(1, 256, 3)
-    cuts = [rows[i:i + block] for i in range(0, n, block)]
-    edges = [(0, i) for i in range(n) if i % 3 == 0]
+    cuts, found = [rows[i:i + block] for i in range(0, n, block)], []
     for p, x in enumerate(cuts):
         for q in range(p, len(cuts)):
-            i, j, left, right = collinear.unlike_pairs(x, cuts[q], rows[0], p == q)
-            edges += [(p * block + a, q * block + b) for a, b, s in zip(i.tolist(), j.tolist(), left + right) if s >= collinear.LEAST_WORDS]
-    assert all(a % 3 == b % 3 for a, b in edges) and len(edges) < most
-    root = list(range(n))
-    for _ in range(n):
-        for a, b in edges:
-            root[a] = root[b] = min(root[a], root[b])
-    assert root == [i % 3 for i in range(n)]
+            i, j, left, right = collinear.like_pairs(x, cuts[q], p == q)
+            found += [(p * block + a, q * block + b) for a, b, s in zip(i.tolist(), j.tolist(), left + right) if s >= collinear.LEAST_WORDS]
+    assert sorted(found) == [(a, b) for a in range(n) for b in range(a + 1, n) if a % 3 == b % 3]
+
+
+def test_every_pair_that_carries_a_frequent_passage_is_linked(spark):
+    passage, short = prose(91, 60), prose(92, 12)
+    texts = [f"{prose(2000 + i, 40)} {edited(passage, 7 + i % 3, 41)} {prose(3000 + i, 40)}" for i in range(14)] + [f"{prose(4000 + i, 40)} {short} {prose(5000 + i, 40)}" for i in range(14)]
+    spans, _ = collinear.passages(table(spark, texts))
+    got = [(r["doc_a"], r["doc_b"]) for r in spans.collect()]
+    assert sorted(got) == [(a, b) for a in range(14) for b in range(a + 1, 14)]
+
+
+def test_run_takes_the_nearest_step():
+    """The search over the band as one table against the search step by step."""
+    rng = np.random.default_rng(8)
+    w = collinear.BAND
+    for _ in range(300):
+        x = rng.integers(0, 5, int(rng.integers(0, 40)))
+        y = np.delete(x, rng.integers(0, x.size, min(3, x.size))) if x.size and rng.random() < 0.7 else rng.integers(0, 5, int(rng.integers(0, 40)))
+        i = j = same = 0
+        done = (0, 0, 0)
+        while i < x.size and j < y.size:
+            k = 0
+            while i + k < x.size and j + k < y.size and x[i + k] == y[j + k]:
+                k += 1
+            i, j, same = i + k, j + k, same + k
+            if k >= 3 or (k and not done[0]):
+                done = (i, j, same)
+            if i >= x.size or j >= y.size:
+                break
+            step = next(((p, s - p) for s in range(1, 2 * w) for p in range(max(0, s - w), min(s, w) + 1)
+                         if i + p + 3 <= x.size and j + s - p + 3 <= y.size and (x[i + p:i + p + 3] == y[j + s - p:j + s - p + 3]).all()), None)
+            if step is None:
+                break
+            i, j = i + step[0], j + step[1]
+        assert collinear._run(x, y) == done
 
 
 def plain_mix(sizes):
