@@ -196,6 +196,18 @@ def test_every_pair_that_carries_a_frequent_passage_is_linked(spark):
     assert sorted(got) == [(a, b) for a in range(14) for b in range(a + 1, 14)]
 
 
+def test_one_shared_seed_is_enough(spark):
+    texts = []
+    for i in range(40):
+        passage = prose(600 + i, 60)
+        texts += [f"{prose(2000 + i, 30)} {passage} {prose(3000 + i, 30)}", f"{prose(4000 + i, 30)} {edited(passage, 5, 11, 17, 23, 35, 41, 47, 53)} {prose(5000 + i, 30)}"]
+    docs = table(spark, texts)
+    rows = {r["doc_id"]: {s["hash"] for s in r["seeds"]} for r in collinear._seeds(docs).collect()}
+    single = {2 * i for i in range(40) if len(rows[2 * i] & rows[2 * i + 1]) == 1}
+    got = {(r["doc_a"], r["doc_b"]) for r in collinear.passages(docs)[0].collect()}
+    assert len(single) > 5 and all((i, i + 1) in got for i in single)
+
+
 def test_run_takes_the_nearest_step():
     """The search over the band as one table against the search step by step."""
     rng = np.random.default_rng(8)
