@@ -125,3 +125,15 @@ def test_scan_moves_the_bases_once(spark):
     plan = scan._jdf.queryExecution().executedPlan().toString()
     final = plan[:plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
     assert len([x for x in final.splitlines() if "REPARTITION_BY_COL" in x]) == 1
+
+
+def test_scan_and_sites_neither_sort_codons_nor_copy_rows_per_place(spark):
+    found = rbs.add_rbs_score(orf.scan_orfs(contigs_of(spark, [("g", "c", dna(3, 900, "ACGTN"))]), 30))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and not any(f"explode({x}" in plan for x in ("sequence(lo", "sequence(cast(lo"))
+    top = plan[:plan.index("MapInArrow _orfs_within") if "MapInArrow _orfs_within" in plan else plan.rindex("MapInArrow")]
+    assert not any(x in top for x in ("Window", "Generate", "Aggregate", "Join"))  # windows remain on carries, a row per chunk
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "AGGAGGÄTTTTTTTTTTTTT"), (4, "C" * 3 + "AGGAGGTTTTTTTTTTTTTTTTTTT")], "n int, upstream string")
+    scores = {r.n: r.rbs_score for r in rbs.add_rbs_score(odd).collect()}
+    best = {r.n: r.rbs_score for r in rbs.best_sites(odd, ["n"]).collect()}
+    assert scores == {n: best.get(n, -5.0) for n in (1, 2, 3, 4)}
