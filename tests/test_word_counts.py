@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 from conftest import dna
 
-from codonlake.operators import models
+from codonlake.operators import models, scoring
 
 
 def test_word_counts_equal_a_direct_count(spark, monkeypatch):
@@ -31,3 +31,14 @@ def test_word_counts_equal_a_direct_count(spark, monkeypatch):
     for r in got:
         n, weight = want[tuple(r)[:8]]
         assert r["n"] == n and abs(r["weight"] - weight) < 1e-9
+
+
+def test_units_and_model_copies_grow_with_the_genome_alone(spark):
+    sizes = spark.createDataFrame([("s", 100, 10**6, 6), ("l", 10**8, 9 * 10**8, 10)], "genome_id string, bp_coding long, bp_noncoding long, bound int")
+    units = {r.genome_id: r.u for r in sizes.select("genome_id", models.counting_units(sizes).alias("u")).collect()}
+    assert units == {"s": 1, "l": 10}  # eight times the 12 * 4 ** 10 words of order 10 to a unit
+    n = scoring.ORFS_PER_GROUP
+    orfs = spark.range(6 * n).selectExpr("if(id < 2 * %d, 'few', 'many') AS genome_id" % n)
+    rows = spark.range(4 * n).selectExpr("if(id < 10, 'few', 'many') AS genome_id")
+    groups = {r.genome_id: r["_groups"] for r in scoring.genome_groups(orfs, rows).collect()}
+    assert groups == {"few": 2, "many": 3}  # copies of a model have at most two rows per ORF, and one model
