@@ -167,3 +167,49 @@ def test_start_choice_and_contest(spark):
     assert {r.strand: r.chosen_start for r in kept.collect()} == {"forward": 1, "reverse": 4}
     warm = starts.settle_contest(starts.top_two(df).withColumn("prob_keep", F.lit(0.1)), temperature=3.0)
     assert {r.strand: r.chosen_start for r in warm.collect()}["forward"] == 1
+
+
+def test_shards_of_the_trie_equal_the_trie_in_one(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    texts = [(True, False, dna(1, 900)), (True, True, dna(2, 700, "ACGTTN")), (False, False, dna(3, 1500, "AACGT")), (False, True, "AC"), (True, True, dna(4, 400))]
+    rows = [("g", 4, "coding" if c else "noncoding", held, 0, 0, 1 / len(s) if c and held else 0.0, s.encode()) for c, held, s in sorted(texts)]
+    types = pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.float64(), pa.binary()
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["genome_id", "bound", "cls", "held_out", "skip", "phase", "weight", "bases"])
+
+    def trie(sharded_from):
+        monkeypatch.setattr(models, "SHARDED_FROM", sharded_from)
+        parts = [r for b in models._words_of([batch]) for r in b.to_pylist()]
+        values, scores = {}, Counter()
+        for pos in range(3):
+            for shard in range(16 if sharded_from <= 4 else 1):
+                mine = [r for r in parts if (r["pos"], r["shard"]) == (pos, shard)] + [{"bound": 4, "words": None, "counts": None, "weights": None}]
+                for r in models._shard_of_trie("g", pos, shard, pa.Table.from_pylist(mine), True).to_pylist():
+                    if r["order"] is not None:
+                        scores[r["order"]] += r["score"]
+                    else:
+                        for i, ratio in enumerate(r["ratios"]):
+                            cell = pos, r["size"], (i // 4 << 2 * r["tail"] | r["shard"]) * 4 + i % 4
+                            assert cell not in values
+                            values[cell] = ratio
+        return values, scores
+
+    whole, sharded = trie(9), trie(4)
+    assert whole[0] == sharded[0] and len(whole[0]) == 3 * (4 ** 6 - 4) // 3
+    assert set(whole[1]) == set(sharded[1]) == {2, 3, 4} and all(abs(whole[1][k] - sharded[1][k]) < 1e-9 for k in whole[1])
+    coding, noncoding = [[s for c, _, s in texts if c == side] for side in (True, False)]
+    a, b = PlainModel(coding, 4), PlainModel(noncoding, 4)
+    for (pos, size, code), ratio in sharded[0].items():
+        word = "".join("ACGT"[code >> 2 * j & 3] for j in reversed(range(size)))
+        assert abs(ratio - (a.logp(pos, word) - b.logp(pos, word))) < 1e-12
+
+
+def test_repeated_places_are_held_out_to_the_number(spark):
+    rows = seq_rows("g", "coding", ["ACGT"] * 4) + [("g", "coding", "c", 0, 0, 9, 0, "ACG")] * 6 + seq_rows("g", "noncoding", ["A"] * 3)
+    for copies, held in ((rows, {"coding": 2, "noncoding": 1}), ([r[:5] + (9,) + r[6:] for r in rows], {"coding": 2, "noncoding": 1})):
+        marked = models.mark_held_out(spark.createDataFrame(copies, SEQ_SCHEMA))
+        assert {r.cls: r.n for r in marked.where("held_out").groupBy("cls").agg(F.count("*").alias("n")).collect()} == held
+
+
+def test_codons_with_other_letters_are_counted_by_name(spark):
+    df = spark.createDataFrame(seq_rows("g", "coding", ["ATGRTGRTGNNAACGT", "ÄTGATG", "AC", ""]), SEQ_SCHEMA)
+    assert {(r.codon, r.n) for r in models.codon_counts(df).collect()} == {("ATG", 2), ("RTG", 2), ("ACG", 1), ("ÄTG", 1)}
