@@ -13,13 +13,14 @@ from pyspark.ml.feature import HashingTF, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 from codonlake import constants as C
 from codonlake.functions.sequence import kmer_words, ratio
 from codonlake.operators.orf import GROUP
 from codonlake.operators.starts import settle_contest, top_two
 from codonlake.operators.sweeps import threshold_sweep
-from codonlake.session import stored
+from codonlake.session import cut_lineage
 
 FLIP_THRESHOLDS = [0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90]
 
@@ -41,6 +42,15 @@ def _prepare(rows: DataFrame, features: list[str], label: str) -> DataFrame:
     return rows.select(*keep, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
 
 
+def in_fixed_order(rows: DataFrame) -> DataFrame:
+    """Rows dealt by their key, where they have one, and sorted by what they hold. Fits draw rows by partition and place, and the order in
+    which files are listed or shuffled rows arrive is another in each run."""
+    plain = [f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType)]
+    named = [c for c in (*GROUP, "start") if c in plain]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *(named or plain)).sortWithinPartitions(*dict.fromkeys(named + plain))
+
+
 def boosted_trees(label: str = "label", weighted: bool = True, validation: str | None = None, **params) -> GBTClassifier:
     settings = {"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, **params}
     clf = GBTClassifier(labelCol=label, featuresCol="features", **settings)
@@ -55,7 +65,7 @@ def train_classifier(rows: DataFrame, features: list[str], label: str = "label",
 
     With ``validation`` (a boolean column) boosting stops when the held-out loss no longer falls.
     """
-    data = add_class_weight(_prepare(rows, features, label), label)
+    data = add_class_weight(in_fixed_order(_prepare(rows, features, label)), label)
     raw = "raw_features" if scale else "features"
     stages = [VectorAssembler(inputCols=features, outputCol=raw)]
     if scale:
@@ -68,7 +78,7 @@ def train_sequence_classifier(rows: DataFrame, features: list[str], label: str =
                               k: int = 3, buckets: int = 128, layers: tuple[int, ...] = (32,), network: bool = False,
                               **params) -> PipelineModel:
     """Candidate classifier on the tabular features and hashed k-mers of the whole sequence."""
-    data = with_kmers(add_class_weight(_prepare(rows, features, label), label), sequence, k)
+    data = with_kmers(add_class_weight(in_fixed_order(_prepare(rows, features, label)), label), sequence, k)
     stages = [HashingTF(inputCol="kmers", outputCol="kmer_vector", numFeatures=buckets),
               VectorAssembler(inputCols=[*features, "kmer_vector"], outputCol="joined")]
     if network:
@@ -183,10 +193,11 @@ def grid_search(rows: DataFrame, features: list[str], grid: list[dict], group: s
                 flips: list[float] = FLIP_THRESHOLDS, at_once: int = 4) -> DataFrame:
     """One row per parameter set: accuracy at its best flip threshold over all left-out groups, best first by ``place``.
 
-    The rows are assembled and stored once, and all fits read them. Fits are independent jobs, ``at_once`` of which run at
+    The rows are assembled and stored once in a fixed order, which a checkpoint keeps, and all fits read them. Fits are independent jobs, ``at_once`` of which run at
     a time. All models are judged together by one aggregation. Equal accuracies are placed in the order of the grid.
     """
-    data = stored(VectorAssembler(inputCols=features, outputCol="raw_features").transform(_prepare(rows, features, label)).select(group, label, "raw_features"))
+    ordered = in_fixed_order(_prepare(rows, features, label).select(*dict.fromkeys([c for c in (*GROUP, "start") if c in rows.columns] + [group, label, *features])))
+    data = cut_lineage(VectorAssembler(inputCols=features, outputCol="raw_features").transform(ordered).select(group, label, "raw_features"))
     counts = {r[group]: (r["p"], r["n"]) for r in data.groupBy(group).agg(F.sum(label).alias("p"), F.count("*").alias("n")).collect()}
     names = sorted(g for g in counts if sum(p for k, (p, _) in counts.items() if k != g))  # groups whose complement has positives
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)

@@ -61,6 +61,16 @@ def test_studies(table):
     assert ml.grid_search(table, ["x", "noise"], grid, flips=[0.5, 0.4]).collect() == best.collect()
 
 
+def test_fits_do_not_hang_on_the_order_of_rows(table):
+    other = table.orderBy(F.col("noise")).coalesce(3)
+    runs = []
+    for rows in (table, other):
+        model = ml.train_classifier(rows, ["x", "noise"], maxIter=4, maxDepth=2)
+        best = ml.grid_search(rows, ["x", "noise"], [{"maxIter": 4, "maxDepth": 2}], flips=[0.5, 0.4]).collect()
+        runs.append((best, [r.prob for r in ml.score_table(model, table).orderBy("start").collect()]))
+    assert runs[0] == runs[1]
+
+
 def test_stream_gathers_genomes_and_handles_each_once(spark, tmp_path):
     src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     src.mkdir()
