@@ -208,6 +208,66 @@ def test_one_shared_seed_is_enough(spark):
     assert len(single) > 5 and all((i, i + 1) in got for i in single)
 
 
+def test_passages_of_four_words_in_five_are_found(spark):
+    """Every fifth word changed, evenly or at random: no eight words in a row are equal. And strangers are left alone."""
+    rng, texts, pairs = np.random.default_rng(4), [], set()
+    for i in range(80):
+        passage, n = prose(6000 + i, 60), len(texts)
+        where = range(4, 60, 5) if i % 2 else rng.choice(60, 12, replace=False).tolist()
+        texts += [f"{prose(2000 + i, 30 + i % 7)} {passage} {prose(3000 + i, 30)}", f"{prose(4000 + i, 30)} {edited(passage, *where)} {prose(5000 + i, 30)}"]
+        pairs.add((n, n + 1))
+    rows = collinear.passages(table(spark, texts))[0].collect()
+    got = {(r["doc_a"], r["doc_b"]) for r in rows}
+    assert got <= pairs and {p for p in pairs if p[0] // 2 % 2} <= got and len(got) >= 0.95 * len(pairs)
+    words = [t.split() for t in texts]
+    for r in rows:
+        x, y = words[r["doc_a"]][r["first_a"]:r["end_a"]], words[r["doc_b"]][r["first_b"]:r["end_b"]]
+        assert min(len(x), len(y)) >= 50 and 0.8 * len(x) <= r["same"] <= sum(p == q for p, q in zip(x, y))
+
+
+def test_every_copy_of_a_passage_counts(spark):
+    """Twice in one text and once in another, three times in a row, and in a phrase that one of two texts repeats more often."""
+    one, two = prose(95, 60), prose(96, 70)
+    texts = [f"{prose(1, 40)} {one} {prose(2, 40)} {one} {prose(3, 40)}", f"{prose(4, 20)} {one} {prose(5, 20)}", f"{two} {two} {two}", "to and fro " * 40 + prose(6, 30), "to and fro " * 20 + prose(7, 30),
+             f"{'so ' * 10} {prose(8, 60)}", f"{'so ' * 30} {prose(8, 60)}"]
+    rows = {tuple(r) for r in collinear.passages(table(spark, texts))[0].collect()}
+    assert {r for r in rows if r[3] < 3} == {(0, 40, 100, 1, 20, 80, 60), (0, 140, 200, 1, 20, 80, 60), (0, 40, 100, 0, 140, 200, 60), (2, 0, 70, 2, 70, 140, 70), (2, 70, 140, 2, 140, 210, 70)}
+    assert {r[:3] for r in rows if (r[0], r[3]) == (3, 4)} == {(3, 0, 60), (3, 60, 120)}
+    assert any(r[0] == 5 and r[3] == 6 and r[2] == 70 and r[5] == 90 for r in rows)
+
+
+def test_rows_of_one_id_and_of_none_keep_their_passages(spark):
+    one, two, three = prose(1, 70), prose(2, 70), prose(3, 70)
+    texts = [(1, one), (1, two), (2, edited(two, 30)), (3, edited(one, 30)), (None, three), (4, edited(three, 30)), (None, prose(4, 70)), (None, prose(4, 70) + " more")]
+    spans, members = collinear.passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    assert sorted((r["doc_a"], r["doc_b"] or -1, r["same"]) for r in spans.collect() if r["doc_a"] is not None) == [(1, 2, 69), (1, 3, 69), (4, -1, 69)]
+    assert [tuple(r)[:6] for r in spans.where("doc_a IS NULL").collect()] in ([(None, 0, 70, None, 0, 70)],)
+    assert members.count() == 8
+
+
+def test_places_of_a_frequent_run_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(collinear, "BLOCK", 4)
+    monkeypatch.setattr(collinear, "GROUP", 3)
+    monkeypatch.setattr(collinear, "CUT", 10)
+    monkeypatch.setattr(collinear, "MET_WORDS", 300)
+    monkeypatch.setattr(collinear, "ASKED_WORDS", 700)
+    monkeypatch.setattr(collinear, "ALIGNED_WORDS", 500)
+    passage = prose(97, 60)
+    texts = [f"{prose(2000 + i, 20)} {edited(passage, 9 + i)} {prose(3000 + i, 20)}" for i in range(18)]
+    got = sorted((r["doc_a"], r["doc_b"]) for r in collinear.passages(table(spark, texts))[0].collect())
+    assert got == [(a, b) for a in range(18) for b in range(a + 1, 18)]
+
+
+def test_equal_words_in_order_are_counted_at_any_length():
+    rng = np.random.default_rng(6)
+    for n, m in [(0, 3), (5, 5), (40, 70), (2100, 2000)]:
+        x, y = (rng.integers(0, 30, k).tolist() for k in (n, m))
+        row = np.zeros(m + 1, dtype=np.int64)
+        for w in x:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (np.array(y) == w)))
+        assert collinear._equal(x, y) == row[-1]
+
+
 def test_run_takes_the_nearest_step():
     """The search over the band as one table against the search step by step."""
     rng = np.random.default_rng(8)
