@@ -6,8 +6,9 @@ every trusted document has its part in one of the two.
 
 The log probability of a text is a sum of one value per trigram, pair and word: a trigram's value is what it adds to the
 back-off from its context to the pair, a pair's or word's what it adds as target and as context. So a look-up needs no other,
-and the values are dealt by key: the n-grams of all texts travel in packed arrays to the shard of their key, are looked up
-there, and their sums travel back. That moves about a long and a row number per n-gram; memory is bounded by a shard.
+and the values are dealt by key: the distinct n-grams of each slice of texts travel in packed arrays (seven bytes of their
+hash, ascending, byte by byte, so that part of them compresses) to the shard of their key, and the values of those that the
+model knows travel back to the slice, which is read again and adds them up. Memory is bounded by a shard and a slice.
 
 Thresholds are quantiles of the mean log perplexity of the trusted documents that the model was not fitted on, per language;
 languages with under ``FEW`` of those take the quantile of all.
@@ -25,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codonlake.llm import arrays
-from codonlake.llm.common import join_hot, register, stored, table
+from codonlake.llm.common import drop, join_hot, register, stored, table
 from codonlake.session import ship_package
 
 #: Part of the trusted documents that the model is fitted on; the others set the thresholds.
 FIT_PART = 0.7
+#: Bytes of a key that is looked up.
+KEY_BYTES = 7
 #: Bytes of text, and rows of the model, for each shard.
 SHARD_BYTES, SHARD_ROWS = 16_000_000, 1_000_000
 QUANTILE = 0.99
@@ -37,6 +40,7 @@ QUANTILE = 0.99
 MARGIN = 0.25
 FEW = 30
 
+_LEFT_OUT = np.uint64(64 - 8 * KEY_BYTES)
 _START, _END = np.uint64(1), np.uint64(2)
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord(c) for c in ".,;:"]] = True
@@ -105,7 +109,7 @@ def _keyed(rows: DataFrame, *names: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             words = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names]
-            key = words[0]
+            key = words[0] if len(words) > 1 else arrays.mix(words[0])  # start and end are small numbers
             for w in words[1:]:
                 key = _pair(key, w)
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("value")], ["key", "value"])
@@ -113,17 +117,50 @@ def _keyed(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*names, "value").mapInArrow(run, "key long, value long")
 
 
-def _looked_up(grams: pa.Table, model: pa.Table) -> pa.Table:
-    """(row, value): the sum of the values of the n-grams of each row that are in this shard of the model."""
-    flat = lambda c: grams.column(c).combine_chunks().flatten().to_numpy().astype(np.int64, copy=False)
-    known = model.column("key").to_numpy().astype(np.int64, copy=False)
-    if not grams.num_rows or not known.size:
-        return pa.table({"row": pa.array([], pa.int64()), "value": pa.array([], pa.int64())})
-    order = np.argsort(known.view(np.uint64))
-    found, at = arrays.Finder(known.view(np.uint64)[order], 20).find(flat("keys").view(np.uint64))
-    value = model.column("value").to_numpy().astype(np.int64, copy=False)[order][at]
-    row, where = np.unique(flat("rows")[found], return_inverse=True)
-    return pa.table({"row": row, "value": np.bincount(where, weights=value, minlength=row.size).astype(np.int64)})
+def _looked_up(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """For each slice, which of its n-grams are in this shard of the model, and their values."""
+    known = model.column("key").to_numpy().astype(np.int64, copy=False).view(np.uint64) >> _LEFT_OUT
+    order = np.argsort(known)
+    known, value = known[order], model.column("value").to_numpy()[order].astype(np.int32)
+    found, values = [], []
+    for b in asked.column("keys").to_pylist():
+        keys = arrays.unplaned(b, KEY_BYTES) >> _LEFT_OUT
+        at = np.minimum(np.searchsorted(known, keys), max(known.size - 1, 0))
+        hit = known[at] == keys if known.size else np.zeros(keys.size, bool)
+        found.append(np.packbits(hit).tobytes())
+        values.append(value[at[hit]].tobytes())
+    return pa.table([asked.column("slice"), asked.column("shard"), pa.array(found, pa.binary()), pa.array(values, pa.binary())], ["slice", "shard", "found", "values"])
+
+
+def _keys(s: arrays.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text) of all trigrams, pairs and words of a slice, contexts before the first word included; its texts with words and where their n-grams begin."""
+    a, b, c, texts, first = _grams(s)
+    starts, owner = first[:-1], np.repeat(texts, np.diff(first))
+    pair = _pair(b, c)
+    keys = np.concatenate((_pair(_pair(a, b), c), pair, arrays.mix(c), _pair(a[starts], b[starts]), arrays.mix(b[starts])))
+    return keys, np.concatenate((owner, owner, owner, texts, texts)), texts, first
+
+
+def _summed(slices: pa.Table, answers: pa.Table, shards: int, unknown: int) -> pa.Table:
+    """Rows (doc_id, lang, n_grams, log_perplexity) of a slice of texts, from the values of its n-grams."""
+    if slices.num_rows != 1:
+        raise RuntimeError("the texts came in other slices when they were read again")
+    ids, langs, texts = (slices.column(c).combine_chunks().flatten() for c in ("ids", "langs", "texts"))
+    (s,) = arrays.slices(texts, fold=False)
+    every, owner, some, first = _keys(s)
+    keys, which = np.unique(every >> _LEFT_OUT << _LEFT_OUT, return_inverse=True)
+    bounds, value, seen = arrays.shard_bounds(keys, shards), np.zeros(keys.size, np.int64), 0
+    for shard, found, values in zip(*(answers.column(c).to_pylist() for c in ("shard", "found", "values"))):
+        lo, hi = bounds[shard], bounds[shard + 1]
+        value[lo + np.flatnonzero(np.unpackbits(np.frombuffer(found, np.uint8), count=hi - lo))] = np.frombuffer(values, np.int32)
+        seen += hi - lo
+    if seen != keys.size:
+        raise RuntimeError("the texts came in other slices when they were read again")
+    n = np.zeros(len(ids), np.int64)
+    n[some] = np.diff(first)
+    total = np.bincount(owner, weights=value[which], minlength=len(ids))  # whole micronats, so the sums are exact
+    mean = -(total / np.maximum(n, 1) + unknown) / 1e6
+    return pa.table({"doc_id": ids, "lang": langs, "n_grams": n, "log_perplexity": pa.array(mean, mask=n == 0)})
 
 
 class Model:
@@ -144,53 +181,45 @@ class Model:
             "b", "c", (F.col("w2") * F.col("p1")).alias("low"), ((F.col("n") - _discount(d2)) / F.col("m") + F.col("w2") * F.col("p1")).alias("p2")))
         context3 = stored(c3.groupBy("a", "b").agg(F.sum("n").alias("m"), (F.sum(_discount(d3)) / F.sum("n")).alias("w3")))
         low = F.col("w3") * F.col("p2")
-        triples = c3.join(context3, ["a", "b"]).join(p2.select("b", "c", "p2"), ["b", "c"]).select(
-            "a", "b", "c", _micronats(F.log(((F.col("n") - _discount(d3)) / F.col("m") + low) / low)))
         nothing = F.lit(0.0)
-        pairs = p2.join(context3.select(F.col("a").alias("b"), F.col("b").alias("c"), "w3"), ["b", "c"], "full").select(
-            "b", "c", _micronats(F.coalesce(F.log(F.col("p2") / F.col("low")), nothing) + F.coalesce(F.log("w3"), nothing)))
-        singles = p1.join(context2.select(F.col("b").alias("c"), "w2"), "c", "full").select(
-            "c", _micronats(F.coalesce(F.log(F.col("p1") / rest), nothing) + F.coalesce(F.log("w2"), nothing)))
-        self.values = stored(_keyed(triples, "a", "b", "c").unionByName(_keyed(pairs, "b", "c")).unionByName(_keyed(singles, "c")))
+        singles = stored(_keyed(p1.join(context2.select(F.col("b").alias("c"), "w2"), "c", "full").select(
+            "c", _micronats(F.coalesce(F.log(F.col("p1") / rest), nothing) + F.coalesce(F.log("w2"), nothing))), "c"))
+        drop(c2, c1, p1)
+        pairs = stored(_keyed(p2.join(context3.select(F.col("a").alias("b"), F.col("b").alias("c"), "w3"), ["b", "c"], "full").select(
+            "b", "c", _micronats(F.coalesce(F.log(F.col("p2") / F.col("low")), nothing) + F.coalesce(F.log("w3"), nothing))), "b", "c"))
+        own = stored(c3.join(context3, ["a", "b"]).select("a", "b", "c", ((F.col("n") - _discount(d3)) / F.col("m")).alias("own"), "w3"))
+        drop(c3, context2, context3)
+        triples = stored(_keyed(own.join(p2.select("b", "c", "p2"), ["b", "c"]).select("a", "b", "c", _micronats(F.log((F.col("own") + low) / low))), "a", "b", "c"))
+        drop(own, p2)
+        self.values = triples.unionByName(pairs).unionByName(singles)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Rows (doc_id, lang, n_grams, log_perplexity) of all documents (doc_id, text, lang)."""
         docs = stored(docs.select("doc_id", "lang", "text", F.monotonically_increasing_id().alias("row")))
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, math.ceil(size / SHARD_BYTES), math.ceil(self.values.count() / SHARD_ROWS))
-
-        def deal(batches):
-            """One row per slice and shard with the n-grams that go there, and their rows."""
-            for batch in batches:
-                numbers = batch.column("row").to_numpy()
-                for s in arrays.slices(batch.column("text"), fold=False):
-                    rows = numbers[s.rows[0]:s.rows[1]]
-                    a, b, c, texts, first = _grams(s)
-                    starts, owner = first[:-1], np.repeat(rows[texts], np.diff(first))
-                    pair = _pair(b, c)
-                    # pairs and words count as contexts too, so those before the first word are added
-                    keys = np.concatenate((_pair(_pair(a, b), c), pair, c, _pair(a[starts], b[starts]), b[starts]))
-                    owner = np.concatenate((owner, owner, owner, owner[starts], owner[starts]))
-                    shard = (keys % np.uint64(shards)).astype(np.int32)
-                    order = np.argsort(shard, kind="stable")
-                    bounds = np.searchsorted(shard[order], np.arange(shards + 1)).astype(np.int32)
-                    lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[order].view(np.int64))) for x in (keys, owner)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), *lists], ["shard", "keys", "rows"])
-
-        def count(batches):
-            for batch in batches:
-                for s in arrays.slices(batch.column("text"), fold=False):
-                    n = np.diff(s.first)
-                    own = [batch.column(k).slice(s.rows[0], s.rows[1] - s.rows[0]) for k in ("doc_id", "lang", "row")]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(np.where(n > 0, n + 1, 0).astype(np.int64))], ["doc_id", "lang", "row", "n_grams"])
-
-        grams = docs.select("row", "text").mapInArrow(deal, "shard int, keys array<long>, rows array<long>")
-        model = self.values.withColumn("shard", F.expr(f"cast((pmod(shiftrightunsigned(key, 1), {shards}) * 2 + (key & 1)) % {shards} as int)"))
-        sums = grams.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_looked_up, "row long, value long")
-        costs = sums.groupBy("row").agg(F.sum("value").alias("value"))
-        counted = docs.mapInArrow(count, "doc_id long, lang string, row long, n_grams long")
-        mean = -(F.coalesce("value", F.lit(0)) / F.col("n_grams") + self.unknown) / 1e6
-        return counted.join(costs, "row", "left").select("doc_id", "lang", "n_grams", F.when(F.col("n_grams") > 0, mean).alias("log_perplexity"))
+        shards, unknown = max(1, math.ceil(size / SHARD_BYTES), math.ceil(self.values.count() / SHARD_ROWS)), self.unknown
+
+        def ask(batches):
+            """One row per slice and shard with the distinct n-grams that go there."""
+            for s, own in arrays.numbered_slices(batches, fold=False):
+                keys = np.unique(_keys(s)[0] >> _LEFT_OUT << _LEFT_OUT)
+                bounds = arrays.shard_bounds(keys, shards)
+                some = np.flatnonzero(np.diff(bounds)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([own.column("row")[0].as_py()] * len(some), pa.int64()), pa.array(some, pa.int32()),
+                                                  pa.array([arrays.planes(keys[bounds[k]:bounds[k + 1]], KEY_BYTES) for k in some], pa.binary())], ["slice", "shard", "keys"])
+
+        def pack(batches):
+            for s, own in arrays.numbered_slices(batches, fold=False):
+                ends = pa.array([0, own.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([own.column("row").slice(0, 1), *(pa.ListArray.from_arrays(ends, own.column(c)) for c in ("doc_id", "lang", "text"))],
+                                                 ["slice", "ids", "langs", "texts"])
+
+        model = self.values.withColumn("shard", F.expr(f"cast(shiftright(shiftrightunsigned(key, 40) * {shards}, 24) as int)"))
+        answers = stored(docs.select("row", "text").mapInArrow(ask, "slice long, shard int, keys binary").groupBy("shard").cogroup(model.groupBy("shard"))
+                         .applyInArrow(_looked_up, "slice long, shard int, found binary, values binary"))
+        packed = docs.mapInArrow(pack, "slice long, ids array<long>, langs array<string>, texts array<string>")
+        return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
+            lambda t, u: _summed(t, u, shards, unknown), "doc_id long, lang string, n_grams long, log_perplexity double")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:

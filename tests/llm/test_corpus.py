@@ -7,11 +7,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row, functions as F
 
 import corpus_pipeline
-from codonlake.llm import collinear, common, jaccard_join, kneser_ney, source_mix, warc
+from codonlake.llm import arrays, collinear, common, jaccard_join, kneser_ney, source_mix, warc
 from codonlake.session import ensure_checkpoint_dir
 
 from llm_helpers import ODD, prose, table
@@ -515,3 +516,21 @@ def test_pipeline_stages(spark):
     sizes = Counter(r["doc_id"] for r in seen["source mix"])
     assert set(sizes) <= single and max(sizes.values()) <= 3 and len(seen["piece sampling"]) == len(seen["source mix"])
     assert all(r["n_pieces"] > 0 for r in seen["piece sampling"])
+
+
+def test_n_grams_travel_once_a_slice_and_nothing_is_left_on_disk(spark, monkeypatch):
+    """What goes to the shards of the model is a few bytes for each distinct n-gram; the tables of the fit are deleted."""
+    texts = [prose(i, 400) for i in range(60)] * 2
+    docs = table(spark, texts)
+    made = []
+    monkeypatch.setattr(kneser_ney, "stored", lambda df: made.append(common.stored(df)) or made[-1])
+    (s,) = arrays.slices(pa.array(texts), fold=False)
+    keys = np.unique(kneser_ney._keys(s)[0])
+    sent = arrays.planes(keys, kneser_ney.KEY_BYTES)
+    assert (arrays.unplaned(sent, kneser_ney.KEY_BYTES) == keys >> np.uint64(8) << np.uint64(8)).all()
+    assert len(sent) == 7 * keys.size and keys.size < 3 * 403 * 60
+    model = kneser_ney.Model(docs)
+    kept = [t for t in made if common.exists(t)]
+    assert len(made) > 6 and len(kept) == 3 and sum(t.count() for t in kept) == model.values.count()
+    got = {r["doc_id"]: r["log_perplexity"] for r in model.score(docs).collect()}
+    assert len(got) == 120 and all(got[i] == got[i + 60] for i in range(60))
